@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from evalspark.functions.text import strip
 
 
-def tri_state(text: Column) -> Column:
+def tri_state(text: str) -> str:
     """true / false / NULL: anything that is neither word is unknown."""
-    word = F.lower(strip(text.cast("string")))
-    return F.when(word == "true", True).when(word == "false", False)
+    return f"CASE lower({strip(text)}) WHEN 'true' THEN true WHEN 'false' THEN false END"
 
 
-def two_state(text: Column) -> Column:
+def two_state(text: str) -> str:
     """true / false: anything that is not the word true is false."""
-    return F.coalesce(F.lower(strip(text.cast("string"))) == "true", F.lit(False))
+    return f"coalesce(lower({strip(text)}) = 'true', false)"
 
 
-def is_true(flag: Column) -> Column:
+def is_true(flag: str) -> str:
     """A nullable boolean read as two-state."""
-    return F.coalesce(flag, F.lit(False))
+    return f"coalesce({flag}, false)"

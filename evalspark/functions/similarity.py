@@ -7,82 +7,62 @@ nobody reads the column, and work unchanged on a stream.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from evalspark.functions.text import words
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times inside ``body``.
+def _bind(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` many times inside ``body``.
 
     A higher-order function evaluates whatever its lambda captures once per element; a
     lambda variable is the way to hold a computed array.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _sum_of_squared_counts(ordered: Column) -> Column:
-    """Sum over distinct elements of (occurrences squared), for a sorted array."""
-    first_positions = F.array_compact(
-        F.transform(ordered, lambda x, i: F.when(~x.eqNullSafe(F.get(ordered, i - 1)), i))
+def _sum_of_squared_counts(ordered: str) -> str:
+    """Sum over distinct elements of (occurrences squared), for a sorted array variable."""
+    starts = (
+        f"array_compact(transform({ordered}, (word, i) ->"
+        f" CASE WHEN NOT (word <=> get({ordered}, i - 1)) THEN i END))"
     )
-
-    def over(starts: Column) -> Column:
-        runs = F.transform(
-            starts, lambda s, k: F.coalesce(F.get(starts, k + 1), F.size(ordered)) - s
-        )
-        return F.aggregate(
-            runs, F.lit(0).cast("long"), lambda total, n: total + n.cast("long") * n
-        )
-
-    return _bind(first_positions, over)
+    runs = f"transform(starts, (s, k) -> coalesce(get(starts, k + 1), size({ordered})) - s)"
+    total = f"aggregate({runs}, 0L, (total, n) -> total + bigint(n) * n)"
+    return _bind(starts, "starts", total)
 
 
-def _cosine(dot: Column, square_x: Column, square_y: Column) -> Column:
-    norms = square_x.cast("double") * square_y.cast("double")
-    return F.when(norms > 0, dot.cast("double") / F.sqrt(norms)).otherwise(F.lit(0.0))
+def _cosine(dot: str, square_x: str, square_y: str) -> str:
+    norms = f"(double({square_x}) * double({square_y}))"
+    return f"CASE WHEN {norms} > 0 THEN double({dot}) / sqrt({norms}) ELSE 0.0D END"
 
 
-def text_cosine(x: Column, y: Column) -> Column:
+def text_cosine(x: str, y: str) -> str:
     """Cosine of the word-count vectors of two texts; 0.0 if either has no word.
 
     With N(t) the sum of squared word counts, N(x + y) = N(x) + N(y) + 2 x.y, so the dot
     product needs no word-by-word lookup: sort each side, then the two sorted runs
     together, and count run lengths.  O(n log n) in the words of the row.
     """
-
-    def over(sides: Column) -> Column:
-        left, right = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
-        both = F.sort_array(F.concat(left, right))
-        squares = F.array(
-            _sum_of_squared_counts(left),
-            _sum_of_squared_counts(right),
-            _bind(both, _sum_of_squared_counts),
-        )
-        return _bind(
-            squares,
-            lambda q: _cosine((q[2] - q[0] - q[1]) / 2, q[0], q[1]),
-        )
-
-    return _bind(F.array(F.sort_array(words(x)), F.sort_array(words(y))), over)
-
-
-def dot_product(x: Column, y: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")),
-        F.lit(0.0),
-        lambda total, v: total + v,
+    sides = f"array(sort_array({words(x)}), sort_array({words(y)}))"
+    together = _bind(
+        "sort_array(concat(sides[0], sides[1]))", "both", _sum_of_squared_counts("both")
     )
+    left = _bind("sides[0]", "one", _sum_of_squared_counts("one"))
+    right = _bind("sides[1]", "one", _sum_of_squared_counts("one"))
+    value = _cosine("((q[2] - q[0] - q[1]) / 2)", "q[0]", "q[1]")
+    return _bind(sides, "sides", _bind(f"array({left}, {right}, {together})", "q", value))
+
+
+def dot_product(x: str, y: str) -> str:
+    products = f"zip_with({x}, {y}, (a, b) -> double(a) * double(b))"
+    return f"aggregate({products}, 0.0D, (total, v) -> total + v)"
 
 
-def vector_cosine(x: Column, y: Column) -> Column:
+def vector_cosine(x: str, y: str) -> str:
     """Cosine of two numeric arrays of one length; 0.0 if either has no length."""
-    return _cosine(dot_product(x, y), dot_product(x, x), dot_product(y, y))
+    parts = f"array({dot_product(x, y)}, {dot_product(x, x)}, {dot_product(y, y)})"
+    return _bind(parts, "d", _cosine("d[0]", "d[1]", "d[2]"))
 
 
-def best_cosine(x: Column, candidates: Column) -> Column:
+def best_cosine(x: str, candidates: str) -> str:
     """Largest cosine of vector ``x`` to any vector of an array; NULL for an empty array."""
-    return F.array_max(F.transform(candidates, lambda c: vector_cosine(x, c)))
+    return f"array_max(transform({candidates}, other -> {vector_cosine(x, 'other')}))"

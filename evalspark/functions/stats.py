@@ -1,12 +1,7 @@
-"""Ratios, kappa, and tests on 2x2 counts as column expressions."""
+"""Ratios, kappa, and tests on 2x2 counts."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Coefficients of a published rational approximation of erfc
 # (Numerical Recipes, "erfcc"; relative error below 1.2e-7).
 ERFC_COEFFICIENTS = (
@@ -23,51 +18,54 @@ ERFC_COEFFICIENTS = (
 )
 
 
-def ratio(num: Column, den: Column) -> Column:
+def ratio(num: str, den: str) -> str:
     """num / den as a double, NULL for an empty denominator."""
-    return F.try_divide(num.cast("double"), den.cast("double"))
+    return f"try_divide(double({num}), double({den}))"
 
 
-def percent(num: Column, den: Column) -> Column:
+def percent(num: str, den: str) -> str:
     """num / den in percent, NULL for an empty denominator; not rounded."""
-    return F.try_divide(num.cast("double") * F.lit(100.0), den.cast("double"))
+    return f"try_divide(double({num}) * 100.0D, double({den}))"
 
 
-def erfc(x: Column) -> Column:
+def erfc(x: str) -> str:
     """Complementary error function for x >= 0."""
-    t = F.lit(1.0) / (F.lit(1.0) + x * 0.5)
-    series = reduce(lambda acc, c: acc * t + F.lit(c), reversed(ERFC_COEFFICIENTS[:-1]),
-                    F.lit(ERFC_COEFFICIENTS[-1]))
-    return t * F.exp(series - x * x)
+    t = f"(1.0D / (1.0D + {x} * 0.5D))"
+    series = f"{ERFC_COEFFICIENTS[-1]}D"
+    for coefficient in reversed(ERFC_COEFFICIENTS[:-1]):
+        series = f"({series} * {t} + ({coefficient}D))"
+    return f"({t} * exp({series} - {x} * {x}))"
 
 
-def yates_chi_square(a: Column, b: Column, c: Column, d: Column) -> Column:
+def yates_chi_square(a: str, b: str, c: str, d: str) -> str:
     """Continuity-corrected chi-square of [[a, b], [c, d]]; NULL if a margin is empty."""
-    a, b, c, d = (v.cast("double") for v in (a, b, c, d))
-    n = a + b + c + d
-    off = F.greatest(F.lit(0.0), F.abs(a * d - b * c) - n / 2)
-    return F.try_divide(n * off * off, (a + b) * (c + d) * (a + c) * (b + d))
+    a, b, c, d = (f"double({v})" for v in (a, b, c, d))
+    n = f"({a} + {b} + {c} + {d})"
+    off = f"greatest(0.0D, abs({a} * {d} - {b} * {c}) - {n} / 2)"
+    margins = f"(({a} + {b}) * ({c} + {d}) * ({a} + {c}) * ({b} + {d}))"
+    return f"try_divide({n} * {off} * {off}, {margins})"
 
 
-def chi_square_p(chi_square: Column) -> Column:
+def chi_square_p(chi_square: str) -> str:
     """Upper tail of chi-square with one degree of freedom."""
-    return erfc(F.sqrt(chi_square / 2))
+    return erfc(f"sqrt({chi_square} / 2)")
 
 
-def log_factorial(k: Column) -> Column:
+def log_factorial(k: str) -> str:
     """ln(k!) by Stirling's series, moved up by 8 so that small k are exact to 1e-10."""
-    x = k.cast("double")
-    z = x + 9
-    shifted = F.ln(reduce(lambda acc, i: acc * (x + i), range(2, 9), x + 1))
-    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
-    return (z - 0.5) * F.ln(z) - z + F.lit(0.9189385332046727) + series - shifted
+    x = f"double({k})"
+    z = f"({x} + 9)"
+    shifted = " * ".join(f"({x} + {i})" for i in range(1, 9))
+    series = f"1 / (12 * {z}) - 1 / (360 * pow({z}, 3)) + 1 / (1260 * pow({z}, 5))"
+    return f"(({z} - 0.5D) * ln({z}) - {z} + 0.9189385332046727D + {series} - ln({shifted}))"
 
 
-def kappa(tt: Column, tf: Column, ft: Column, ff: Column) -> Column:
+def kappa(tt: str, tf: str, ft: str, ff: str) -> str:
     """Cohen's kappa of a 2x2 table; NULL if either rater used one label only."""
-    tt, tf, ft, ff = (v.cast("double") for v in (tt, tf, ft, ff))
-    n = tt + tf + ft + ff
-    observed = F.try_divide(tt + ff, n)
-    expected = F.try_divide((tt + tf) * (tt + ft) + (ff + ft) * (ff + tf), n * n)
-    both_used = ((tt + tf) > 0) & ((ft + ff) > 0) & ((tt + ft) > 0) & ((tf + ff) > 0)
-    return F.when(both_used, F.try_divide(observed - expected, 1 - expected))
+    both_used = f"({tt} + {tf}) > 0 AND ({ft} + {ff}) > 0 AND ({tt} + {ft}) > 0 AND ({tf} + {ff}) > 0"
+    tt, tf, ft, ff = (f"double({v})" for v in (tt, tf, ft, ff))
+    n = f"({tt} + {tf} + {ft} + {ff})"
+    observed = f"try_divide({tt} + {ff}, {n})"
+    chance = f"(({tt} + {tf}) * ({tt} + {ft}) + ({ff} + {ft}) * ({ff} + {tf}))"
+    expected = f"try_divide({chance}, {n} * {n})"
+    return f"CASE WHEN {both_used} THEN try_divide({observed} - {expected}, 1 - {expected}) END"

@@ -1,14 +1,10 @@
-"""Clean-up and predicates for answer text.  Native column expressions only."""
+"""Clean-up and predicates for answer text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Markers a model or a failed call leaves in the text.
 ERROR_PREFIX = "ERROR:"
 THINK_OPEN = "<think>"
-THINK_CLOSE = "</think>"
 
 # Whitespace as Python's str.strip sees it.
 WHITESPACE = (
@@ -18,47 +14,53 @@ WHITESPACE = (
 )
 
 
-def strip(text: Column) -> Column:
-    """Drop leading and trailing whitespace of any kind (``trim`` alone drops spaces)."""
-    return F.trim(text, F.lit(WHITESPACE))
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strip(text: str) -> str:
+    """Drop leading and trailing whitespace of any kind (plain ``trim`` drops spaces)."""
+    return f"trim(BOTH {quoted(WHITESPACE)} FROM {text})"
 
 
-def clean_output(text: Column) -> Column:
+def clean_output(text: str) -> str:
     """Remove the reasoning a model puts before its answer.
 
     Complete think blocks go first; if a closing tag is left, everything up to the first
     one goes too.  An opening tag that is never closed stays where it is.
     """
-    without_blocks = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    after_close = F.regexp_replace(without_blocks, r"(?s)^.*?</think>", "")
-    return strip(after_close)
+    without_blocks = f"regexp_replace({text}, '(?s)<think>.*?</think>', '')"
+    return strip(f"regexp_replace({without_blocks}, '(?s)^.*?</think>', '')")
 
 
-def is_truncated(cleaned: Column) -> Column:
+def is_truncated(cleaned: str) -> str:
     """True for cleaned text that is reasoning cut off before any answer."""
-    return cleaned.startswith(THINK_OPEN)
+    return f"startswith({cleaned}, '{THINK_OPEN}')"
+
+
+def is_error(answer: str) -> str:
+    return f"coalesce(startswith({answer}, '{ERROR_PREFIX}'), false)"
 
 
-def is_failed(answer: Column) -> Column:
+def is_failed(answer: str) -> str:
     """True when there is no usable answer: null, blank, or an error message."""
-    return F.coalesce((strip(answer) == "") | answer.startswith(ERROR_PREFIX), F.lit(True))
+    return f"coalesce({strip(answer)} = '' OR startswith({answer}, '{ERROR_PREFIX}'), true)"
 
 
-def is_attempted(answer: Column) -> Column:
+def is_attempted(answer: str) -> str:
     """True when the deferred baseline has been run: not null, blank or a literal ``nan``."""
-    text = strip(answer)
-    return F.coalesce((text != "") & (F.lower(text) != "nan"), F.lit(False))
+    return f"coalesce(lower({strip(answer)}) NOT IN ('', 'nan'), false)"
 
 
-def shorten(text: Column, limit: int, mark: str = "...") -> Column:
+def shorten(text: str, limit: int, mark: str = "...") -> str:
     """Text on one line, cut at ``limit`` characters with ``mark`` behind a cut."""
-    line = F.replace(F.coalesce(text, F.lit("nan")), F.lit("\n"), F.lit(" "))
-    return F.concat(
-        F.substring(line, 1, limit), F.when(F.length(line) > limit, mark).otherwise("")
-    )
+    line = rf"replace(coalesce({text}, 'nan'), '\n', ' ')"
+    cut = f"CASE WHEN length({line}) > {limit} THEN '{mark}' ELSE '' END"
+    return f"concat(substring({line}, 1, {limit}), {cut})"
 
 
-def words(text: Column) -> Column:
+def words(text: str) -> str:
     """Lower-cased runs of letters and digits, in order, as an array."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.array_remove(parts, "")
+    parts = rf"split(lower(coalesce({text}, '')), r'[^\p{{L}}\p{{N}}]+')"
+    return f"array_remove({parts}, '')"

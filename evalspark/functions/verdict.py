@@ -2,73 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from evalspark.functions.booleans import tri_state
 from evalspark.functions.text import clean_output
 
-NUMBERS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(.*\))$"
-NESTED = r"^(ARRAY|OBJECT)"
+NUMBER = r"r'^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(.*\))$'"
+NESTED = "'^(ARRAY|OBJECT)'"
 
 
-def json_object(reply: Column) -> Column:
+def json_object(reply: str) -> str:
     """The text from the first ``{`` to the last ``}`` of a cleaned reply, or NULL."""
-    return F.nullif(F.regexp_extract(clean_output(reply), r"(?s)\{.*\}", 0), F.lit(""))
+    return rf"nullif(regexp_extract({clean_output(reply)}, r'(?s)\{{.*\}}', 0), '')"
 
 
-def parse_object(span: Column) -> Column:
+def parse_object(span: str) -> str:
     """VARIANT of one JSON object, NULL when the text is anything but exactly one.
 
     The parser stops at the end of the first value, so ``{..} {..}`` would pass.  What
     could follow the object and still close an array cannot also close an object, and the
     reverse, so text that parses inside both wrappers has nothing behind it.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), span, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), span, F.lit("}")))
-    return F.when(in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
+    in_array = f"try_parse_json(concat('[', {span}, ']'))"
+    in_object = f"""try_parse_json(concat('{{"v":', {span}, '}}'))"""
+    value = f"try_variant_get({in_array}, '$[0]', 'variant')"
+    return f"CASE WHEN {in_object} IS NOT NULL THEN {value} END"
 
 
-def _kind(verdict: Column, key: str) -> Column:
+def kind(verdict: str, key: str) -> str:
     """Type name of a field: VOID for an explicit null, NULL for a missing key."""
-    return F.schema_of_variant(F.try_variant_get(verdict, f"$.{key}", "variant"))
+    return f"schema_of_variant(try_variant_get({verdict}, '$.{key}', 'variant'))"
 
 
-def _text(verdict: Column, key: str) -> Column:
-    return F.try_variant_get(verdict, f"$.{key}", "string")
+def text(verdict: str, key: str) -> str:
+    return f"try_variant_get({verdict}, '$.{key}', 'string')"
 
 
-def flag(verdict: Column, key: str, truthy: bool = False) -> Column:
-    """A correctness flag; NULL when the field cannot be read and the fallback must decide.
+def flag(kind: str, text: str, truthy: bool = False) -> str:
+    """A correctness flag from a field's type name and text; NULL when it cannot be read
+    and the fallback must decide.
 
     By default a value means what it says: ``"false"`` is false, a number is compared with
     0, an explicit null is false, other types are unreadable.  With ``truthy`` every value
     that is not empty, zero or null counts as true, as a truth test on parsed JSON does.
     """
-    kind, text = _kind(verdict, key), _text(verdict, key)
-    nonzero = F.try_variant_get(verdict, f"$.{key}", "double") != 0
-    by_type = (
-        F.when(kind == "BOOLEAN", text == "true")
-        .when(kind == "VOID", F.lit(False))
-        .when(kind.rlike(NUMBERS), nonzero)
-    )
     if truthy:
-        return by_type.when(kind == "STRING", text != "").when(
-            kind.rlike(NESTED), ~text.isin("[]", "{}")
+        others = (
+            f"WHEN {kind} = 'STRING' THEN {text} <> ''"
+            f" WHEN {kind} RLIKE {NESTED} THEN {text} NOT IN ('[]', '{{}}')"
         )
-    return by_type.when(kind == "STRING", tri_state(text))
+    else:
+        others = f"WHEN {kind} = 'STRING' THEN {tri_state(text)}"
+    return (
+        f"CASE WHEN {kind} = 'BOOLEAN' THEN {text} = 'true' WHEN {kind} = 'VOID' THEN false"
+        f" WHEN {kind} RLIKE {NUMBER} THEN try_cast({text} AS DOUBLE) <> 0 {others} END"
+    )
 
 
-def enum(verdict: Column, key: str, truthy: bool = False) -> Column:
+def enum(kind: str, text: str, truthy: bool = False) -> str:
     """An upper-cased word; NULL when missing, null or nested (``truthy``: null is NONE)."""
-    kind = _kind(verdict, key)
-    word = F.when(
-        (kind == "STRING") | (kind == "BOOLEAN") | kind.rlike(NUMBERS),
-        F.upper(_text(verdict, key)),
+    null = f"WHEN {kind} = 'VOID' THEN 'NONE'" if truthy else ""
+    return (
+        f"CASE WHEN {kind} IN ('STRING', 'BOOLEAN') OR {kind} RLIKE {NUMBER}"
+        f" THEN upper({text}) {null} END"
     )
-    return word.when(kind == "VOID", "NONE") if truthy else word
-
-
-def note(verdict: Column, key: str) -> Column:
-    """Optional free text, blank when missing or null."""
-    return F.coalesce(_text(verdict, key), F.lit(""))

@@ -1,11 +1,15 @@
 """Is a wrong answer more likely in one group?  Relative risk, odds ratio, chi-square and
-Fisher tests on 2x2 counts, for any number of segments at once."""
+Fisher tests on 2x2 counts, for any number of segments at once.
+
+Counts a, b are the rows of the first group with and without the event, c, d those of the
+second group.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.booleans import is_true
@@ -16,8 +20,9 @@ from evalspark.functions.stats import (
     ratio,
     yates_chi_square,
 )
-from evalspark.operators.metrics import is_valid
-from evalspark.sources import schema as S
+from evalspark.functions.text import quoted
+from evalspark.operators.columns import add
+from evalspark.operators.metrics import BOTH_WRONG, VALID, count
 
 # Tables this many standard deviations from the mean have a probability below what a
 # double can hold, so leaving them out changes no digit of the p-value.
@@ -26,155 +31,110 @@ WIDTH_IN_DEVIATIONS = 40
 RUN = 4096
 
 
-def two_by_two(rows: DataFrame, exposed: Column, event: Column, *keys: str) -> DataFrame:
-    """Counts a, b (exposed with / without the event), c, d (not exposed) per segment."""
-    return rows.groupBy(*keys).agg(
-        F.count_if(exposed & event).alias("a"),
-        F.count_if(exposed & ~event).alias("b"),
-        F.count_if(~exposed & event).alias("c"),
-        F.count_if(~exposed & ~event).alias("d"),
-    )
+def two_by_two(group: str, event: str) -> dict[str, str]:
+    """Conditions for the four counts, from two SQL conditions."""
+    return {
+        "a": f"{group} AND {event}",
+        "b": f"{group} AND NOT {event}",
+        "c": f"NOT {group} AND {event}",
+        "d": f"NOT {group} AND NOT {event}",
+    }
 
 
 def risk_measures(tables: DataFrame) -> DataFrame:
     """Add relative risk, odds ratio and the Yates chi-square test to 2x2 counts."""
-    a, b, c, d = (F.col(x) for x in "abcd")
-    chi = yates_chi_square(a, b, c, d)
-    return tables.withColumns(
+    measured = add(
+        tables,
         {
-            "relative_risk": F.try_divide(ratio(a, a + b), ratio(c, c + d)),
-            "odds_ratio": ratio(a.cast("double") * d, b.cast("double") * c),
-            "chi_square": F.round(chi, 6),
-            "chi_square_p": F.round(chi_square_p(chi), 4),
-        }
+            "relative_risk": f"try_divide({ratio('a', 'a + b')}, {ratio('c', 'c + d')})",
+            "odds_ratio": ratio("double(a) * d", "double(b) * c"),
+            "chi": yates_chi_square("a", "b", "c", "d"),
+        },
     )
+    tests = {"chi_square": "round(chi, 6)", "chi_square_p": f"round({chi_square_p('chi')}, 4)"}
+    return add(measured, tests).drop("chi")
 
 
-def fisher_exact(tables: DataFrame, *keys: str) -> DataFrame:
-    """Two-sided Fisher p of each 2x2 table: all tables with the same margins that are no
-    more likely than the observed one.
+def fisher_exact(tables: DataFrame) -> DataFrame:
+    """Add the two-sided Fisher p of each 2x2 table: the share of all tables with the same
+    margins that are no more likely than the observed one.
 
     The tables enumerated grow with the square root of the counts, and their probabilities
     are summed relative to each other, so large counts stay exact to the digits shown.
+    Rows of ``tables`` must differ.
     """
-    r1, c1 = F.col("a") + F.col("b"), F.col("a") + F.col("c")
-    n = r1 + F.col("c") + F.col("d")
-    r, c, t = (v.cast("double") for v in (r1, c1, n))
-    mean = F.try_divide(r * c, t)
-    spread = F.coalesce(
-        F.sqrt(F.try_divide(r * c * (t - r) * (t - c), t * t * (t - 1))), F.lit(0.0)
-    )
-    reach = WIDTH_IN_DEVIATIONS * spread + 1
-    low = F.greatest(F.lit(0), r1 + c1 - n, F.floor(mean - reach))
-    high = F.least(r1, c1, F.ceil(mean + reach))
-
-    def log_weight(k: Column) -> Column:
-        return -(
-            log_factorial(k)
-            + log_factorial(F.col("r1") - k)
-            + log_factorial(F.col("c1") - k)
-            + log_factorial(F.col("n") - F.col("r1") - F.col("c1") + k)
-        )
 
-    top = F.floor((r + 1) * (c + 1) / (t + 2))
-    bounds = tables.withColumns(
-        {"r1": r1, "c1": c1, "n": n, "low": low.cast("long"), "high": high.cast("long")}
+    def log_weight(k: str) -> str:
+        cells = (k, f"r1 - {k}", f"c1 - {k}", f"n - r1 - c1 + {k}")
+        return "-(" + " + ".join(log_factorial(f"({cell})") for cell in cells) + ")"
+
+    margins = add(tables, {"r1": "a + b", "c1": "a + c", "n": "a + b + c + d"})
+    r, c, n = "double(r1)", "double(c1)", "double(n)"
+    mean = f"try_divide({r} * {c}, {n})"
+    variance = f"try_divide({r} * {c} * ({n} - {r}) * ({n} - {c}), {n} * {n} * ({n} - 1))"
+    reach = f"({WIDTH_IN_DEVIATIONS} * coalesce(sqrt({variance}), 0.0D) + 1)"
+    bounds = add(
+        margins,
+        {
+            "low": f"greatest(0L, r1 + c1 - n, floor({mean} - {reach}))",
+            "high": f"least(r1, c1, ceil({mean} + {reach}))",
+            "at_observed": log_weight("a"),
+            "at_top": log_weight(f"floor(({r} + 1) * ({c} + 1) / ({n} + 2))"),
+        },
     )
-    runs = bounds.withColumns(
-        {"at_observed": log_weight(F.col("a")), "at_top": log_weight(top)}
-    ).withColumn("start", F.explode(F.sequence("low", "high", F.lit(RUN).cast("long"))))
-    weighed = (
-        runs.withColumn(
-            "k",
-            F.explode(F.sequence("start", F.least(F.col("start") + RUN - 1, F.col("high")))),
-        )
-        .withColumn("log_weight", log_weight(F.col("k")))
-        .withColumn("weight", F.exp(F.col("log_weight") - F.col("at_top")))
-    )
-    unlikely = F.col("log_weight") <= F.col("at_observed") + 1e-7
-    kept = [*keys, *(x for x in tables.columns if x not in keys)]
-    return (
-        weighed.groupBy(*kept)
-        .agg(
-            ratio(
-                F.sum(F.when(unlikely, F.col("weight")).otherwise(0.0)), F.sum("weight")
-            ).alias("fisher_exact")
-        )
-        .withColumn("fisher_p", F.round("fisher_exact", 4))
-        .drop("fisher_exact")
+    starts = add(bounds, {"start": f"explode(sequence(low, high, {RUN}L))"})
+    possible = add(starts, {"k": f"explode(sequence(start, least(start + {RUN - 1}, high)))"})
+    weighed = add(add(possible, {"own": log_weight("k")}), {"weight": "exp(own - at_top)"})
+    unlikely = "CASE WHEN own <= at_observed + 1e-7D THEN weight ELSE 0.0D END"
+    return weighed.groupBy(*tables.columns).agg(
+        F.expr(f"round(sum({unlikely}) / sum(weight), 4)").alias("fisher_p")
     )
 
 
 def risk_association(results: DataFrame, segment: str = "category") -> DataFrame:
     """Disagreement against both-wrong per segment and over all (segment ``ALL``), with the
     relative risk of an ensemble error beside it.  Unknown flags: agree, wrong."""
-    apart = is_true(F.col("semantic_disagreement"))
-    wrong = F.coalesce(F.col("status") == S.BOTH_WRONG, F.lit(False))
-    lost = ~is_true(F.col("ensemble_correct"))
+    apart, lost = is_true("semantic_disagreement"), f"NOT {is_true('ensemble_correct')}"
+    conditions = two_by_two(apart, BOTH_WRONG) | {
+        "lost_apart": f"{apart} AND {lost}",
+        "lost_together": f"NOT {apart} AND {lost}",
+    }
+    named = f"CASE WHEN grouping({segment}) = 1 THEN 'ALL' ELSE coalesce({segment}, '(none)') END"
     counts = (
-        results.where(is_valid())
+        results.where(VALID)
         .rollup(segment)
         .agg(
-            F.count_if(apart & wrong).alias("a"),
-            F.count_if(apart & ~wrong).alias("b"),
-            F.count_if(~apart & wrong).alias("c"),
-            F.count_if(~apart & ~wrong).alias("d"),
-            F.count_if(apart & lost).alias("lost_apart"),
-            F.count_if(~apart & lost).alias("lost_together"),
-            F.grouping(segment).alias("is_total"),
-        )
-        .withColumn(
-            "segment",
-            F.when(F.col("is_total") == 1, "ALL").otherwise(
-                F.coalesce(F.col(segment), F.lit("(none)"))
-            ),
+            F.expr(named).alias("segment"),
+            *(F.expr(f"count_if({sql})").alias(name) for name, sql in conditions.items()),
         )
-        .drop("is_total", segment)
+        .drop(segment)
     )
-    lost_ratio = F.try_divide(
-        ratio(F.col("lost_apart"), F.col("a") + F.col("b")),
-        ratio(F.col("lost_together"), F.col("c") + F.col("d")),
-    )
-    tested = risk_measures(fisher_exact(counts, "segment"))
-    return tested.withColumn("ensemble_relative_risk", lost_ratio).drop(
-        "lost_apart", "lost_together"
+    lost_risk = (
+        f"try_divide({ratio('lost_apart', 'a + b')}, {ratio('lost_together', 'c + d')})"
     )
+    tested = add(risk_measures(fisher_exact(counts)), {"ensemble_relative_risk": lost_risk})
+    return tested.drop("lost_apart", "lost_together")
 
 
 def bucket_association(results: DataFrame, listed: Sequence[str]) -> DataFrame:
     """Consensus and divergent error rates in listed categories against all others, with
     the chi-square and Fisher tests on consensus errors (on both rows alike)."""
-    wrong = F.coalesce(F.col("status") == S.BOTH_WRONG, F.lit(False))
-    apart = is_true(F.col("semantic_disagreement"))
-    inside = F.coalesce(F.col("category").isin(*listed), F.lit(False))
-    counts = results.where(is_valid()).agg(
-        F.count_if(inside & wrong & ~apart).alias("a"),
-        F.count_if(inside & ~(wrong & ~apart)).alias("b"),
-        F.count_if(~inside & wrong & ~apart).alias("c"),
-        F.count_if(~inside & ~(wrong & ~apart)).alias("d"),
-        F.count_if(inside & wrong & apart).alias("divergent_in"),
-        F.count_if(~inside & wrong & apart).alias("divergent_out"),
-    )
-    tested = risk_measures(fisher_exact(counts))
-    sides = F.inline(
-        F.array(
-            F.struct(
-                F.lit("listed").alias("bucket"),
-                (F.col("a") + F.col("b")).alias("n"),
-                F.col("a").alias("consensus"),
-                F.col("divergent_in").alias("divergent"),
-            ),
-            F.struct(
-                F.lit("other").alias("bucket"),
-                (F.col("c") + F.col("d")).alias("n"),
-                F.col("c").alias("consensus"),
-                F.col("divergent_out").alias("divergent"),
-            ),
-        )
+    inside = f"coalesce(category IN ({', '.join(map(quoted, listed))}), false)"
+    apart = is_true("semantic_disagreement")
+    conditions = two_by_two(inside, f"({BOTH_WRONG} AND NOT {apart})") | {
+        "divergent_in": f"{inside} AND {BOTH_WRONG} AND {apart}",
+        "divergent_out": f"NOT {inside} AND {BOTH_WRONG} AND {apart}",
+    }
+    tested = risk_measures(fisher_exact(count(results.where(VALID), conditions)))
+    sides = tested.selectExpr(
+        "stack(2, 'listed', a + b, a, divergent_in, 'other', c + d, c, divergent_out)"
+        " AS (bucket, n, consensus, divergent)",
+        "chi_square_p", "fisher_p",
     )
-    return tested.select(sides, "chi_square_p", "fisher_p").withColumns(
+    return add(
+        sides,
         {
-            "consensus_pct": percent(F.col("consensus"), F.col("n")),
-            "divergent_pct": percent(F.col("divergent"), F.col("n")),
-        }
+            "consensus_pct": percent("consensus", "n"),
+            "divergent_pct": percent("divergent", "n"),
+        },
     )

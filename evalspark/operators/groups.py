@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.booleans import is_true
 from evalspark.functions.stats import percent
-from evalspark.functions.text import shorten
-from evalspark.operators.metrics import is_valid
+from evalspark.functions.text import quoted, shorten
+from evalspark.operators.columns import add
+from evalspark.operators.metrics import BOTH_WRONG, VALID, count
 from evalspark.sources import schema as S
 
-
-def _both_wrong() -> Column:
-    return F.coalesce(F.col("status") == S.BOTH_WRONG, F.lit(False))
+APART = is_true("semantic_disagreement")
 
 
 def disagreement_groups(results: DataFrame) -> DataFrame:
@@ -23,131 +22,108 @@ def disagreement_groups(results: DataFrame) -> DataFrame:
 
     An unknown flag counts as agreement and as wrong.
     """
-    wrong = {name: ~is_true(F.col(name)) for name in ("a_correct", "b_correct")}
-    apart = F.when(is_true(F.col("semantic_disagreement")), "disagree").otherwise("agree")
-    groups = (
-        results.where(is_valid())
-        .withColumn("pair", apart)
-        .rollup("pair")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(_both_wrong()).alias("both_wrong"),
-            F.count_if(~is_true(F.col("ensemble_correct"))).alias("ensemble_wrong"),
-            (F.count_if(wrong["a_correct"]) + F.count_if(wrong["b_correct"])).alias(
-                "agent_wrong"
-            ),
-            F.grouping("pair").alias("is_total"),
-        )
+    pairs = add(
+        results.where(VALID), {"pair": f"CASE WHEN {APART} THEN 'disagree' ELSE 'agree' END"}
     )
-    return groups.select(
-        F.when(F.col("is_total") == 1, "all").otherwise(F.col("pair")).alias("grp"),
-        "n", "both_wrong", "ensemble_wrong", "agent_wrong",
-        percent(F.col("both_wrong"), F.col("n")).alias("both_wrong_pct"),
-        percent(F.col("ensemble_wrong"), F.col("n")).alias("ensemble_wrong_pct"),
-        percent(F.col("agent_wrong"), F.col("n") * 2).alias("agent_wrong_pct"),
+    wrong = {
+        "n": "true",
+        "both_wrong": BOTH_WRONG,
+        "ensemble_wrong": f"NOT {is_true('ensemble_correct')}",
+        "a_wrong": f"NOT {is_true('a_correct')}",
+        "b_wrong": f"NOT {is_true('b_correct')}",
+    }
+    counts = (F.expr(f"count_if({sql})").alias(name) for name, sql in wrong.items())
+    groups = pairs.rollup("pair").agg(*counts, F.expr("grouping(pair)").alias("is_total"))
+    return groups.selectExpr(
+        "CASE WHEN is_total = 1 THEN 'all' ELSE pair END AS grp",
+        "n", "both_wrong", "ensemble_wrong", "a_wrong + b_wrong AS agent_wrong",
+        f"{percent('both_wrong', 'n')} AS both_wrong_pct",
+        f"{percent('ensemble_wrong', 'n')} AS ensemble_wrong_pct",
+        f"{percent('a_wrong + b_wrong', 'n * 2')} AS agent_wrong_pct",
     )
 
 
 def persona_compare(results: DataFrame) -> DataFrame:
     """How the two agents compare: verdicts, picks, similarity and the A-minus-B gap."""
-    a, b, picked = F.col("a_correct"), F.col("b_correct"), F.col("selected")
-    counts = results.where(is_valid()).agg(
-        F.count("*").alias("n"),
-        F.count_if(a).alias("a_correct"),
-        F.count_if(b).alias("b_correct"),
-        F.count_if(a == b).alias("same_verdict"),
-        F.count_if(a & b).alias("both_right"),
-        F.count_if(~a & ~b).alias("both_wrong"),
-        F.count_if(a != b).alias("exactly_one_right"),
-        *(F.count_if(picked == p).alias(f"pick_{p.lower()}") for p in S.SELECTION_OF.values()),
-        F.avg("similarity").alias("mean_similarity_exact"),
+    conditions = {
+        "n": "true",
+        "a_correct": "a_correct",
+        "b_correct": "b_correct",
+        "same_verdict": "a_correct = b_correct",
+        "both_right": "a_correct AND b_correct",
+        "both_wrong": "NOT a_correct AND NOT b_correct",
+        "exactly_one_right": "a_correct <> b_correct",
+    } | {f"pick_{p.lower()}": f"selected = '{p}'" for p in S.SELECTION_OF.values()}
+    counted = results.where(VALID).agg(
+        *(F.expr(f"count_if({sql})").alias(name) for name, sql in conditions.items()),
+        F.expr("round(avg(similarity), 6)").alias("mean_similarity"),
     )
-    return counts.withColumns(
+    return add(
+        counted,
         {
-            "same_verdict_pct": percent(F.col("same_verdict"), F.col("n")),
-            "a_minus_b_pp": percent(F.col("a_correct") - F.col("b_correct"), F.col("n")),
-            "mean_similarity": F.round("mean_similarity_exact", 6),
-        }
-    ).drop("mean_similarity_exact")
+            "same_verdict_pct": percent("same_verdict", "n"),
+            "a_minus_b_pp": percent("a_correct - b_correct", "n"),
+        },
+    )
 
 
 def disagreement_breakdown(results: DataFrame) -> DataFrame:
     """Rows by agreement and by how many agents the flags call right."""
-    right = F.col("a_correct").cast("int") + F.col("b_correct").cast("int")
-    return (
-        results.where(is_valid())
-        .groupBy("semantic_disagreement", right.alias("n_right"))
-        .agg(F.count("*").alias("n"))
-    )
+    right = {"n_right": "int(a_correct) + int(b_correct)"}
+    rows = add(results.where(VALID), right)
+    return count(rows, {"n": "true"}, "semantic_disagreement", "n_right")
 
 
 def consensus_split(results: DataFrame) -> DataFrame:
     """Both-wrong rows split into consensus (agreeing) and divergent ones, with shares."""
-    wrong, apart = _both_wrong(), is_true(F.col("semantic_disagreement"))
-    counts = results.where(is_valid()).agg(
-        F.count("*").alias("n"),
-        F.count_if(wrong).alias("both_wrong"),
-        F.count_if(wrong & ~apart).alias("consensus"),
-        F.count_if(wrong & apart).alias("divergent"),
-    )
-    return counts.withColumns(
+    counted = count(
+        results.where(VALID),
         {
-            f"{kind}_of_{name}_pct": percent(F.col(kind), F.col(den))
-            for kind in ("consensus", "divergent")
-            for name, den in (("wrong", "both_wrong"), ("all", "n"))
-        }
+            "n": "true",
+            "both_wrong": BOTH_WRONG,
+            "consensus": f"{BOTH_WRONG} AND NOT {APART}",
+            "divergent": f"{BOTH_WRONG} AND {APART}",
+        },
     )
+    shares = {
+        f"{kind}_of_{name}_pct": percent(kind, whole)
+        for kind in ("consensus", "divergent")
+        for name, whole in (("wrong", "both_wrong"), ("all", "n"))
+    }
+    return add(counted, shares)
 
 
-def category_correctness(results: DataFrame) -> DataFrame:
-    return (
-        results.where(is_valid() & F.col("category").isNotNull())
-        .groupBy("category")
-        .agg(F.count("*").alias("n"),
-             F.count_if("ensemble_correct").alias("correct"))
-        .withColumn("rate", percent(F.col("correct"), F.col("n")))
-    )
+def _per_category(results: DataFrame, name: str, condition: str, min_rows: int) -> DataFrame:
+    rows = results.where(f"{VALID} AND category IS NOT NULL")
+    counted = count(rows, {"n": "true", name: condition}, "category")
+    return add(counted.where(f"n >= {min_rows}"), {"rate": percent(name, "n")})
 
 
 def category_rank(results: DataFrame, k: int = 5, min_rows: int = 10) -> DataFrame:
     """The ``k`` best and ``k`` worst categories by correctness, ties by name."""
-    rates = category_correctness(results).where(F.col("n") >= min_rows)
-    ends = [
-        rates.orderBy(order, "category").limit(k).withColumn("end", F.lit(end))
-        for end, order in (("best", F.desc("rate")), ("worst", F.asc("rate")))
-    ]
-    return ends[0].unionByName(ends[1])
+    rates = _per_category(results, "correct", "ensemble_correct", min_rows)
+    best = rates.orderBy(F.desc("rate"), "category").limit(k)
+    worst = rates.orderBy("rate", "category").limit(k)
+    return add(best, {"end": "'best'"}).unionByName(add(worst, {"end": "'worst'"}))
 
 
 def consensus_concentration(results: DataFrame, k: int = 8, min_rows: int = 5) -> DataFrame:
     """The ``k`` categories where agreeing agents are most often both wrong."""
-    shared = _both_wrong() & ~is_true(F.col("semantic_disagreement"))
-    return (
-        results.where(is_valid() & F.col("category").isNotNull())
-        .groupBy("category")
-        .agg(F.count("*").alias("n"), F.count_if(shared).alias("consensus"))
-        .where(F.col("n") >= min_rows)
-        .withColumn("rate", percent(F.col("consensus"), F.col("n")))
-        .orderBy(F.desc("rate"), "category")
-        .limit(k)
-    )
+    shared = f"{BOTH_WRONG} AND NOT {APART}"
+    rates = _per_category(results, "consensus", shared, min_rows)
+    return rates.orderBy(F.desc("rate"), "category").limit(k)
 
 
 def error_examples(
     results: DataFrame, categories: Sequence[str] | None = None, limit: int = 170
 ) -> DataFrame:
     """The first consensus error of each (listed) category, its answer shortened."""
-    shared = is_valid() & _both_wrong() & ~is_true(F.col("semantic_disagreement"))
+    wanted = f"{VALID} AND {BOTH_WRONG} AND NOT {APART} AND category IS NOT NULL"
     if categories is not None:
-        shared = shared & F.col("category").isin(*categories)
-    example = F.struct(
-        "row_id", "question",
-        shorten(F.col("answer_a"), limit, " [...]").alias("wrong"),
-        F.col("ground_truth").alias("truth"),
-    )
-    return (
-        results.where(shared & F.col("category").isNotNull())
-        .groupBy("category")
-        .agg(F.min_by(example, "row_id").alias("example"))
-        .select("category", "example.*")
+        wanted += f" AND category IN ({', '.join(map(quoted, categories))})"
+    example = (
+        "min_by(named_struct('row_id', row_id, 'question', question,"
+        f" 'wrong', {shorten('answer_a', limit, ' [...]')}, 'truth', ground_truth), row_id)"
     )
+    first = results.where(wanted).groupBy("category").agg(F.expr(example).alias("example"))
+    return first.select("category", "example.*")

@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import ERROR_PREFIX, is_attempted, strip
+from evalspark.functions.text import is_attempted, is_error, strip
+from evalspark.operators.columns import add
 from evalspark.sources import schema as S
 
 FILLED = ("base_answer", "base_correct", "base_judged")
 
+# Judged rows of two working agents that have no baseline answer yet.
+NEEDS_FILL = (
+    f"(NOT {is_attempted('base_answer')}"
+    f" AND coalesce({strip('status')} NOT IN ('', 'nan', '{S.JUDGE_ERROR}'), false)"
+    f" AND NOT {is_error('answer_a')} AND NOT {is_error('answer_b')})"
+)
+
 
 def defer_baseline(rows: DataFrame) -> DataFrame:
     """Leave the baseline of a run for later: its columns stay NULL, not false."""
     return rows.withColumn("reply_base", F.lit(None).cast("string"))
 
 
-def needs_fill() -> Column:
-    """Judged rows of two working agents that have no baseline answer yet."""
-    status = strip(F.col("status"))
-    judged = F.coalesce(~status.isin("", "nan", S.JUDGE_ERROR), F.lit(False))
-
-    def errored(answer: str) -> Column:
-        return F.coalesce(F.col(answer).startswith(ERROR_PREFIX), F.lit(False))
-
-    return (
-        ~is_attempted(F.col("base_answer")) & judged & ~errored("answer_a") & ~errored("answer_b")
-    )
-
-
 def pending_fill(results: DataFrame) -> DataFrame:
     """The rows a fill run still has to answer."""
-    return results.where(needs_fill()).select("row_id", "question", "ground_truth")
+    return results.where(NEEDS_FILL).select("row_id", "question", "ground_truth")
+
+
+def remaining_work(results: DataFrame) -> DataFrame:
+    """How many rows a fill run still has to answer."""
+    return results.agg(F.expr(f"count_if({NEEDS_FILL})").alias("remaining"))
 
 
 def fill_merge(results: DataFrame, replies: DataFrame) -> DataFrame:
@@ -41,18 +41,10 @@ def fill_merge(results: DataFrame, replies: DataFrame) -> DataFrame:
     the same replies changes nothing.  Tables bucketed by ``row_id`` merge without a
     shuffle.
     """
-    new = replies.select(
-        "row_id", *(F.col(c).alias(f"new_{c}") for c in FILLED), F.lit(True).alias("replied")
-    )
-    return (
-        results.withColumn("needed", needs_fill())
-        .join(new, "row_id", "left")
-        .withColumn("take", F.col("needed") & F.coalesce("replied", F.lit(False)))
-        .withColumns(
-            {c: F.when(F.col("take"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in FILLED}
-        )
-        .select(*results.columns)
-    )
+    new = replies.selectExpr("row_id", *(f"{c} AS new_{c}" for c in FILLED), "true AS replied")
+    joined = add(results, {"needed": NEEDS_FILL}).join(new, "row_id", "left")
+    taken = {c: f"CASE WHEN needed AND replied THEN new_{c} ELSE {c} END" for c in FILLED}
+    return add(joined, taken).select(*results.columns)
 
 
 def resume_prefix(prior: DataFrame, questions: DataFrame) -> DataFrame:
@@ -62,16 +54,14 @@ def resume_prefix(prior: DataFrame, questions: DataFrame) -> DataFrame:
     before it does not carry the source's question, nothing is kept.  Both decisions are
     scalar subqueries, so no window over all rows and no join of wide rows is needed.
     """
-    first_error = (
-        prior.where(F.col("status") == S.JUDGE_ERROR).agg(F.min("row_id")).scalar()
-    )
+    first_error = prior.where(f"status = '{S.JUDGE_ERROR}'").agg(F.min("row_id")).scalar()
     leading = F.coalesce(F.col("row_id") < first_error, F.lit(True))
-    source = questions.select("row_id", F.col("question").alias("source_question"))
+    source = questions.selectExpr("row_id", "question AS source_question")
     mismatch = (
         prior.select("row_id", "question")
         .where(leading)
         .join(source, "row_id", "left")
-        .agg(F.bool_or(~F.col("question").eqNullSafe(F.col("source_question"))))
+        .agg(F.expr("bool_or(NOT question <=> source_question)"))
         .scalar()
     )
     return prior.where(leading & ~F.coalesce(mismatch, F.lit(False)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.operators.columns import add
+
 # At most this many keys can hold more than 1/10,000 of the rows each, so a list of the
 # most frequent keys of this length is all that can unbalance a shuffle.
 MAX_HOT_KEYS = 10_000
@@ -16,13 +18,10 @@ def hot_keys(rows: DataFrame, key: str, rows_per_task: int) -> DataFrame:
     Reads the key column only and counts before shuffling.  Never more than
     ``MAX_HOT_KEYS`` rows of two numbers.
     """
-    return (
-        rows.groupBy(F.xxhash64(key).alias("key_hash"))
-        .count()
-        .where(F.col("count") > rows_per_task)
-        .orderBy(F.desc("count"), "key_hash")
-        .limit(MAX_HOT_KEYS)
-        .select("key_hash", F.ceil(F.col("count") / rows_per_task).cast("int").alias("tasks"))
+    counted = rows.groupBy(F.xxhash64(key).alias("key_hash")).count()
+    frequent = counted.where(f"count > {rows_per_task}").orderBy(F.desc("count"), "key_hash")
+    return frequent.limit(MAX_HOT_KEYS).selectExpr(
+        "key_hash", f"int(ceil(count / {rows_per_task})) AS tasks"
     )
 
 
@@ -41,17 +40,13 @@ def lookup(
     one hash only share a spread, which both sides compute alike.
     """
     hot = F.broadcast(hot_keys(rows, key, rows_per_task))
-    spread = F.coalesce("tasks", F.lit(1))
-    left = (
-        rows.withColumn("key_hash", F.xxhash64(key))
-        .join(hot, "key_hash", "left")
-        .withColumn("part", F.pmod(F.xxhash64("row_id"), spread).cast("int"))
-        .drop("key_hash", "tasks")
-    )
-    right = (
-        table.withColumn("key_hash", F.xxhash64(key))
-        .join(hot, "key_hash", "left")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), spread - 1)))
-        .drop("key_hash", "tasks")
-    )
+
+    def spread(side: DataFrame, part: str) -> DataFrame:
+        hashed = side.withColumn("key_hash", F.xxhash64(key))
+        return add(hashed.join(hot, "key_hash", "left"), {"part": part}).drop(
+            "key_hash", "tasks"
+        )
+
+    left = spread(rows, "int(pmod(xxhash64(row_id), coalesce(tasks, 1)))")
+    right = spread(table, "explode(sequence(0, coalesce(tasks, 1) - 1))")
     return left.join(right, [key, "part"], how).drop("part")

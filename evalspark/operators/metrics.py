@@ -6,65 +6,56 @@ false" are both tested, so an unknown flag counts for neither.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.stats import percent
-from evalspark.functions.text import ERROR_PREFIX, is_attempted, is_failed
+from evalspark.functions.text import is_attempted, is_error, is_failed
+from evalspark.operators.columns import add
 from evalspark.sources import schema as S
 
+VALID = f"(NOT {is_failed('answer_a')} AND NOT {is_failed('answer_b')})"
+BOTH_WRONG = f"coalesce(status = '{S.BOTH_WRONG}', false)"
+ATTEMPTED = is_attempted("base_answer")
+
 
-def is_valid() -> Column:
-    """Both agents gave an answer."""
-    return ~is_failed(F.col("answer_a")) & ~is_failed(F.col("answer_b"))
+def count(rows: DataFrame, conditions: Mapping[str, str], *keys: str) -> DataFrame:
+    """Count the rows meeting each condition; partial counts before any shuffle."""
+    counts = (F.expr(f"count_if({sql})").alias(name) for name, sql in conditions.items())
+    return rows.groupBy(*keys).agg(*counts)
 
 
 def answer_validity(rows: DataFrame) -> DataFrame:
     """Per row: which answers failed, whether the pair counts, whether the baseline ran."""
-    return rows.select(
+    return rows.selectExpr(
         "row_id",
-        is_failed(F.col("answer_a")).alias("a_failed"),
-        is_failed(F.col("answer_b")).alias("b_failed"),
-        is_valid().alias("valid"),
-        is_attempted(F.col("base_answer")).alias("base_attempted"),
-        is_failed(F.col("base_answer")).alias("base_failed"),
+        f"{is_failed('answer_a')} AS a_failed",
+        f"{is_failed('answer_b')} AS b_failed",
+        f"{VALID} AS valid",
+        f"{ATTEMPTED} AS base_attempted",
+        f"{is_failed('base_answer')} AS base_failed",
     )
 
 
-def _base_counted() -> Column:
-    """The baseline ran and gave something other than an error message."""
-    answer = F.col("base_answer")
-    return is_attempted(answer) & ~F.coalesce(answer.startswith(ERROR_PREFIX), F.lit(False))
-
-
-def _counts(**conditions: Column) -> list[Column]:
-    return [F.count_if(condition).alias(name) for name, condition in conditions.items()]
-
-
 def eval_summary(results: DataFrame) -> DataFrame:
     """One row: totals, rates over valid rows, and the precision of both disagreements."""
-    valid, status = is_valid(), F.col("status")
-    apart, split = F.col("semantic_disagreement"), F.col("factual_disagreement")
-    right = F.col("ensemble_correct")
-    counts = results.agg(
-        F.count("*").alias("total"),
-        *_counts(
-            valid=valid,
-            semantic_n=valid & apart,
-            factual_n=valid & split,
-            a_correct_n=valid & F.col("a_correct"),
-            b_correct_n=valid & F.col("b_correct"),
-            both_correct_n=valid & (status == S.BOTH_CORRECT),
-            both_wrong_n=valid & (status == S.BOTH_WRONG),
-            abstained_n=valid & (F.col("final_answer") == S.NO_ANSWER),
-            ensemble_n=valid & right,
-            agree_n=valid & ~apart,
-            semantic_wrong_n=valid & apart & ~right,
-            factual_wrong_n=valid & split & ~right,
-            agree_both_wrong_n=valid & ~apart & (status == S.BOTH_WRONG),
-            disagree_both_wrong_n=valid & apart & (status == S.BOTH_WRONG),
-        ),
-    )
+    conditions = {
+        "semantic_n": "semantic_disagreement",
+        "factual_n": "factual_disagreement",
+        "a_correct_n": "a_correct",
+        "b_correct_n": "b_correct",
+        "both_correct_n": f"status = '{S.BOTH_CORRECT}'",
+        "both_wrong_n": f"status = '{S.BOTH_WRONG}'",
+        "abstained_n": f"final_answer = '{S.NO_ANSWER}'",
+        "ensemble_n": "ensemble_correct",
+        "agree_n": "NOT semantic_disagreement",
+        "semantic_wrong_n": "semantic_disagreement AND NOT ensemble_correct",
+        "factual_wrong_n": "factual_disagreement AND NOT ensemble_correct",
+        "agree_both_wrong_n": f"NOT semantic_disagreement AND status = '{S.BOTH_WRONG}'",
+        "disagree_both_wrong_n": f"semantic_disagreement AND status = '{S.BOTH_WRONG}'",
+    }
     rates = {
         "semantic_pct": ("semantic_n", "valid"),
         "factual_pct": ("factual_n", "valid"),
@@ -79,88 +70,87 @@ def eval_summary(results: DataFrame) -> DataFrame:
         "agree_both_wrong_pct": ("agree_both_wrong_n", "agree_n"),
         "disagree_both_wrong_pct": ("disagree_both_wrong_n", "semantic_n"),
     }
-    return counts.withColumns(
-        {name: percent(F.col(num), F.col(den)) for name, (num, den) in rates.items()}
+    counted = count(
+        add(results, {"is_valid": VALID}),
+        {"total": "true", "valid": "is_valid"}
+        | {name: f"is_valid AND {condition}" for name, condition in conditions.items()},
     )
+    return add(counted, {name: percent(*parts) for name, parts in rates.items()})
 
 
 def _against_base(results: DataFrame) -> DataFrame:
-    valid, counted = is_valid(), _base_counted()
-    return results.agg(
-        *_counts(
-            valid=valid,
-            ensemble_n=valid & F.col("ensemble_correct"),
-            attempted=valid & is_attempted(F.col("base_answer")),
-            similar_n=valid & counted & F.col("base_correct"),
-            judged_n=valid & counted & F.col("base_judged"),
-        )
-    ).withColumn("pending", F.col("valid") - F.col("attempted"))
+    valid = results.where(VALID)
+    answered = f"{ATTEMPTED} AND NOT {is_error('base_answer')}"
+    return count(
+        valid,
+        {
+            "valid": "true",
+            "ensemble_n": "ensemble_correct",
+            "attempted": ATTEMPTED,
+            "similar_n": f"{answered} AND base_correct",
+            "judged_n": f"{answered} AND base_judged",
+            "pending": f"NOT {ATTEMPTED}",
+        },
+    )
 
 
 def base_metrics(results: DataFrame) -> DataFrame:
     """Baseline correctness over attempted rows; differences only once nothing is pending."""
-    rates = _against_base(results).withColumns(
-        {
-            "similar_pct": percent(F.col("similar_n"), F.col("attempted")),
-            "judged_pct": percent(F.col("judged_n"), F.col("attempted")),
-            "ensemble_pct": percent(F.col("ensemble_n"), F.col("valid")),
-        }
-    )
-    complete = (F.col("pending") == 0) & (F.col("attempted") > 0)
-    return rates.withColumns(
-        {
-            f"difference_{name}_pp": F.when(
-                complete, F.col("ensemble_pct") - F.col(f"{name}_pct")
-            )
-            for name in ("similar", "judged")
-        }
-    )
+    rates = {
+        "similar_pct": percent("similar_n", "attempted"),
+        "judged_pct": percent("judged_n", "attempted"),
+        "ensemble_pct": percent("ensemble_n", "valid"),
+    }
+    complete = "pending = 0 AND attempted > 0"
+    differences = {
+        f"difference_{name}_pp": f"CASE WHEN {complete} THEN ensemble_pct - {name}_pct END"
+        for name in ("similar", "judged")
+    }
+    return add(add(_against_base(results), rates), differences)
 
 
 def head_to_head(results: DataFrame) -> DataFrame:
     """Ensemble against baseline over all valid rows; baseline side NULL while pending."""
-    complete = F.col("pending") == 0
-    base = _against_base(results)
     rates = {
-        "ensemble_pct": percent(F.col("ensemble_n"), F.col("valid")),
-        "judged_pct": F.when(complete, percent(F.col("judged_n"), F.col("valid"))),
-        "similar_pct": F.when(complete, percent(F.col("similar_n"), F.col("valid"))),
-        "difference_pp": F.when(
-            complete, percent(F.col("ensemble_n") - F.col("judged_n"), F.col("valid"))
-        ),
+        "judged_pct": percent("judged_n", "valid"),
+        "similar_pct": percent("similar_n", "valid"),
+        "difference_pp": percent("ensemble_n - judged_n", "valid"),
     }
-    return base.withColumns(rates).select(
-        "valid", "ensemble_n", "attempted", "pending", *rates
+    return _against_base(results).selectExpr(
+        "valid", "ensemble_n", "attempted", "pending",
+        f"{percent('ensemble_n', 'valid')} AS ensemble_pct",
+        *(f"CASE WHEN pending = 0 THEN {sql} END AS {name}" for name, sql in rates.items()),
     )
 
 
 def data_quality(results: DataFrame) -> DataFrame:
     """Totals, dropped rows, and errors among the valid rows."""
-    valid = is_valid()
-    base_error = F.coalesce(F.col("base_answer").startswith(ERROR_PREFIX), F.lit(False))
-    return results.agg(
-        F.count("*").alias("total"),
-        *_counts(
-            valid=valid,
-            dropped=~valid,
-            judge_errors=valid & (F.col("status") == S.JUDGE_ERROR),
-            base_errors=valid & base_error,
-        ),
+    return count(
+        add(results, {"is_valid": VALID}),
+        {
+            "total": "true",
+            "valid": "is_valid",
+            "dropped": "NOT is_valid",
+            "judge_errors": f"is_valid AND status = '{S.JUDGE_ERROR}'",
+            "base_errors": f"is_valid AND {is_error('base_answer')}",
+        },
     )
 
 
 def operational_rates(results: DataFrame) -> DataFrame:
     """How often the judge answered, answered readably, or had to be replaced."""
-    judged = F.coalesce(F.col("status") != S.JUDGE_ERROR, F.lit(True))
-    replaced = F.contains(F.lower("reason"), F.lit(S.FALLBACK_MARK))
-    counts = results.agg(
-        F.count("*").alias("total"),
-        *_counts(judged=judged, fallback=replaced, judge_errors=~judged),
-    ).withColumn("clean_parse", F.col("judged") - F.col("fallback"))
-    return counts.withColumns(
+    counted = count(
+        results,
         {
-            "clean_parse_pct": percent(F.col("clean_parse"), F.col("judged")),
-            "fallback_pct": percent(F.col("fallback"), F.col("judged")),
-            "judge_error_pct": percent(F.col("judge_errors"), F.col("total")),
-        }
+            "total": "true",
+            "judged": f"NOT status <=> '{S.JUDGE_ERROR}'",
+            "fallback": f"contains(lower(reason), '{S.FALLBACK_MARK}')",
+            "judge_errors": f"status = '{S.JUDGE_ERROR}'",
+        },
     )
+    rates = {
+        "clean_parse_pct": percent("clean_parse", "judged"),
+        "fallback_pct": percent("fallback", "judged"),
+        "judge_error_pct": percent("judge_errors", "total"),
+    }
+    return add(add(counted, {"clean_parse": "judged - fallback"}), rates)

@@ -8,33 +8,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from evalspark.functions import verdict as V
 from evalspark.functions.similarity import text_cosine
-from evalspark.functions.text import ERROR_PREFIX, clean_output, is_attempted, is_failed
+from evalspark.functions.text import clean_output, is_attempted, is_error, is_failed
+from evalspark.operators.columns import add, settle
 from evalspark.sources import schema as S
 
-Similarity = Callable[[str, str], Column]
+Similarity = Callable[[str, str], str]
+"""Two column names to a SQL expression; ``text_cosine``, or a vector cosine for users
+who bring embedding columns."""
 
-
-def by_text(x: str, y: str) -> Column:
-    """Similarity of two text columns by their words."""
-    return text_cosine(F.col(x), F.col(y))
+PAIR_FAILED = f"({is_failed('answer_a')} OR {is_failed('answer_b')})"
 
 
 def clean_replies(rows: DataFrame) -> DataFrame:
     """Answers from raw replies ``reply_a``, ``reply_b``, ``reply_base``."""
-    return rows.withColumns(
-        {f"answer_{who}": clean_output(F.col(f"reply_{who}")) for who in ("a", "b")}
-        | {"base_answer": clean_output(F.col("reply_base"))}
-    ).drop("reply_a", "reply_b", "reply_base")
+    answers = {
+        "answer_a": clean_output("reply_a"),
+        "answer_b": clean_output("reply_b"),
+        "base_answer": clean_output("reply_base"),
+    }
+    return settle(rows, answers).drop("reply_a", "reply_b", "reply_base")
 
 
 def pair_similarity(
     rows: DataFrame,
-    similar: Similarity = by_text,
+    similar: Similarity = text_cosine,
     threshold: float = S.SIMILARITY_THRESHOLD,
 ) -> DataFrame:
     """Add the A-to-B similarity (6 decimals) and the disagreement flag.
@@ -42,18 +43,12 @@ def pair_similarity(
     A failed pair has similarity 0.0 and counts as no disagreement.  The flag looks at the
     unrounded value.
     """
-    failed = is_failed(F.col("answer_a")) | is_failed(F.col("answer_b"))
-    exact = F.when(failed, 0.0).otherwise(similar("answer_a", "answer_b"))
-    return (
-        rows.withColumn("exact_similarity", exact)
-        .withColumns(
-            {
-                "similarity": F.round("exact_similarity", 6),
-                "semantic_disagreement": ~failed & (F.col("exact_similarity") < threshold),
-            }
-        )
-        .drop("exact_similarity")
-    )
+    exact = f"CASE WHEN {PAIR_FAILED} THEN 0.0D ELSE {similar('answer_a', 'answer_b')} END"
+    flags = {
+        "similarity": "round(exact_similarity, 6)",
+        "semantic_disagreement": f"NOT {PAIR_FAILED} AND exact_similarity < {threshold}D",
+    }
+    return add(add(rows, {"exact_similarity": exact}), flags).drop("exact_similarity")
 
 
 def parse_verdicts(rows: DataFrame, truthy: bool = False) -> DataFrame:
@@ -61,60 +56,61 @@ def parse_verdicts(rows: DataFrame, truthy: bool = False) -> DataFrame:
 
     ``parsed`` is true only if both flags, the status and the selection can be read.
     """
-    v = F.col("verdict_object")
-    said = {
-        "said_a": V.flag(v, "answer_a_correct", truthy),
-        "said_b": V.flag(v, "answer_b_correct", truthy),
-        "said_status": V.enum(v, "selection_status", truthy),
-        "said_selected": V.enum(v, "selected_answer", truthy),
-        "said_reason": V.note(v, "reason"),
-        "said_base": F.coalesce(V.flag(v, "baseline_correct", truthy), F.lit(False)),
+    fields = {
+        "a": "answer_a_correct", "b": "answer_b_correct", "base": "baseline_correct",
+        "status": "selection_status", "selected": "selected_answer", "reason": "reason",
     }
-    needed = ("said_a", "said_b", "said_status", "said_selected")
-    readable = F.lit(True)
-    for name in needed:
-        readable = readable & F.col(name).isNotNull()
-    return (
-        rows.withColumn("verdict_object", V.parse_object(V.json_object(F.col("verdict"))))
-        .withColumns(said)
-        .drop("verdict_object")
-        .withColumn("parsed", readable)
+    found = settle(rows, {"object": V.parse_object(V.json_object("verdict"))})
+    typed = settle(
+        found,
+        {f"kind_{name}": V.kind("object", key) for name, key in fields.items()}
+        | {f"text_{name}": V.text("object", key) for name, key in fields.items()},
+    ).drop("object")
+    said = settle(
+        typed,
+        {f"said_{x}": V.flag(f"kind_{x}", f"text_{x}", truthy) for x in ("a", "b")}
+        | {
+            f"said_{x}": V.enum(f"kind_{x}", f"text_{x}", truthy)
+            for x in ("status", "selected")
+        }
+        | {
+            "said_reason": "coalesce(text_reason, '')",
+            "said_base": f"coalesce({V.flag('kind_base', 'text_base', truthy)}, false)",
+        },
     )
+    readable = "said_a IS NOT NULL AND said_b IS NOT NULL AND said_status IS NOT NULL AND said_selected IS NOT NULL"
+    used = [f"{part}_{name}" for part in ("kind", "text") for name in fields]
+    return add(said.drop(*used), {"parsed": readable})
 
 
-def status_of(a: Column, b: Column) -> Column:
+def status_of(a: str, b: str) -> str:
     """The four-way status two correctness flags stand for."""
     return (
-        F.when(a & b, S.BOTH_CORRECT)
-        .when(a, S.A_CORRECT)
-        .when(b, S.B_CORRECT)
-        .otherwise(S.BOTH_WRONG)
+        f"CASE WHEN {a} AND {b} THEN '{S.BOTH_CORRECT}' WHEN {a} THEN '{S.A_CORRECT}'"
+        f" WHEN {b} THEN '{S.B_CORRECT}' ELSE '{S.BOTH_WRONG}' END"
     )
 
 
-def selection_of(status: Column) -> Column:
-    chosen = F.lit(None).cast("string")
-    for word, selected in S.SELECTION_OF.items():
-        chosen = F.when(status == word, selected).otherwise(chosen)
-    return chosen
+def selection_of(status: str) -> str:
+    """The selection that goes with a four-way status."""
+    cases = " ".join(f"WHEN '{word}' THEN '{s}'" for word, s in S.SELECTION_OF.items())
+    return f"CASE {status} {cases} END"
 
 
 def base_grade(
-    similar: Similarity = by_text, threshold: float = S.SIMILARITY_THRESHOLD
-) -> Column:
+    similar: Similarity = text_cosine, threshold: float = S.SIMILARITY_THRESHOLD
+) -> str:
     """Baseline correctness by similarity alone: pending is NULL, failed is false."""
-    answer = F.col("base_answer")
-    return F.when(
-        is_attempted(answer),
-        F.when(is_failed(answer), False).otherwise(
-            similar("base_answer", "ground_truth") > threshold
-        ),
+    near = f"{similar('base_answer', 'ground_truth')} > {threshold}D"
+    return (
+        f"CASE WHEN NOT {is_attempted('base_answer')} THEN NULL"
+        f" WHEN {is_failed('base_answer')} THEN false ELSE {near} END"
     )
 
 
 def resolve_verdicts(
     rows: DataFrame,
-    similar: Similarity = by_text,
+    similar: Similarity = text_cosine,
     threshold: float = S.SIMILARITY_THRESHOLD,
 ) -> DataFrame:
     """Turn parsed verdicts into result columns, with a fallback for unreadable ones.
@@ -122,92 +118,73 @@ def resolve_verdicts(
     A failed pair or a failed judge call becomes an error row.  Otherwise an unreadable
     verdict is replaced by similarity to the ground truth, computed only where needed.
     """
-    reply = F.col("verdict")
-    pair_failed = is_failed(F.col("answer_a")) | is_failed(F.col("answer_b"))
-    call_failed = F.coalesce(reply.startswith(ERROR_PREFIX), F.lit(True))
-    parsed = F.col("parsed")
-
-    def graded(said: str, answer: str) -> Column:
-        return (
-            F.when(F.col("judge_failed"), False)
-            .when(parsed, F.col(said))
-            .otherwise(similar(answer, "ground_truth") > threshold)
-        )
-
-    base = F.col("base_answer")
-    status, a, b = F.col("status"), F.col("a_correct"), F.col("b_correct")
-    right = status.isin(S.A_CORRECT, S.B_CORRECT, S.BOTH_CORRECT)
-    return (
-        rows.withColumn("judge_failed", pair_failed | call_failed)
-        .withColumns(
-            {
-                "a_correct": graded("said_a", "answer_a"),
-                "b_correct": graded("said_b", "answer_b"),
-                "base_correct": base_grade(similar, threshold),
-                "pair_failed": pair_failed,
-            }
-        )
-        .withColumns(
-            {
-                "factual_disagreement": a != b,
-                "status": F.when(F.col("judge_failed"), S.JUDGE_ERROR)
-                .when(parsed, F.col("said_status"))
-                .otherwise(status_of(a, b)),
-                "reason": F.when(F.col("pair_failed"), S.SKIPPED_REASON)
-                .when(F.col("judge_failed"), F.coalesce(reply, F.lit(ERROR_PREFIX)))
-                .when(parsed, F.col("said_reason"))
-                .otherwise(S.FALLBACK_REASON),
-                "base_judged": F.when(
-                    is_attempted(base),
-                    F.when(
-                        parsed & ~F.col("judge_failed"), F.col("said_base") & ~is_failed(base)
-                    ).otherwise(F.col("base_correct")),
-                ),
-            }
-        )
-        .withColumns(
-            {
-                "selected": F.when(F.col("judge_failed"), "NONE")
-                .when(parsed, F.col("said_selected"))
-                .otherwise(selection_of(status)),
-                "final_answer": F.when(status == S.A_CORRECT, F.col("answer_a"))
-                .when(status == S.B_CORRECT, F.col("answer_b"))
-                .when(status == S.BOTH_CORRECT, S.BOTH_CORRECT)
-                .otherwise(S.NO_ANSWER),
-                "ensemble_correct": F.coalesce(right, F.lit(False)),
-            }
-        )
+
+    def graded(said: str, answer: str) -> str:
+        near = f"{similar(answer, 'ground_truth')} > {threshold}D"
+        return f"CASE WHEN judge_failed THEN false WHEN parsed THEN {said} ELSE {near} END"
+
+    call_failed = f"(verdict IS NULL OR {is_error('verdict')})"
+    attempted = is_attempted("base_answer")
+    said_base = f"said_base AND NOT {is_failed('base_answer')}"
+    failed = add(
+        rows, {"pair_failed": PAIR_FAILED, "judge_failed": f"{PAIR_FAILED} OR {call_failed}"}
+    )
+    flags = settle(
+        failed,
+        {"a_correct": graded("said_a", "answer_a"), "b_correct": graded("said_b", "answer_b")},
+    )
+    worded = add(
+        flags,
+        {
+            "base_correct": base_grade(similar, threshold),
+            "factual_disagreement": "a_correct <> b_correct",
+            "status": f"CASE WHEN judge_failed THEN '{S.JUDGE_ERROR}' WHEN parsed"
+            f" THEN said_status ELSE {status_of('a_correct', 'b_correct')} END",
+            "reason": f"CASE WHEN pair_failed THEN '{S.SKIPPED_REASON}' WHEN judge_failed"
+            f" THEN coalesce(verdict, 'ERROR:') WHEN parsed THEN said_reason"
+            f" ELSE '{S.FALLBACK_REASON}' END",
+        },
+    )
+    return add(
+        worded,
+        {
+            "base_judged": f"CASE WHEN {attempted} AND parsed AND NOT judge_failed"
+            f" THEN {said_base} ELSE base_correct END",
+            "selected": "CASE WHEN judge_failed THEN 'NONE' WHEN parsed THEN said_selected"
+            f" ELSE {selection_of('status')} END",
+            "final_answer": f"CASE status WHEN '{S.A_CORRECT}' THEN answer_a"
+            f" WHEN '{S.B_CORRECT}' THEN answer_b WHEN '{S.BOTH_CORRECT}'"
+            f" THEN '{S.BOTH_CORRECT}' ELSE '{S.NO_ANSWER}' END",
+            "ensemble_correct": f"status IN ('{S.A_CORRECT}', '{S.B_CORRECT}',"
+            f" '{S.BOTH_CORRECT}')",
+        },
     )
 
 
 def grade_baseline(
     rows: DataFrame,
-    similar: Similarity = by_text,
+    similar: Similarity = text_cosine,
     threshold: float = S.SIMILARITY_THRESHOLD,
     truthy: bool = False,
 ) -> DataFrame:
     """Grade late baseline answers: ``base_correct`` by similarity, ``base_judged`` by the
     baseline-only judge's reply in ``verdict``, or by similarity if that is unreadable."""
-    said = V.flag(F.col("verdict_object"), "answer_correct", truthy)
-    return (
-        rows.withColumn("verdict_object", V.parse_object(V.json_object(F.col("verdict"))))
-        .withColumns({"said_base": said, "base_correct": base_grade(similar, threshold)})
-        .withColumn(
-            "base_judged",
-            F.when(
-                is_attempted(F.col("base_answer")),
-                F.when(is_failed(F.col("base_answer")), False).otherwise(
-                    F.coalesce("said_base", "base_correct")
-                ),
-            ),
-        )
-        .drop("verdict_object", "said_base")
+    key = "answer_correct"
+    found = settle(rows, {"object": V.parse_object(V.json_object("verdict"))})
+    typed = settle(
+        found, {"said_kind": V.kind("object", key), "said_text": V.text("object", key)}
     )
+    graded = add(typed, {"base_correct": base_grade(similar, threshold)})
+    judged = (
+        f"CASE WHEN {is_failed('base_answer')} THEN base_correct"
+        f" ELSE coalesce({V.flag('said_kind', 'said_text', truthy)}, base_correct) END"
+    )
+    return add(graded, {"base_judged": judged}).drop("object", "said_kind", "said_text")
 
 
 def evaluate(
     rows: DataFrame,
-    similar: Similarity = by_text,
+    similar: Similarity = text_cosine,
     threshold: float = S.SIMILARITY_THRESHOLD,
     truthy: bool = False,
     keep: tuple[str, ...] = (),
@@ -217,6 +194,8 @@ def evaluate(
     ``rows`` has row_id, question, ground_truth, reply_a, reply_b, reply_base (NULL where
     the baseline is left for later) and verdict; ``keep`` names columns to carry along.
     """
-    answers = pair_similarity(clean_replies(rows), similar, threshold)
-    resolved = resolve_verdicts(parse_verdicts(answers, truthy), similar, threshold)
-    return resolved.select("row_id", *S.RESULT_COLUMNS, *keep)
+    parsed = parse_verdicts(clean_replies(rows), truthy)
+    resolved = resolve_verdicts(parsed, similar, threshold)
+    return pair_similarity(resolved, similar, threshold).select(
+        "row_id", *S.RESULT_COLUMNS, *keep
+    )

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.booleans import is_true
 from evalspark.functions.similarity import best_cosine
 from evalspark.functions.text import is_attempted, is_failed, words
+from evalspark.operators.columns import add
 from evalspark.operators.joins import lookup
 
 
@@ -22,6 +23,10 @@ class Rated:
     answer: str
     judge: str
 
+    @property
+    def label(self) -> str:
+        return f"ref_{self.who}"
+
 
 RATED = (
     Rated("agentA", "answer_a", "a_correct"),
@@ -30,14 +35,7 @@ RATED = (
 )
 
 CANDIDATE, CORRECT, INCORRECT = 0, 1, 2
-
-
-def _usable(answer: str) -> Column:
-    return ~is_failed(F.col(answer)) & is_attempted(F.col(answer))
-
-
-def _label(who: str) -> str:
-    return f"ref_{who}"
+BOTH_SETS = "coalesce(size(correct) > 0 AND size(incorrect) > 0, false)"
 
 
 def reference_labels(
@@ -57,73 +55,71 @@ def reference_labels(
     shuffled once by ``row_id``, and all word counting below happens within that
     partitioning: work is linear in the words of a row, whatever the number of references.
     """
-    carried = ["row_id", *keep, *(_label(r.who) for r in rated)]
+    carried = ["row_id", *keep, *(r.label for r in rated)]
     rows = lookup(
         results.select("row_id", "question", *keep, *(r.answer for r in rated)),
         references, "question", "left", rows_per_task,
     )
-    both_sets = F.coalesce((F.size("correct") > 0) & (F.size("incorrect") > 0), F.lit(False))
-
-    def slots(kind: int, texts: Column) -> Column:
-        return F.transform(
-            F.coalesce(texts, F.array().cast("array<string>")),
-            lambda t, i: F.struct(
-                F.lit(kind).alias("kind"), i.alias("slot"), t.alias("text")
-            ),
+
+    def slots(kind: int, texts: str) -> str:
+        return (
+            f"transform({texts}, (t, i) -> named_struct('kind', {kind}, 'slot', i, 'text', t))"
         )
 
-    texts = F.concat(
-        slots(CANDIDATE, F.array(*(F.col(r.answer) for r in rated))),
-        slots(CORRECT, F.col("correct")),
-        slots(INCORRECT, F.col("incorrect")),
-    )
     # Until the end a label column says whether there is anything to label.
-    placed = (
-        rows.withColumns({_label(r.who): both_sets & _usable(r.answer) for r in rated})
-        .select(*carried, texts.alias("texts"))
-        .repartition("row_id")
+    usable = {
+        r.label: f"{BOTH_SETS} AND NOT {is_failed(r.answer)} AND {is_attempted(r.answer)}"
+        for r in rated
+    }
+    texts = ", ".join(
+        (
+            slots(CANDIDATE, f"array({', '.join(r.answer for r in rated)})"),
+            slots(CORRECT, "coalesce(correct, array())"),
+            slots(INCORRECT, "coalesce(incorrect, array())"),
+        )
     )
+    placed = add(rows, usable).selectExpr(*carried, f"concat({texts}) AS texts")
     # The blank word keeps a text without words in the result; it has no weight.
-    tokens = placed.select(*carried, F.inline("texts")).select(
-        *carried, "kind", "slot", F.explode(F.array_append(words(F.col("text")), "")).alias("word")
+    tokens = (
+        placed.repartition("row_id")
+        .selectExpr(*carried, "inline(texts)")
+        .selectExpr(
+            *carried, "kind", "slot",
+            f"explode(array_append({words('text')}, '')) AS word",
+        )
+    )
+    counts = tokens.groupBy(*carried, "kind", "slot", "word").agg(
+        F.expr("CASE WHEN word = '' THEN 0 ELSE count(*) END").alias("n")
     )
-    weight = F.when(F.col("word") == "", 0).otherwise(F.count("*"))
-    counts = tokens.groupBy(*carried, "kind", "slot", "word").agg(weight.alias("n"))
-    same_word = Window.partitionBy(*carried, "word")
-    beside = counts.withColumns(
+    same_word = ", ".join((*carried, "word"))
+    beside = add(
+        counts,
         {
-            f"n_{i}": F.coalesce(
-                F.max(
-                    F.when((F.col("kind") == CANDIDATE) & (F.col("slot") == i), F.col("n"))
-                ).over(same_word),
-                F.lit(0),
-            )
+            f"n_{i}": f"coalesce(max(CASE WHEN kind = {CANDIDATE} AND slot = {i} THEN n END)"
+            f" OVER (PARTITION BY {same_word}), 0)"
             for i in range(len(rated))
-        }
+        },
     )
     matched = beside.groupBy(*carried, "kind", "slot").agg(
-        F.sum(F.col("n") * F.col("n")).alias("square"),
-        *(F.sum(F.col("n") * F.col(f"n_{i}")).alias(f"dot_{i}") for i in range(len(rated))),
+        F.expr("sum(n * n)").alias("square"),
+        *(F.expr(f"sum(n * n_{i})").alias(f"dot_{i}") for i in range(len(rated))),
     )
 
-    def closest(i: int, kind: int) -> Column:
+    def closest(i: int, kind: int) -> str:
         # The candidate's own norm divides both sides alike, so it is left out.
-        closeness = F.try_divide(F.col(f"dot_{i}").cast("double"), F.sqrt("square"))
-        return F.coalesce(F.max(F.when(F.col("kind") == kind, closeness)), F.lit(0.0))
+        near = f"try_divide(double(dot_{i}), sqrt(square))"
+        return f"coalesce(max(CASE WHEN kind = {kind} THEN {near} END), 0.0D)"
 
     best = matched.groupBy(*carried).agg(
         *(
-            (closest(i, CORRECT) > closest(i, INCORRECT)).alias(f"closer_{i}")
+            F.expr(f"{closest(i, CORRECT)} > {closest(i, INCORRECT)}").alias(f"closer_{i}")
             for i in range(len(rated))
         )
     )
-    return best.select(
+    return best.selectExpr(
         "row_id",
         *keep,
-        *(
-            F.when(F.col(_label(r.who)), F.col(f"closer_{i}")).alias(_label(r.who))
-            for i, r in enumerate(rated)
-        ),
+        *(f"CASE WHEN {r.label} THEN closer_{i} END AS {r.label}" for i, r in enumerate(rated)),
     )
 
 
@@ -135,13 +131,10 @@ def reference_labels_by_vector(
 
     Rows without both sets are dropped.
     """
-    joined = lookup(rows, references, key, "inner", rows_per_task).where(
-        (F.size("correct") > 0) & (F.size("incorrect") > 0) & F.col("vector").isNotNull()
-    )
-    closer = best_cosine(F.col("vector"), F.col("correct")) > best_cosine(
-        F.col("vector"), F.col("incorrect")
-    )
-    return joined.withColumn("ref", closer).drop("vector", "correct", "incorrect")
+    closer = f"{best_cosine('vector', 'correct')} > {best_cosine('vector', 'incorrect')}"
+    joined = lookup(rows, references, key, "inner", rows_per_task)
+    rated = joined.where(f"{BOTH_SETS} AND vector IS NOT NULL")
+    return add(rated, {"ref": closer}).drop("vector", "correct", "incorrect")
 
 
 def rater_long(labels: DataFrame, rated: Sequence[Rated] = RATED) -> DataFrame:
@@ -149,22 +142,15 @@ def rater_long(labels: DataFrame, rated: Sequence[Rated] = RATED) -> DataFrame:
 
     ``labels`` is the output of ``reference_labels`` that kept the judge's flags.
     """
-    judgments = F.array(
-        *(
-            F.struct(
-                F.lit(r.who).alias("who"),
-                is_true(F.col(r.judge)).alias("judge"),
-                F.col(_label(r.who)).alias("ref"),
-            )
-            for r in rated
-        )
+    judgments = ", ".join(
+        f"named_struct('who', '{r.who}', 'judge', {is_true(r.judge)}, 'ref', {r.label})"
+        for r in rated
     )
-    return labels.select("row_id", F.inline(judgments)).where(F.col("ref").isNotNull())
+    return labels.selectExpr("row_id", f"inline(array({judgments}))").where("ref IS NOT NULL")
 
 
-def raters_disagree(rated: Sequence[Rated] = RATED) -> Column:
+def raters_disagree(rated: Sequence[Rated] = RATED) -> str:
     """True where judge and reference rater differ on any labelled answer of the row."""
-    differs = F.lit(False)
-    for r in rated:
-        differs = differs | F.coalesce(is_true(F.col(r.judge)) != F.col(_label(r.who)), F.lit(False))
-    return differs
+    return "(" + " OR ".join(
+        f"coalesce({is_true(r.judge)} <> {r.label}, false)" for r in rated
+    ) + ")"

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.booleans import is_true
 from evalspark.functions.stats import kappa, percent
+from evalspark.functions.text import quoted
+from evalspark.operators.columns import add
+from evalspark.operators.metrics import count
 from evalspark.operators.pipeline import selection_of, status_of
 from evalspark.sources import schema as S
 
@@ -21,51 +24,46 @@ def rater_agreement(
     Input is ``who, judge, ref``.  In ``cm`` rows are the reference rater, columns the
     judge, each in the order true, false.
     """
-    judge, ref = F.col("judge"), F.col("ref")
-    bucket = F.when(F.col("who").isin(*agents), "agents").otherwise("baseline")
-    cells = (
-        judgments.withColumn("bucket", bucket)
-        .rollup("bucket")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(ref & judge).alias("tt"),
-            F.count_if(ref & ~judge).alias("tf"),
-            F.count_if(~ref & judge).alias("ft"),
-            F.count_if(~ref & ~judge).alias("ff"),
-            F.grouping("bucket").alias("is_total"),
-        )
-        .where(F.col("n") > 0)
+    names = ", ".join(map(quoted, agents))
+    buckets = add(
+        judgments, {"bucket": f"CASE WHEN who IN ({names}) THEN 'agents' ELSE 'baseline' END"}
     )
-    tt, tf, ft, ff = (F.col(x) for x in ("tt", "tf", "ft", "ff"))
-    return cells.select(
-        F.when(F.col("is_total") == 1, "overall").otherwise(F.col("bucket")).alias("grp"),
+    cells = {
+        "n": "true",
+        "tt": "ref AND judge",
+        "tf": "ref AND NOT judge",
+        "ft": "NOT ref AND judge",
+        "ff": "NOT ref AND NOT judge",
+    }
+    counted = buckets.rollup("bucket").agg(
+        *(F.expr(f"count_if({sql})").alias(name) for name, sql in cells.items()),
+        F.expr("grouping(bucket)").alias("is_total"),
+    )
+    return counted.where("n > 0").selectExpr(
+        "CASE WHEN is_total = 1 THEN 'overall' ELSE bucket END AS grp",
         "n",
-        (tt + ff).alias("agree"),
-        percent(tt + ff, F.col("n")).alias("agree_pct"),
-        kappa(tt, tf, ft, ff).alias("kappa"),
-        F.array(F.array(tt, tf), F.array(ft, ff)).alias("cm"),
+        "tt + ff AS agree",
+        f"{percent('tt + ff', 'n')} AS agree_pct",
+        f"{kappa('tt', 'tf', 'ft', 'ff')} AS kappa",
+        "array(array(tt, tf), array(ft, ff)) AS cm",
     )
 
 
 def verdict_consistency(results: DataFrame) -> DataFrame:
     """How many judged rows break each rule that ties the verdict's fields together."""
-    a, b = is_true(F.col("a_correct")), is_true(F.col("b_correct"))
-    expected = F.col("expected")
+    a, b = is_true("a_correct"), is_true("b_correct")
+    judged = results.where(f"NOT status <=> '{S.JUDGE_ERROR}'")
+    expected = add(judged, {"expected": status_of(a, b)})
     broken = {
-        "status": ~F.col("status").eqNullSafe(expected),
-        "selected": ~F.upper("selected").eqNullSafe(selection_of(expected)),
-        "factual": is_true(F.col("factual_disagreement")) != (a != b),
-        "ensemble": is_true(F.col("ensemble_correct")) != (expected != S.BOTH_WRONG),
+        "bad_status": "NOT status <=> expected",
+        "bad_selected": f"NOT upper(selected) <=> {selection_of('expected')}",
+        "bad_factual": f"{is_true('factual_disagreement')} <> ({a} <> {b})",
+        "bad_ensemble": f"{is_true('ensemble_correct')} <> (expected <> '{S.BOTH_WRONG}')",
     }
-    judged = results.where(~F.col("status").eqNullSafe(F.lit(S.JUDGE_ERROR)))
-    checked = judged.withColumn("expected", status_of(a, b)).select(
-        *(condition.alias(f"bad_{name}") for name, condition in broken.items())
+    checked = expected.selectExpr(*(f"{sql} AS {name}" for name, sql in broken.items()))
+    counted = count(
+        checked,
+        {"judged": "true", "consistent": f"NOT ({' OR '.join(broken)})"}
+        | {name: name for name in broken},
     )
-    any_broken = F.col("bad_status")
-    for name in ("selected", "factual", "ensemble"):
-        any_broken = any_broken | F.col(f"bad_{name}")
-    return checked.agg(
-        F.count("*").alias("judged"),
-        F.count_if(~any_broken).alias("consistent"),
-        *(F.count_if(f"bad_{name}").alias(f"bad_{name}") for name in broken),
-    ).withColumn("consistent_pct", percent(F.col("consistent"), F.col("judged")))
+    return add(counted, {"consistent_pct": percent("consistent", "judged")})

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from evalspark.functions.text import is_failed
+from evalspark.functions.text import is_failed, quoted
 
 # The wording a judge model receives.
 QUESTION = "Question: "
@@ -14,7 +13,6 @@ ANSWER_B = "Answer B: "
 BASELINE = "Baseline Answer: "
 ANSWER = "Answer: "
 TRUTH = "Ground Truth: "
-GAP = "\n\n"
 NO_BASELINE = "(no baseline answer available)"
 ASK = {
     "full": "Judge each answer against the ground truth. Return only valid JSON.",
@@ -24,32 +22,29 @@ ASK = {
 }
 
 
-def _part(label: str, text: Column) -> Column:
-    return F.concat(F.lit(label), F.coalesce(text, F.lit("")))
+def _part(label: str, text: str) -> str:
+    return f"concat('{label}', coalesce({text}, ''))"
 
 
-def prompt(kind: str) -> Column:
+def prompt(kind: str) -> str:
     """The judge's prompt: ``full`` (A, B and baseline), ``agents`` or ``baseline``."""
-    base = F.col("base_answer")
-    pair = [_part(ANSWER_A, F.col("answer_a")), _part(ANSWER_B, F.col("answer_b"))]
+    pair = (_part(ANSWER_A, "answer_a"), _part(ANSWER_B, "answer_b"))
+    base = f"CASE WHEN {is_failed('base_answer')} THEN '{NO_BASELINE}' ELSE base_answer END"
     answers = {
-        "full": [*pair, _part(BASELINE, F.when(is_failed(base), NO_BASELINE).otherwise(base))],
+        "full": (*pair, _part(BASELINE, base)),
         "agents": pair,
-        "baseline": [_part(ANSWER, base)],
+        "baseline": (_part(ANSWER, "base_answer"),),
     }[kind]
-    return F.concat_ws(
-        GAP,
-        _part(QUESTION, F.col("question")),
-        *answers,
-        _part(TRUTH, F.col("ground_truth")),
-        F.lit(ASK[kind]),
+    parts = (
+        _part(QUESTION, "question"), *answers, _part(TRUTH, "ground_truth"), f"'{ASK[kind]}'"
     )
+    return rf"concat_ws('\n\n', {', '.join(parts)})"
 
 
 def judge_requests(rows: DataFrame, kind: str = "full") -> DataFrame:
     """One prompt per row; a baseline that did not answer has nothing to be graded alone."""
-    wanted = rows.where(~is_failed(F.col("base_answer"))) if kind == "baseline" else rows
-    return wanted.select("row_id", F.lit(kind).alias("kind"), prompt(kind).alias("prompt"))
+    wanted = rows.where(f"NOT {is_failed('base_answer')}") if kind == "baseline" else rows
+    return wanted.selectExpr("row_id", f"'{kind}' AS kind", f"{prompt(kind)} AS prompt")
 
 
 def request_json(
@@ -57,14 +52,12 @@ def request_json(
     temperature: float = 0.3,
 ) -> DataFrame:
     """The prompts as chat-request JSON lines for the caller's model and instructions."""
-    messages = F.array(
-        F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")),
-        F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")),
+    messages = (
+        f"array(named_struct('role', 'system', 'content', {quoted(system)}),"
+        " named_struct('role', 'user', 'content', prompt))"
     )
-    body = F.struct(
-        F.lit(model).alias("model"),
-        messages.alias("messages"),
-        F.lit(temperature).alias("temperature"),
-        F.lit(max_tokens).alias("max_tokens"),
+    body = (
+        f"named_struct('model', {quoted(model)}, 'messages', {messages},"
+        f" 'temperature', {temperature}D, 'max_tokens', {max_tokens})"
     )
-    return requests.select("row_id", "kind", F.to_json(body).alias("request"))
+    return requests.selectExpr("row_id", "kind", f"to_json({body}) AS request")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import shorten
+from evalspark.functions.text import quoted, shorten
+from evalspark.operators.columns import add
 from evalspark.operators.references import raters_disagree
 from evalspark.sources import schema as S
 
@@ -27,17 +28,18 @@ def pick_rows(
     """
     if cap < disagreeing * len(statuses):
         raise ValueError("the cap must leave room for every disagreeing row")
-    rank = F.array_position(F.array(*(F.lit(s) for s in statuses)), F.col("status"))
-    first = Window.partitionBy("turn", "status").orderBy("row_id")
+    listed = ", ".join(map(quoted, statuses))
+    strata = labels.where(f"status IN ({listed})").selectExpr(
+        "row_id",
+        f"CASE WHEN {raters_disagree()} THEN 1 ELSE 2 END AS turn",
+        f"array_position(array({listed}), status) AS stratum",
+    )
+    placed = add(
+        strata, {"place": "row_number() OVER (PARTITION BY turn, stratum ORDER BY row_id)"}
+    )
     return (
-        labels.where(F.col("status").isin(*statuses))
-        .select(
-            "row_id", "status", F.when(raters_disagree(), 1).otherwise(2).alias("turn")
-        )
-        .withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= max(disagreeing, agreeing))
-        .where(F.col("place") <= F.when(F.col("turn") == 1, disagreeing).otherwise(agreeing))
-        .withColumn("stratum", rank)
+        placed.where(f"place <= {max(disagreeing, agreeing)}")
+        .where(f"place <= CASE turn WHEN 1 THEN {disagreeing} ELSE {agreeing} END")
         .orderBy("turn", "stratum", "row_id")
         .limit(cap)
         .select("row_id", "turn", "stratum")
@@ -57,24 +59,26 @@ def audit_sample(
     rows = results.join(picked, "row_id")
     wanted = F.broadcast(rows.select("question").distinct())
     sets = references.select("question", "correct").join(wanted, "question", "left_semi")
-    correct = F.array_join(F.coalesce("correct", F.array().cast("array<string>")), " | ")
     return (
         rows.join(sets, "question", "left")
         .orderBy("turn", "stratum", "row_id")
-        .select(
-            F.col("row_id").alias("row"),
+        .selectExpr(
+            "row_id AS row",
             "category",
-            shorten(F.col("question"), 120).alias("question"),
-            shorten(F.col("answer_a"), 160).alias("answer_a"),
-            shorten(F.col("answer_b"), 160).alias("answer_b"),
-            shorten(F.col("base_answer"), 160).alias("base_answer"),
-            shorten(F.col("ground_truth"), 120).alias("ground_truth"),
-            shorten(correct, 200).alias("correct_answers"),
-            F.col("a_correct").alias("judge_a_correct"),
-            F.col("b_correct").alias("judge_b_correct"),
-            F.col("base_judged").alias("base_correct_judged"),
-            F.col("status").alias("judge_status"),
-            shorten(F.col("reason"), 200).alias("judge_reason"),
-            (F.col("turn") == 1).alias("ref_disagreed_somewhere"),
+            f"{shorten('question', 120)} AS question",
+            f"{shorten('answer_a', 160)} AS answer_a",
+            f"{shorten('answer_b', 160)} AS answer_b",
+            f"{shorten('base_answer', 160)} AS base_answer",
+            f"{shorten('ground_truth', 120)} AS ground_truth",
+            f"{shorten(_JOINED, 200)} AS correct_answers",
+            "a_correct AS judge_a_correct",
+            "b_correct AS judge_b_correct",
+            "base_judged AS base_correct_judged",
+            "status AS judge_status",
+            f"{shorten('reason', 200)} AS judge_reason",
+            "turn = 1 AS ref_disagreed_somewhere",
         )
     )
+
+
+_JOINED = "coalesce(array_join(correct, ' | '), '')"

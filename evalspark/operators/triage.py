@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from evalspark.operators.columns import add
+from evalspark.operators.metrics import count
 
 # What quota and passing errors say.
 QUOTA_PHRASES = ("tokens per day", "per day (tpd)")
@@ -15,30 +17,26 @@ TRANSIENT_PHRASES = (
 )
 
 
-def _mentions(text: Column, phrases: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for phrase in phrases:
-        found = found | F.contains(text, F.lit(phrase))
-    return found
+def _mentions(text: str, phrases: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{p}')" for p in phrases) + ")"
 
 
-def error_class(message: Column, whole_word: bool = True) -> Column:
+def error_class(message: str, whole_word: bool = True) -> str:
     """``ok`` (no message), ``quota`` (stop the run), ``transient`` (try again), ``other``.
 
     With ``whole_word`` the abbreviation tpd must stand alone, so that ``httpd`` is no
     quota error; without, any occurrence of the letters counts.
     """
-    text = F.lower(message)
-    short = text.rlike(QUOTA_WORD) if whole_word else F.contains(text, F.lit(QUOTA_LETTERS))
+    text = f"lower({message})"
+    short = f"{text} RLIKE r'{QUOTA_WORD}'" if whole_word else _mentions(text, (QUOTA_LETTERS,))
     return (
-        F.when(message.isNull(), "ok")
-        .when(_mentions(text, QUOTA_PHRASES) | short, "quota")
-        .when(_mentions(text, TRANSIENT_PHRASES), "transient")
-        .otherwise("other")
+        f"CASE WHEN {message} IS NULL THEN 'ok'"
+        f" WHEN {_mentions(text, QUOTA_PHRASES)} OR {short} THEN 'quota'"
+        f" WHEN {_mentions(text, TRANSIENT_PHRASES)} THEN 'transient' ELSE 'other' END"
     )
 
 
 def error_triage(calls: DataFrame, whole_word: bool = True) -> DataFrame:
     """Calls by class of their ``message``."""
-    kind = error_class(F.col("message"), whole_word)
-    return calls.groupBy(kind.alias("error_class")).agg(F.count("*").alias("n"))
+    classed = add(calls, {"error_class": error_class("message", whole_word)})
+    return count(classed, {"n": "true"}, "error_class")

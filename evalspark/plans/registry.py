@@ -72,8 +72,8 @@ def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     replied = ("reply_a", "reply_b", "reply_base", "verdict")
-    return views.replies(spark, sf_dir).select(
-        "row_id", *(clean_output(F.col(c)).alias(c) for c in replied)
+    return views.replies(spark, sf_dir).selectExpr(
+        "row_id", *(f"{clean_output(c)} AS {c}" for c in replied)
     )
 
 
@@ -82,19 +82,17 @@ QUERIES["clean_output"] = _cleaned
 
 @_query
 def truncated_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cleaned(spark, sf_dir).select(
+    return _cleaned(spark, sf_dir).selectExpr(
         "row_id",
-        is_truncated(F.col("reply_b")).alias("b_truncated"),
-        is_truncated(F.col("reply_base")).alias("base_truncated"),
+        f"{is_truncated('reply_b')} AS b_truncated",
+        f"{is_truncated('reply_base')} AS base_truncated",
     )
 
 
 @_query
 def bool_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.flag_text(spark, sf_dir).select(
-        "row_id",
-        tri_state(F.col("flag")).alias("tri"),
-        two_state(F.col("flag")).alias("two"),
+    return views.flag_text(spark, sf_dir).selectExpr(
+        "row_id", f"{tri_state('flag')} AS tri", f"{two_state('flag')} AS two"
     )
 
 
@@ -150,12 +148,14 @@ def verdict_resolve_truthy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def base_similarity_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.results(spark, sf_dir).select("row_id", "base_correct")
+    rows = pipeline.clean_replies(views.replies(spark, sf_dir))
+    return rows.selectExpr("row_id", f"{pipeline.base_grade()} AS base_correct")
 
 
 @_query
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.results(spark, sf_dir).select(
+    rows = pipeline.clean_replies(views.replies(spark, sf_dir))
+    return pipeline.pair_similarity(rows).select(
         "row_id", "similarity", "semantic_disagreement"
     )
 
@@ -163,18 +163,16 @@ def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def pair_similarity_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = views.table(spark, sf_dir, "embeddings", "vec_id")
-    after = vectors.select(
-        (F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")
-    )
-    return vectors.join(after, "vec_id").select(
-        "vec_id", F.round(vector_cosine(F.col("embedding"), F.col("next")), 6).alias("similarity")
+    after = vectors.selectExpr("vec_id - 1 AS vec_id", "embedding AS next")
+    return vectors.join(after, "vec_id").selectExpr(
+        "vec_id", f"round({vector_cosine('embedding', 'next')}, 6) AS similarity"
     )
 
 
 @_query
 def category_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.replies(spark, sf_dir)
-    judged = views.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"))
+    judged = views.table(spark, sf_dir, "labels").selectExpr("doc_id AS row_id")
     known = category_map(rows.join(judged, "row_id", "left_semi"))
     return lookup(rows.select("row_id", "question"), known)
 
@@ -211,7 +209,7 @@ def remaining_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = incremental.fill_merge(
         views.results(spark, sf_dir), _replies_graded(spark, sf_dir)
     )
-    return merged.agg(F.count_if(incremental.needs_fill()).alias("remaining"))
+    return incremental.remaining_work(merged)
 
 
 @_query

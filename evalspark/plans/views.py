@@ -7,16 +7,17 @@ broken verdict, ...); no row is left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.functions.text import clean_output
 from evalspark.operators import pipeline
 from evalspark.sources.references import reference_sets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
     """One given table.  A scan with fewer partitions than there are cores (one small
-    file, one row group) is spread by its key first; a large table is read as it lies."""
+    file) is spread by its key first; a large table is read as it lies."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if key and rows.rdd.getNumPartitions() < cores:
@@ -24,93 +25,78 @@ def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -
     return rows
 
 
-def _every(n: int, rest: int) -> Column:
-    return F.col("doc_id") % n == rest
+QUESTION = "concat('Which ', lang, ' text has ', string(n_chars), ' characters?')"
+DISTINCT_WORDS = "array_join(array_distinct(split(text, ' ')), ' ')"
 
 
-def _longer_than(n: int) -> Column:
-    kept = F.filter(F.split("text", " "), lambda w: F.length(w) > n)
-    return F.array_join(kept, " ")
+def _longer_than(n: int) -> str:
+    return f"array_join(filter(split(text, ' '), w -> length(w) > {n}), ' ')"
 
 
-def _quoted(flag: Column) -> Column:
-    word = F.when(flag, "true").otherwise("false")
-    return F.when(_every(3, 0), F.concat(F.lit('"'), word, F.lit('"'))).otherwise(word)
+def _word(flag: str) -> str:
+    """A JSON boolean, every third time as a string."""
+    mark = "CASE WHEN doc_id % 3 = 0 THEN '\"' ELSE '' END"
+    return f"{mark}, string({flag}), {mark}"
 
 
-def _verdict() -> Column:
-    """A judge's reply from the labels; a document without labels gets no JSON."""
-    good, clean = F.col("quality") == 1, F.col("toxic") == 0
-    status = pipeline.status_of(good, clean)
-    selected = pipeline.selection_of(status)
-    status_word = (
-        F.when(_every(17, 3), "UNSURE").when(_every(13, 5), F.lower(status)).otherwise(status)
-    )
-    a = F.when(_every(19, 4), "null").otherwise(_quoted(good))
-    status_field = F.when(_every(23, 7), "").otherwise(
-        F.concat(F.lit('"selection_status": "'), status_word, F.lit('", '))
-    )
-    fields = F.concat(
-        F.lit('{"answer_a_correct": '), a,
-        F.lit(', "answer_b_correct": '), _quoted(clean),
-        F.lit(', "baseline_correct": '), _quoted(good & clean),
-        F.lit(", "), status_field,
-        F.lit('"selected_answer": "'), selected,
-        F.lit('", "reason": "quality '), F.col("quality").cast("string"),
-        F.lit(" toxic "), F.col("toxic").cast("string"), F.lit('"'),
-    )
-    body = F.when(_every(11, 0), fields).otherwise(F.concat(fields, F.lit("}")))
-    body = F.when(_every(41, 40), F.concat(body, F.lit(" "), body)).otherwise(body)
-    reply = F.concat(
-        F.when(_every(5, 0), "<think>x { y</think>\n").otherwise(""),
-        F.when(_every(2, 1), "Verdict: ").otherwise(""),
-        body,
-        F.when(_every(2, 1), " (end)").otherwise(""),
-    )
-    return (
-        F.when(_every(43, 42), "ERROR: 503 service unavailable")
-        .when(F.col("quality").isNull(), F.concat(F.lit("No verdict on this "), "lang"))
-        .otherwise(reply)
-    )
+_REPLY_A = f"""CASE WHEN doc_id % 29 = 28 THEN 'ERROR: timeout 503'
+  WHEN doc_id % 31 = 30 THEN '' ELSE {_longer_than(3)} END"""
+
+_REPLY_B = r"""CASE doc_id % 5 WHEN 0 THEN concat('<think>{', lang, '}</think>', text)
+  WHEN 1 THEN concat(source, '</think>', text)
+  WHEN 2 THEN concat(' \t', text, ' \n') ELSE text END"""
+
+_REPLY_BASE = f"""CASE WHEN doc_id % 7 = 6 THEN NULL
+  WHEN doc_id % 37 = 36 THEN 'ERROR: tokens per day'
+  ELSE concat(CASE WHEN doc_id % 4 = 3 THEN '<think>' ELSE '' END, {_longer_than(2)}) END"""
+
+_STATUS_WORD = """CASE WHEN doc_id % 17 = 3 THEN 'UNSURE'
+  WHEN doc_id % 13 = 5 THEN lower(word) ELSE word END"""
+
+# The judge's JSON from the labels, in every state a model may leave it.
+_BODY = f"""concat('{{"answer_a_correct": ',
+  CASE WHEN doc_id % 19 = 4 THEN 'null' ELSE concat({_word('good')}) END,
+  ', "answer_b_correct": ', {_word('harmless')},
+  ', "baseline_correct": ', {_word('good AND harmless')}, ', ',
+  CASE WHEN doc_id % 23 = 7 THEN ''
+       ELSE concat('"selection_status": "', {_STATUS_WORD}, '", ') END,
+  '"selected_answer": "', {pipeline.selection_of('word')},
+  '", "reason": "quality ', string(quality), ' toxic ', string(toxic), '"',
+  CASE WHEN doc_id % 11 = 0 THEN '' ELSE '}}' END)"""
+
+_VERDICT = r"""CASE WHEN doc_id % 43 = 42 THEN 'ERROR: 503 service unavailable'
+  WHEN quality IS NULL THEN concat('No verdict on this ', lang)
+  ELSE concat(CASE WHEN doc_id % 5 = 0 THEN '<think>x { y</think>\n' ELSE '' END,
+    CASE WHEN doc_id % 2 = 1 THEN 'Verdict: ' ELSE '' END,
+    body, CASE WHEN doc_id % 41 = 40 THEN concat(' ', body) ELSE '' END,
+    CASE WHEN doc_id % 2 = 1 THEN ' (end)' ELSE '' END) END"""
 
 
-def question() -> Column:
-    """Documents of one language and length share a question."""
-    return F.concat(
-        F.lit("Which "), "lang", F.lit(" text has "), F.col("n_chars").cast("string"),
-        F.lit(" characters?"),
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their labels where there are any."""
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    labels = table(spark, sf_dir, "labels").selectExpr(
+        "doc_id", "quality", "toxic", "quality = 1 AS good", "toxic = 0 AS harmless"
+    )
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(
+        labels, "doc_id", "left"
     )
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw model replies: row_id, question, category, ground_truth, reply_*, verdict."""
-    docs = table(spark, sf_dir, "documents", "doc_id").select(
-        "doc_id", "text", "lang", "source", "n_chars"
-    )
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    reply_a = (
-        F.when(_every(29, 28), "ERROR: timeout 503")
-        .when(_every(31, 30), "")
-        .otherwise(_longer_than(3))
-    )
-    reply_b = (
-        F.when(_every(5, 0), F.concat(F.lit("<think>{"), "lang", F.lit("}</think>"), "text"))
-        .when(_every(5, 1), F.concat("source", F.lit("</think>"), "text"))
-        .when(_every(5, 2), F.concat(F.lit(" \t"), "text", F.lit(" \n")))
-        .otherwise(F.col("text"))
+    worded = _labelled(spark, sf_dir).selectExpr(
+        "*", f"{pipeline.status_of('good', 'harmless')} AS word"
     )
-    reply_base = F.when(_every(37, 36), "ERROR: tokens per day").otherwise(
-        F.concat(F.when(_every(4, 3), "<think>").otherwise(""), _longer_than(2))
-    )
-    return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("row_id"),
-        question().alias("question"),
-        F.col("source").alias("category"),
-        F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("ground_truth"),
-        reply_a.alias("reply_a"),
-        reply_b.alias("reply_b"),
-        F.when(~_every(7, 6), reply_base).alias("reply_base"),
-        _verdict().alias("verdict"),
+    return worded.selectExpr("*", f"{_BODY} AS body").selectExpr(
+        "doc_id AS row_id",
+        f"{QUESTION} AS question",
+        "source AS category",
+        f"{DISTINCT_WORDS} AS ground_truth",
+        f"{_REPLY_A} AS reply_a",
+        f"{_REPLY_B} AS reply_b",
+        f"{_REPLY_BASE} AS reply_base",
+        f"{_VERDICT} AS verdict",
     )
 
 
@@ -121,83 +107,61 @@ def results(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference sets: a text's lines with a comma count as correct, those without as not."""
-    lines = F.split("text", "\n")
-    rows = table(spark, sf_dir, "documents", "doc_id").select(
-        F.col("doc_id").alias("row_id"),
-        question().alias("question"),
-        F.filter(lines, lambda s: F.contains(s, F.lit(","))).alias("correct"),
-        F.filter(lines, lambda s: ~F.contains(s, F.lit(","))).alias("incorrect"),
+    rows = table(spark, sf_dir, "documents", "doc_id").selectExpr(
+        "doc_id AS row_id",
+        f"{QUESTION} AS question",
+        r"filter(split(text, '\n'), s -> contains(s, ',')) AS correct",
+        r"filter(split(text, '\n'), s -> NOT contains(s, ',')) AS incorrect",
     )
     return reference_sets(rows)
 
 
 def base_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Late baseline replies for part of the documents, with the baseline judge's reply."""
-    docs = table(spark, sf_dir, "documents", "doc_id").select(
-        "doc_id", "text", "lang", "source", "n_chars"
-    )
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    verdict = F.when(
-        F.col("quality").isNotNull(),
-        F.concat(F.lit('{"answer_correct": '), _quoted(F.col("quality") == 1), F.lit("}")),
-    )
-    return docs.join(labels, "doc_id", "left").where(F.col("lang") != "de").select(
-        F.col("doc_id").alias("row_id"),
-        F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("ground_truth"),
-        F.when(_every(3, 1), "ERROR: timed out")
-        .otherwise(pipeline.clean_output(F.col("text")))
-        .alias("base_answer"),
-        F.coalesce(verdict, F.lit("no json")).alias("verdict"),
+    """Late baseline replies (none in German yet), with the baseline judge's reply."""
+    judged = f"""concat('{{"answer_correct": ', {_word('good')}, '}}')"""
+    return (
+        _labelled(spark, sf_dir)
+        .where("lang <> 'de'")
+        .selectExpr(
+            "doc_id AS row_id",
+            f"{DISTINCT_WORDS} AS ground_truth",
+            f"CASE WHEN doc_id % 3 = 1 THEN 'ERROR: timed out' ELSE {clean_output('text')} END"
+            " AS base_answer",
+            f"CASE WHEN good IS NULL THEN 'no json' ELSE {judged} END AS verdict",
+        )
     )
 
 
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as model calls; events of type error carry one of five messages."""
-    messages = F.array(
-        F.lit("Tokens per day limit (TPD) reached"),
-        F.lit("HTTP 429: rate limit"),
-        F.lit("Request timed out"),
-        F.lit("Model not found"),
-        F.lit("httpd failed"),
-    )
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        F.when(
-            F.col("event_type") == "error",
-            F.get(messages, (F.col("event_id") % 5).cast("int")),
-        ).alias("message"),
+        """CASE WHEN event_type = 'error' THEN CASE event_id % 5
+             WHEN 0 THEN 'Tokens per day limit (TPD) reached'
+             WHEN 1 THEN 'HTTP 429: rate limit' WHEN 2 THEN 'Request timed out'
+             WHEN 3 THEN 'Model not found' ELSE 'httpd failed' END END AS message""",
     )
 
 
 def flag_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels written as the words an exported table may hold."""
-    word = (
-        F.when(_every(5, 0), " True ")
-        .when(_every(5, 1), "FALSE")
-        .when(_every(5, 2), "")
-        .when(_every(5, 3), "nan")
+    """Flags written as the words an exported table may hold."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS row_id",
+        "CASE doc_id % 5 WHEN 0 THEN ' True ' WHEN 1 THEN 'FALSE' WHEN 2 THEN ''"
+        " WHEN 3 THEN 'nan' END AS flag",
     )
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"),
-                                                    word.alias("flag"))
 
 
 def vector_raters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vectors as answers and references: ten vectors in a row answer one question, and
     the ten before them are its reference set (even labels are correct)."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id")
-    block = F.floor(F.col("vec_id") / 10)
-    rows = vectors.select(
-        F.col("vec_id").alias("row_id"),
-        block.alias("question"),
-        F.col("embedding").alias("vector"),
-        (F.col("label") < 5).alias("judge"),
+    rows = vectors.selectExpr(
+        "vec_id AS row_id", "vec_id DIV 10 AS question", "embedding AS vector",
+        "label < 5 AS judge",
     )
-
-    def side(condition: Column) -> Column:
-        return F.collect_list(F.when(condition, F.col("embedding")))
-
-    even = F.col("label") % 2 == 0
-    refs = vectors.groupBy((block + 1).alias("question")).agg(
-        side(even).alias("correct"), side(~even).alias("incorrect")
+    sets = vectors.groupBy(F.expr("vec_id DIV 10 + 1").alias("question")).agg(
+        F.expr("collect_list(CASE WHEN label % 2 = 0 THEN embedding END)").alias("correct"),
+        F.expr("collect_list(CASE WHEN label % 2 <> 0 THEN embedding END)").alias("incorrect"),
     )
-    return rows, refs
+    return rows, sets

@@ -40,12 +40,12 @@ def read_results_csv(
         return spark.createDataFrame([], KEYED_SCHEMA)
     text = T.StructType([T.StructField(name, T.StringType()) for name in expected])
     raw = spark.read.schema(text).options(**options).csv(path).toDF("row_id", *RESULT_COLUMNS)
-    return raw.select(
-        F.col("row_id").cast("long"),
+    return raw.selectExpr(
+        "bigint(row_id) AS row_id",
         *(
-            tri_state(F.col(f.name)).alias(f.name)
+            f"{tri_state(f.name)} AS {f.name}"
             if f.name in FLAG_COLUMNS
-            else F.col(f.name).cast(f.dataType).alias(f.name)
+            else f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}"
             for f in RESULT_SCHEMA.fields
         ),
     )
