@@ -19,15 +19,30 @@ def _bind(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _sum_of_squared_counts(ordered: str) -> str:
-    """Sum over distinct elements of (occurrences squared), for a sorted array variable."""
-    starts = (
+def _starts(ordered: str) -> str:
+    """Positions in a sorted array variable where a new element begins."""
+    return (
         f"array_compact(transform({ordered}, (word, i) ->"
         f" CASE WHEN NOT (word <=> get({ordered}, i - 1)) THEN i END))"
     )
+
+
+def _sum_of_squared_counts(ordered: str) -> str:
+    """Sum over distinct elements of (occurrences squared), for a sorted array variable."""
     runs = f"transform(starts, (s, k) -> coalesce(get(starts, k + 1), size({ordered})) - s)"
     total = f"aggregate({runs}, 0L, (total, n) -> total + bigint(n) * n)"
-    return _bind(starts, "starts", total)
+    return _bind(_starts(ordered), "starts", total)
+
+
+def word_counts(text: str) -> str:
+    """The distinct words of a text with their counts: array of (word, n)."""
+    counted = (
+        "transform(starts, (s, k) -> named_struct('word', ordered[s],"
+        " 'n', coalesce(get(starts, k + 1), size(ordered)) - s))"
+    )
+    return _bind(
+        f"sort_array({words(text)})", "ordered", _bind(_starts("ordered"), "starts", counted)
+    )
 
 
 def _cosine(dot: str, square_x: str, square_y: str) -> str:

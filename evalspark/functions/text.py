@@ -43,14 +43,24 @@ def is_error(answer: str) -> str:
     return f"coalesce(startswith({answer}, '{ERROR_PREFIX}'), false)"
 
 
+def _first_part(text: str) -> str:
+    """Text without leading whitespace: stops at the first character that is none."""
+    return f"trim(LEADING {quoted(WHITESPACE)} FROM {text})"
+
+
 def is_failed(answer: str) -> str:
     """True when there is no usable answer: null, blank, or an error message."""
-    return f"coalesce({strip(answer)} = '' OR startswith({answer}, '{ERROR_PREFIX}'), true)"
+    blank = f"{_first_part(answer)} = ''"
+    return f"coalesce(startswith({answer}, '{ERROR_PREFIX}') OR {blank}, true)"
 
 
 def is_attempted(answer: str) -> str:
     """True when the deferred baseline has been run: not null, blank or a literal ``nan``."""
-    return f"coalesce(lower({strip(answer)}) NOT IN ('', 'nan'), false)"
+    start = f"lower(left({_first_part(answer)}, 3))"
+    return (
+        f"coalesce({answer} IS NOT NULL AND CASE {start} WHEN '' THEN false"
+        f" WHEN 'nan' THEN lower({strip(answer)}) <> 'nan' ELSE true END, false)"
+    )
 
 
 def shorten(text: str, limit: int, mark: str = "...") -> str:

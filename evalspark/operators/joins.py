@@ -31,6 +31,7 @@ def lookup(
     key: str = "question",
     how: str = "left",
     rows_per_task: int = 1_000_000,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to a ``table`` that has one row per ``key``.
 
@@ -38,8 +39,10 @@ def lookup(
     repeated for each, so no task gets more than about ``rows_per_task`` of one key.  All
     other keys have one task as usual.  The result equals the plain join.  Two keys with
     one hash only share a spread, which both sides compute alike.
+
+    ``keys`` is a frame with the same keys that is cheaper to read than computed ``rows``.
     """
-    hot = F.broadcast(hot_keys(rows, key, rows_per_task))
+    hot = F.broadcast(hot_keys(rows if keys is None else keys, key, rows_per_task))
 
     def spread(side: DataFrame, part: str) -> DataFrame:
         hashed = side.withColumn("key_hash", F.xxhash64(key))

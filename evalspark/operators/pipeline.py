@@ -84,11 +84,9 @@ def parse_verdicts(rows: DataFrame, truthy: bool = False) -> DataFrame:
 
 
 def status_of(a: str, b: str) -> str:
-    """The four-way status two correctness flags stand for."""
-    return (
-        f"CASE WHEN {a} AND {b} THEN '{S.BOTH_CORRECT}' WHEN {a} THEN '{S.A_CORRECT}'"
-        f" WHEN {b} THEN '{S.B_CORRECT}' ELSE '{S.BOTH_WRONG}' END"
-    )
+    """The four-way status two correctness flags stand for; names each flag once."""
+    words = f"array('{S.BOTH_WRONG}', '{S.B_CORRECT}', '{S.A_CORRECT}', '{S.BOTH_CORRECT}')"
+    return f"get({words}, 2 * int({a}) + int({b}))"
 
 
 def selection_of(status: str) -> str:
@@ -129,7 +127,7 @@ def resolve_verdicts(
     failed = add(
         rows, {"pair_failed": PAIR_FAILED, "judge_failed": f"{PAIR_FAILED} OR {call_failed}"}
     )
-    flags = settle(
+    flags = add(
         failed,
         {"a_correct": graded("said_a", "answer_a"), "b_correct": graded("said_b", "answer_b")},
     )

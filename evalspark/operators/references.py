@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.booleans import is_true
-from evalspark.functions.similarity import best_cosine
-from evalspark.functions.text import is_attempted, is_failed, words
+from evalspark.functions.similarity import best_cosine, word_counts
+from evalspark.functions.text import is_attempted, is_failed
 from evalspark.operators.columns import add
 from evalspark.operators.joins import lookup
 
@@ -44,12 +44,14 @@ def reference_labels(
     keep: Sequence[str] = (),
     rated: Sequence[Rated] = RATED,
     rows_per_task: int = 1_000_000,
+    questions: DataFrame | None = None,
 ) -> DataFrame:
     """Per row and answer column: closer (by words) to a correct than to an incorrect one?
 
     ``references`` has one row per question with arrays ``correct`` and ``incorrect``.
     A label is NULL for an answer that failed or where either set is missing or empty.
-    ``keep`` names small columns to carry along.
+    ``keep`` names small columns to carry along; ``questions`` is a frame with the same
+    questions that is cheaper to count than computed ``results``.
 
     The references are attached to their rows (hot questions spread), the rows are
     shuffled once by ``row_id``, and all word counting below happens within that
@@ -58,7 +60,7 @@ def reference_labels(
     carried = ["row_id", *keep, *(r.label for r in rated)]
     rows = lookup(
         results.select("row_id", "question", *keep, *(r.answer for r in rated)),
-        references, "question", "left", rows_per_task,
+        references, "question", "left", rows_per_task, questions,
     )
 
     def slots(kind: int, texts: str) -> str:
@@ -79,30 +81,23 @@ def reference_labels(
         )
     )
     placed = add(rows, usable).selectExpr(*carried, f"concat({texts}) AS texts")
-    # The blank word keeps a text without words in the result; it has no weight.
-    tokens = (
+    # Counted within the row; a text without words keeps one row without weight.
+    counts = (
         placed.repartition("row_id")
         .selectExpr(*carried, "inline(texts)")
-        .selectExpr(
-            *carried, "kind", "slot",
-            f"explode(array_append({words('text')}, '')) AS word",
-        )
-    )
-    counts = tokens.groupBy(*carried, "kind", "slot", "word").agg(
-        F.expr("CASE WHEN word = '' THEN 0 ELSE count(*) END").alias("n")
+        .selectExpr(*carried, "kind", "slot", f"inline_outer({word_counts('text')})")
     )
-    same_word = ", ".join((*carried, "word"))
     beside = add(
         counts,
         {
-            f"n_{i}": f"coalesce(max(CASE WHEN kind = {CANDIDATE} AND slot = {i} THEN n END)"
-            f" OVER (PARTITION BY {same_word}), 0)"
+            f"n_{i}": f"max(CASE WHEN kind = {CANDIDATE} AND slot = {i} THEN n END)"
+            " OVER (PARTITION BY row_id, word)"
             for i in range(len(rated))
         },
     )
     matched = beside.groupBy(*carried, "kind", "slot").agg(
-        F.expr("sum(n * n)").alias("square"),
-        *(F.expr(f"sum(n * n_{i})").alias(f"dot_{i}") for i in range(len(rated))),
+        F.expr("sum(bigint(n) * n)").alias("square"),
+        *(F.expr(f"sum(bigint(n) * n_{i})").alias(f"dot_{i}") for i in range(len(rated))),
     )
 
     def closest(i: int, kind: int) -> str:

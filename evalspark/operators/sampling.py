@@ -46,17 +46,13 @@ def pick_rows(
     )
 
 
-def audit_sample(
-    results: DataFrame, labels: DataFrame, references: DataFrame, **sizes: int
-) -> DataFrame:
+def audit_sample(picked: DataFrame, results: DataFrame, references: DataFrame) -> DataFrame:
     """The 14 review columns for the picked rows, long texts shortened.
 
-    ``labels`` is the output of ``reference_labels`` that kept the status and the judge's
-    flags.  The pick is at most ``cap`` rows, so it is broadcast: the wide tables are
-    filtered where they are, not shuffled.
+    ``picked`` is the output of ``pick_rows``: at most ``cap`` rows, so it is broadcast and
+    the wide tables are filtered where they are, not shuffled.
     """
-    picked = F.broadcast(pick_rows(labels, **sizes))
-    rows = results.join(picked, "row_id")
+    rows = results.join(F.broadcast(picked), "row_id")
     wanted = F.broadcast(rows.select("question").distinct())
     sets = references.select("question", "correct").join(wanted, "question", "left_semi")
     return (

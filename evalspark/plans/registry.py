@@ -257,6 +257,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.results(spark, sf_dir),
         views.references(spark, sf_dir),
         keep=("status", *JUDGE_FLAGS),
+        questions=views.replies(spark, sf_dir).select("question"),
     )
 
 
@@ -285,8 +286,10 @@ def rater_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.audit_sample(
-        views.results(spark, sf_dir),
-        _labels(spark, sf_dir),
-        views.references(spark, sf_dir),
+    """Evaluation is row by row, so only the picked rows are evaluated a second time."""
+    picked = sampling.pick_rows(_labels(spark, sf_dir))
+    replied = views.replies(spark, sf_dir).join(
+        F.broadcast(picked.select("row_id")), "row_id", "left_semi"
     )
+    results = pipeline.evaluate(replied, keep=("category",))
+    return sampling.audit_sample(picked, results, views.references(spark, sf_dir))
