@@ -50,13 +50,36 @@ def _cosine(dot: str, square_x: str, square_y: str) -> str:
     return f"CASE WHEN {norms} > 0 THEN double({dot}) / sqrt({norms}) ELSE 0.0D END"
 
 
-def text_cosine(x: str, y: str) -> str:
-    """Cosine of the word-count vectors of two texts; 0.0 if either has no word.
+class TextSimilarity:
+    """Cosine of the word-count vectors of text columns; 0.0 if either has no word.
 
     With N(t) the sum of squared word counts, N(x + y) = N(x) + N(y) + 2 x.y, so the dot
-    product needs no word-by-word lookup: sort each side, then the two sorted runs
-    together, and count run lengths.  O(n log n) in the words of the row.
+    product needs no word-by-word lookup: count run lengths in each side's sorted words,
+    then in both together (two sorted runs merge in linear time).  O(n log n) in the words
+    of the row.
+
+    ``prepared`` columns let several comparisons share one text's sorted words.
     """
+
+    def prepared(self, *texts: str) -> tuple[dict[str, str], ...]:
+        """Columns to add before comparing, in two steps."""
+        return (
+            {f"words_{t}": f"sort_array({words(t)})" for t in texts},
+            {
+                f"square_{t}": _bind(f"words_{t}", "one", _sum_of_squared_counts("one"))
+                for t in texts
+            },
+        )
+
+    def __call__(self, x: str, y: str) -> str:
+        both = f"sort_array(concat(words_{x}, words_{y}))"
+        together = _bind(both, "both", _sum_of_squared_counts("both"))
+        squares = f"array(square_{x}, square_{y}, {together})"
+        return _bind(squares, "q", _cosine("((q[2] - q[0] - q[1]) / 2)", "q[0]", "q[1]"))
+
+
+def text_cosine(x: str, y: str) -> str:
+    """The same cosine of two texts as one expression."""
     sides = f"array(sort_array({words(x)}), sort_array({words(y)}))"
     together = _bind(
         "sort_array(concat(sides[0], sides[1]))", "both", _sum_of_squared_counts("both")

@@ -5,6 +5,7 @@ from __future__ import annotations
 # Markers a model or a failed call leaves in the text.
 ERROR_PREFIX = "ERROR:"
 THINK_OPEN = "<think>"
+THINK_CLOSE = "</think>"
 
 # Whitespace as Python's str.strip sees it.
 WHITESPACE = (
@@ -31,7 +32,9 @@ def clean_output(text: str) -> str:
     one goes too.  An opening tag that is never closed stays where it is.
     """
     without_blocks = f"regexp_replace({text}, '(?s)<think>.*?</think>', '')"
-    return strip(f"regexp_replace({without_blocks}, '(?s)^.*?</think>', '')")
+    answer = f"regexp_replace({without_blocks}, '(?s)^.*?</think>', '')"
+    # Both steps need a closing tag; most text has none and is not scanned by a pattern.
+    return strip(f"CASE WHEN contains({text}, '{THINK_CLOSE}') THEN {answer} ELSE {text} END")
 
 
 def is_truncated(cleaned: str) -> str:

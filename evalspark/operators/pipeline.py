@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from evalspark.functions import verdict as V
-from evalspark.functions.similarity import text_cosine
+from evalspark.functions.similarity import TextSimilarity, text_cosine
 from evalspark.functions.text import clean_output, is_attempted, is_error, is_failed
 from evalspark.operators.columns import add, settle
 from evalspark.sources import schema as S
@@ -182,7 +182,7 @@ def grade_baseline(
 
 def evaluate(
     rows: DataFrame,
-    similar: Similarity = text_cosine,
+    similar: Similarity | None = None,
     threshold: float = S.SIMILARITY_THRESHOLD,
     truthy: bool = False,
     keep: tuple[str, ...] = (),
@@ -191,8 +191,13 @@ def evaluate(
 
     ``rows`` has row_id, question, ground_truth, reply_a, reply_b, reply_base (NULL where
     the baseline is left for later) and verdict; ``keep`` names columns to carry along.
+    Without ``similar`` texts are compared by their words, sorted once per text.
     """
     parsed = parse_verdicts(clean_replies(rows), truthy)
+    if similar is None:
+        similar = TextSimilarity()
+        for columns in similar.prepared("answer_a", "answer_b", "base_answer", "ground_truth"):
+            parsed = add(parsed, columns)
     resolved = resolve_verdicts(parsed, similar, threshold)
     return pair_similarity(resolved, similar, threshold).select(
         "row_id", *S.RESULT_COLUMNS, *keep

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from evalspark.functions.similarity import text_cosine
 from evalspark.operators.pipeline import Similarity, evaluate
 
 REPLY_SCHEMA = T.StructType(
@@ -42,7 +41,7 @@ def collect(
     results_path: str,
     checkpoint: str | None = None,
     name: str = "results",
-    similar: Similarity = text_cosine,
+    similar: Similarity | None = None,
 ) -> StreamingQuery:
     """Evaluate everything that has arrived, append it to ``results_path``, then stop."""
     place = checkpoint or checkpoint_folder(replies.sparkSession, name)
