@@ -52,18 +52,20 @@ def rater_agreement(
 def verdict_consistency(results: DataFrame) -> DataFrame:
     """How many judged rows break each rule that ties the verdict's fields together."""
     a, b = is_true("a_correct"), is_true("b_correct")
-    judged = results.where(f"NOT status <=> '{S.JUDGE_ERROR}'")
-    expected = add(judged, {"expected": status_of(a, b)})
+    expected = add(results, {"expected": status_of(a, b)})
     broken = {
         "bad_status": "NOT status <=> expected",
         "bad_selected": f"NOT upper(selected) <=> {selection_of('expected')}",
         "bad_factual": f"{is_true('factual_disagreement')} <> ({a} <> {b})",
         "bad_ensemble": f"{is_true('ensemble_correct')} <> (expected <> '{S.BOTH_WRONG}')",
     }
-    checked = expected.selectExpr(*(f"{sql} AS {name}" for name, sql in broken.items()))
+    checked = expected.selectExpr(
+        f"NOT status <=> '{S.JUDGE_ERROR}' AS is_judged",
+        *(f"{sql} AS {name}" for name, sql in broken.items()),
+    )
     counted = count(
         checked,
-        {"judged": "true", "consistent": f"NOT ({' OR '.join(broken)})"}
-        | {name: name for name in broken},
+        {"judged": "is_judged", "consistent": f"is_judged AND NOT ({' OR '.join(broken)})"}
+        | {name: f"is_judged AND {name}" for name in broken},
     )
     return add(counted, {"consistent_pct": percent("consistent", "judged")})
