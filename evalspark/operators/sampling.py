@@ -46,13 +46,14 @@ def pick_rows(
     )
 
 
-def audit_sample(picked: DataFrame, results: DataFrame, references: DataFrame) -> DataFrame:
-    """The 14 review columns for the picked rows, long texts shortened.
+def take_rows(rows: DataFrame, picked: DataFrame) -> DataFrame:
+    """The picked rows with their place.  The pick is at most ``cap`` rows, so it is
+    broadcast and the wide table is filtered where it is, not shuffled."""
+    return rows.join(F.broadcast(picked), "row_id")
 
-    ``picked`` is the output of ``pick_rows``: at most ``cap`` rows, so it is broadcast and
-    the wide tables are filtered where they are, not shuffled.
-    """
-    rows = results.join(F.broadcast(picked), "row_id")
+
+def audit_sample(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """The 14 review columns for results that ``take_rows`` picked, long texts shortened."""
     wanted = F.broadcast(rows.select("question").distinct())
     sets = references.select("question", "correct").join(wanted, "question", "left_semi")
     return (

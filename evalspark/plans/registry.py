@@ -288,8 +288,6 @@ def rater_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation is row by row, so only the picked rows are evaluated a second time."""
     picked = sampling.pick_rows(_labels(spark, sf_dir))
-    replied = views.replies(spark, sf_dir).join(
-        F.broadcast(picked.select("row_id")), "row_id", "left_semi"
-    )
-    results = pipeline.evaluate(replied, keep=("category",))
-    return sampling.audit_sample(picked, results, views.references(spark, sf_dir))
+    replied = sampling.take_rows(views.replies(spark, sf_dir), picked)
+    results = pipeline.evaluate(replied, keep=("category", "turn", "stratum"))
+    return sampling.audit_sample(results, views.references(spark, sf_dir))
