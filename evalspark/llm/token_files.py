@@ -32,7 +32,7 @@ FILE_BYTES = 32 << 20  # of text for each file
 _HEAD = struct.Struct("<8sqqqq")  # magic, documents, of these with null id, tokens, levels
 
 FILES = "file string, file_no int, n_docs long, n_tokens long"
-TOKENS = "doc_id long, file string, start_in_file long, n_tokens long, ids binary"
+TOKENS = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def pack(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -175,7 +175,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with system.open_input_file(f"{folder}/{name}") as source:
                     reader = Addressed(source)
                     doc_ids, starts = reader.documents()
@@ -186,8 +186,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         bounds = (starts[begin : end + 1] - starts[begin]) * 4
                         yield pa.RecordBatch.from_pydict({
                             "doc_id": pa.array(doc_ids[begin:end], pa.int64()),
-                            "file": pa.array([name] * (end - begin)),
-                            "start_in_file": starts[begin:end],
+                            "start": base + starts[begin:end],
                             "n_tokens": np.diff(starts[begin : end + 1]),
                             "ids": pa.array([data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
                         })
@@ -195,7 +194,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    names = files.select("file").repartition(store.partitions_for(spark, 0, 1), "file")
-    return names.mapInArrow(decode, TOKENS).join(bases, "file").select(
-        "doc_id", (F.col("base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids"
-    )
+    return bases.repartition(store.partitions_for(spark, 0, 1), "file").mapInArrow(decode, TOKENS)
