@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, packing, store, substring_dedup, token_files
+from evalspark.llm import byte_bpe, packing, simhash, store, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir), shingle=3, radius=2).select(
+        "doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id"
+    )
+
+
 @_query
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.fresh_path(spark, "tokens")
