@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, packing, simhash, store, substring_dedup, token_files
+from evalspark.llm import byte_bpe, line_dedup, packing, simhash, store, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,3 +67,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir), window=13).select(
         "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
     )
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_blocks(_table(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
