@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, line_dedup, packing, simhash, store, substring_dedup, token_files
+from evalspark.llm import byte_bpe, language, line_dedup, packing, quality, simhash, store, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(store.written(pieces, "pieces"), capacity=2048)
 
 
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir)
+    return language.identify(documents, language.fit(documents))
+
+
+@_query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 @_query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir), window=13).select(
