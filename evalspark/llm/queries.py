@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, language, line_dedup, packing, quality, simhash, store, substring_dedup, token_files
+from evalspark.llm import byte_bpe, language, line_dedup, packing, quality, simhash, store, substring_dedup, token_files, top_products, vantage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op4_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return vantage.search(rows, rows.where("vec_id % 100 = 0"), k=10, factor=1.0)
+
+
+@_query
+def op5_exact_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return top_products.search(rows, rows.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
 @_query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
