@@ -187,3 +187,18 @@ def classify(df: DataFrame, labels: DataFrame, threshold: float = 0.7, label: st
     return scored(statistics, fit(statistics, labels, label, doc_id)).select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.7, label: str = "quality", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``df``, as they are, whose score is ``threshold`` or more."""
+    model = fit(measured(df, text, doc_id), labels, label, doc_id)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [shared.value.score(statistics(texts)) >= threshold for _, texts in slabs(batch.column(at))]
+            if good:
+                yield batch.filter(pa.array(np.concatenate(good)))
+
+    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes))

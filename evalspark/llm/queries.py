@@ -97,3 +97,50 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_blocks(_table(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256")
     )
+
+
+ORACLE["op4_vantage_points"] = """
+WITH v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+      AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), d AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, 
+        sqrt(list_sum(list_transform(list_zip(q.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank, vec_id, score
+FROM d QUALIFY rank <= 10
+"""
+
+ORACLE["op5_exact_top_products"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+        list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+ORACLE["op9_substring_dedup"] = r"""
+WITH t AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS win FROM t, unnest(range(1, len(w) - 11)) AS r(i)
+), f AS (
+    SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) < doc_id AS again FROM s
+), g AS (
+    SELECT DISTINCT doc_id, i + k AS place FROM f, unnest(range(13)) AS r(k) WHERE again
+), p AS (
+    SELECT doc_id, list(place) AS gone FROM g GROUP BY doc_id
+)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+    sha256(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM t LEFT JOIN p ON t.doc_id = p.doc_id
+"""

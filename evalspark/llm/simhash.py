@@ -83,25 +83,25 @@ def _minima(hashes: np.ndarray, tables: int, rows: int) -> list[int]:
 
 
 def fingerprints(df: DataFrame, shingle: int, bits: int = 64, tables: int = 0, rows: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and fingerprint (binary, highest bit first); with ``tables`` also that many bucket keys."""
+    """doc_id, copy (a hash of the text) and fingerprint (binary, highest bit first); with ``tables`` also that many bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 prints, keys = [], []
-                for value in part.column(1).to_pylist():
+                for value in part.column(2).to_pylist():
                     hashes = _shingle_hashes(value, shingle)
                     prints.append(_majority(hashes, bits))
                     if tables:
                         keys.append(_minima(hashes, tables, rows))
-                columns = [part.column(0), pa.array(prints, pa.binary())]
+                columns = [*part.columns[:2], pa.array(prints, pa.binary())]
                 if tables:
                     columns.append(pa.array(keys, pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint", "keys"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "fingerprint", "keys"][: len(columns)])
 
-    kinds = "doc_id long, fingerprint binary" + (", keys array<long>" if tables else "")
-    return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, kinds)
+    kinds = "doc_id long, copy long, fingerprint binary" + (", keys array<long>" if tables else "")
+    return df.select(F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(run, kinds)
 
 
 def band_keys(prints: DataFrame, bits: int, radius: int) -> DataFrame:
@@ -276,8 +276,22 @@ def components(edges: DataFrame) -> DataFrame:
         edges = store.written(small.unionByName(least.select(F.col("m").alias("a"), "b")).distinct(), "links")
 
 
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``df``, as they are, with the smallest id of each group of near-duplicates.
+
+    Rows that share an id are one document and leave one row, that of the least text hash.  Rows
+    without an id stay.
+    """
+    found = near_duplicates(df, text=text, doc_id=doc_id, **options)
+    key, copy = store.unused(df, "key"), store.unused(df, "copy")
+    named = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.min("copy").alias(copy))
+    same = (F.col(f"`{doc_id}`").cast("long") == F.col(key)) & (F.xxhash64(text) == F.col(copy))
+    kept = df.where(F.col(doc_id).isNotNull()).join(named, same, "left_semi").dropDuplicates([doc_id])
+    return kept.unionByName(df.where(F.col(doc_id).isNull()))
+
+
 def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, bits: int = 64, tables: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, fingerprint and component_id, the smallest id reachable over links, of every row.
+    """doc_id, fingerprint, component_id (the smallest id reachable over links) and copy of every row.
 
     Without ``tables`` all pairs within the radius are linked; with them, those that share one of
     so many keys (for radii that are wide against the bits).
@@ -290,4 +304,6 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, bits: int
     named = classes.select("fingerprint", "id").join(found, "id", "left").select(
         "fingerprint", F.coalesce("component", "id").alias("component_id")
     )
-    return prints.select("doc_id", "fingerprint").join(named, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+    return prints.select("doc_id", "copy", "fingerprint").join(named, "fingerprint", "left").select(
+        "doc_id", "fingerprint", "component_id", "copy"
+    )

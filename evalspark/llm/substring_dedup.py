@@ -137,15 +137,21 @@ def _sent(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return sizes, got
 
 
-def remove_repeats(df: DataFrame, window: int = 13, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = 13, text: str = "text", doc_id: str = "doc_id", layout: bool = False) -> DataFrame:
     """Per document: its words that no earlier document's window repeats, joined by one space.
 
-    Columns doc_id, text, n_words, n_removed.  ``window`` is at least the period.
+    Columns doc_id, text, n_words, n_removed.  ``window`` is at least the period.  With ``layout``
+    each kept word keeps the white space after it, and ``rest`` is a struct of all other columns.
     """
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     spark = df.sparkSession
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    kinds = KEPT
+    if layout:
+        others = [F.col(f"`{c}`") for c in df.columns if c not in (text, doc_id)]
+        rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*others).alias("rest"))
+        kinds += ", rest " + dict(rows.dtypes)["rest"]
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = store.partitions_for(spark, size, PARTITION_BYTES)
     groups = buckets = parts * GROUPS_EACH
@@ -196,12 +202,13 @@ def remove_repeats(df: DataFrame, window: int = 13, text: str = "text", doc_id:
         bits = np.frombuffer(answers.column("bits")[back].as_py(), np.uint8)
         own.windows(np.unpackbits(bits, count=len(own.anchor)).astype(bool))
         gone = own.covered(_bits(answers, *_sent(own.one, buckets)))
-        return _joined(own, ~gone)
+        out = _joined(own, ~gone, layout)
+        return out.append_column("rest", rows.column("rest")) if layout else out
 
     answers = grouped.groupBy("grp").applyInArrow(anchors, BLOCKS).groupBy("bucket").applyInArrow(shared, ANSWERS)
     asked = grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(windows, BLOCKS)
     answers = asked.groupBy("bucket").applyInArrow(earlier, ANSWERS)
-    return grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(kept, KEPT)
+    return grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(kept, kinds)
 
 
 def _answers(rows: pa.Table, sizes: list[int], bits: np.ndarray) -> pa.Table:
@@ -210,20 +217,26 @@ def _answers(rows: pa.Table, sizes: list[int], bits: np.ndarray) -> pa.Table:
     return _table({"grp": rows.column("grp").to_pylist(), "bucket": rows.column("bucket").to_pylist(), "bits": cells})
 
 
-def _joined(own: _Group, kept: np.ndarray) -> pa.Table:
-    """The kept words of every document, joined by one space."""
+def _joined(own: _Group, kept: np.ndarray, layout: bool) -> pa.Table:
+    """The kept words of every document, joined by one space or (``layout``) with what stood after each."""
     words = own.words
     at = np.flatnonzero(kept)
-    sizes = words.ends[at] - words.starts[at] + 1
+    n_kept = np.diff(np.concatenate([[0], np.cumsum(kept)])[words.first])
+    stops = words.ends + 1
+    if layout:
+        stops = np.append(words.starts[1:], len(words.data))
+        last = words.first[1:][words.counts > 0] - 1
+        stops[last] = words.text_ends[words.counts > 0]
+    sizes = (stops - words.starts)[at]
     where = np.minimum(flat_ranges(words.starts[at], sizes), max(len(words.data) - 1, 0))
     out = words.data[where] if len(at) else np.zeros(0, np.uint8)
     ends = np.cumsum(sizes)
-    out[ends - 1] = 32
-    total = np.concatenate([[0], np.cumsum(kept)])
-    n_kept = total[words.first[1:]] - total[words.first[:-1]]
-    stops = np.concatenate([[0], ends])[total[words.first]]
+    if not layout:
+        out[ends - 1] = 32
+    edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_kept)])]
     data = out.tobytes()
-    texts = [data[a : max(a, b - 1)].decode() for a, b in zip(stops[:-1], stops[1:], strict=True)]
+    cut = 0 if layout else 1
+    texts = [data[a : max(a, b - cut)].decode() for a, b in zip(edges[:-1], edges[1:], strict=True)]
     return pa.table({
         "doc_id": own.keys, "text": pa.array(texts, pa.string()),
         "n_words": words.counts.astype(np.int64), "n_removed": words.counts - n_kept,

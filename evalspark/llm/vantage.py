@@ -29,8 +29,11 @@ SHARD, LEAF, MOST_PIVOTS = 1024, 32, 256
 
 
 def distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Euclidean distances, from the differences themselves."""
-    return np.sqrt(((queries[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2))
+    """Euclidean distances, from the differences themselves, added up in the order of the components."""
+    total = np.zeros((len(queries), len(rows)))
+    for x, y in zip(queries.T, rows.T, strict=True):
+        total += (x[:, None] - y) ** 2
+    return np.sqrt(total)
 
 
 @dataclass

@@ -46,6 +46,7 @@ class Words:
     starts: np.ndarray  # of the words, in data
     ends: np.ndarray
     first: np.ndarray  # first word of each text, and the number of words at the end
+    text_ends: np.ndarray  # of the texts, in data
 
     @property
     def counts(self) -> np.ndarray:
@@ -95,7 +96,7 @@ def words_of(texts: pa.Array) -> Words:
     data, offsets = text_bytes(texts)
     if not len(data):
         none = np.zeros(0, np.int64)
-        return Words(data, none, none, np.zeros(len(offsets), np.int64))
+        return Words(data, none, none, np.zeros(len(offsets), np.int64), offsets[1:])
     space = _SPACE[data]
     before, after = np.empty_like(space), np.empty_like(space)
     before[0] = after[-1] = True
@@ -105,7 +106,7 @@ def words_of(texts: pa.Array) -> Words:
     after[offsets[1:][filled] - 1] = True
     starts = np.flatnonzero(before & ~space)
     ends = np.flatnonzero(after & ~space) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, offsets))
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), offsets[1:])
 
 
 def runs(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
