@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.tokens import Encoder, at_spaces, flat_ranges, slabs
+from evalspark.llm.tokens import at_spaces, encoder, flat_ranges, slabs
 
 
 @functools.cache
@@ -88,10 +88,10 @@ def encode(df: DataFrame, path: str, pattern: str, offsets: bool = False, text:
     kinds = "doc_id long, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(source.value, at_spaces, offsets)
+        own = encoder(source.value, at_spaces, offsets)
         for batch in batches:
             for first, texts in slabs(batch.column(1)):
-                ids, counts, spans = encoder.encode(texts)
+                ids, counts, spans = own.encode(texts)
                 columns = [batch.column(0).slice(first, len(texts)), _lists(ids, counts)]
                 if offsets:
                     columns += [_lists(spans[:, 0], counts), _lists(spans[:, 1], counts)]

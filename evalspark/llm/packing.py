@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm import store
-from evalspark.llm.tokens import Encoder, at_spaces, slabs
+from evalspark.llm.tokens import at_spaces, encoder, slabs
 
 # Lengths above a share of the capacity are grouped and optimised, in so many groups.  Each share
 # is tried, and the plan with the fewest sequences taken.
@@ -35,10 +35,10 @@ def cut_documents(df: DataFrame, tokenizer: str, end_id: int, capacity: int, tex
     """Token pieces of at most ``capacity``; of a longer document only the first may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, at_spaces)
+        own = encoder(tokenizer, at_spaces)
         for batch in batches:
             for first, texts in slabs(batch.column(1)):
-                found, counts, _ = encoder.encode(texts)
+                found, counts, _ = own.encode(texts)
                 data = np.insert(found, np.cumsum(counts), end_id).astype("<u4").tobytes()
                 ends = np.cumsum(counts + 1)
                 rows: tuple[list, ...] = ([], [], [], [], [])

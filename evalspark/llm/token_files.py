@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm import store
-from evalspark.llm.tokens import Encoder, between_spaces, slabs
+from evalspark.llm.tokens import between_spaces, encoder, slabs
 
 MAGIC, BLOCK = b"DACTOK01", 512
 FILE_BYTES = 32 << 20  # of text for each file
@@ -135,13 +135,13 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "te
     parts = store.partitions_for(spark, size, FILE_BYTES)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, between_spaces)
+        own = encoder(tokenizer, between_spaces)
         doc_ids: list[int | None] = []
         lengths, ids = [], []
         for batch in batches:
             doc_ids += batch.column(0).to_pylist()
             for _, texts in slabs(batch.column(1)):
-                found, counts, _ = encoder.encode(texts)
+                found, counts, _ = own.encode(texts)
                 lengths.append(counts + 1)
                 ids.append(np.insert(found, np.cumsum(counts), end_id).astype(np.uint32))
         if not doc_ids:
@@ -150,10 +150,10 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "te
         name = f"part-{task.partitionId():08d}.dac"
         system, folder = fs.FileSystem.from_uri(path)
         system.create_dir(folder, recursive=True)
-        own = f"{folder}/.{name}.{task.taskAttemptId()}"
-        with system.open_output_stream(own) as out:
+        attempt = f"{folder}/.{name}.{task.taskAttemptId()}"
+        with system.open_output_stream(attempt) as out:
             out.write(_file(doc_ids, np.concatenate(lengths), total := np.concatenate(ids)))
-        system.move(own, f"{folder}/{name}")
+        system.move(attempt, f"{folder}/{name}")
         yield pa.RecordBatch.from_pydict({
             "file": [name], "file_no": pa.array([task.partitionId()], pa.int32()),
             "n_docs": [len(doc_ids)], "n_tokens": [len(total)],

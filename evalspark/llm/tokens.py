@@ -158,6 +158,12 @@ class Encoder:
         return ids, np.diff(text_ends, prepend=0), spans
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(source: str, cut: Callable[[str], list[str]], offsets: bool = False) -> Encoder:
+    """The encoder of this worker process, so that its tasks share what it has learned."""
+    return Encoder(source, cut, offsets)
+
+
 def slabs(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """The texts of a batch, null as empty, some at a time: (first row, texts)."""
     if not len(texts):
