@@ -110,7 +110,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, factor: float, vector: s
     asked = store.written(asked.groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
     count = every.count()
     wanted = min(max(-(-count // SHARD), 1), MOST_PIVOTS)
-    pivots = np.array([r["vector"] for r in every.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(wanted).collect()])
+    sample = every.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(wanted).collect()
+    pivots = np.array([r["vector"] for r in sample]) if sample else np.zeros((1, 0))
 
     def assign(batches):
         for batch in batches:
