@@ -45,6 +45,55 @@ def word_counts(text: str) -> str:
     )
 
 
+def _runs(ordered: str, field: str, body: str) -> str:
+    """One element per run of equal ``field`` in a sorted array variable of structs: ``body``
+    over ``run``, the slice."""
+    starts = (
+        f"array_compact(transform({ordered}, (e, i) ->"
+        f" CASE WHEN NOT (e.{field} <=> get({ordered}, i - 1).{field}) THEN i END))"
+    )
+    size = f"coalesce(get(begins, k + 1), size({ordered})) - s"
+    cut = f"transform(begins, (s, k) -> slice({ordered}, s + 1, {size}))"
+    return _bind(starts, "begins", f"transform({cut}, run -> {body})")
+
+
+def counted_texts(texts: str) -> str:
+    """Word counts of each text of an array: array of array of (word, slot, n)."""
+    words_of = word_counts("coalesce(t, '')")
+    return (
+        f"transform({texts}, (t, slot) -> transform({words_of},"
+        " c -> named_struct('word', c.word, 'slot', slot, 'n', c.n)))"
+    )
+
+
+def squares_of(counted: str) -> str:
+    """Sum of squared counts of each text of ``counted_texts``."""
+    return f"transform({counted}, cs -> aggregate(cs, 0L, (total, c) -> total + bigint(c.n) * c.n))"
+
+
+def word_index(counted: str) -> str:
+    """Word to the texts that hold it, as a map to arrays of (slot, n)."""
+    postings = "transform(run, e -> named_struct('slot', e.slot, 'n', e.n))"
+    entries = _runs("entries", "word", f"named_struct('w', run[0].word, 'p', {postings})")
+    return f"map_from_entries({_bind(f'sort_array(flatten({counted}))', 'entries', entries)})"
+
+
+def dots_with_index(text: str, index: str) -> str:
+    """Dot products of a text with the texts of an index that share a word: array of (slot, dot).
+
+    Words meet in one hash map and the products in one sort, so the work is linear (up to the
+    sort) in the words of the text and of the index, whatever the number of texts.
+    """
+    products = "transform(p, e -> named_struct('slot', e.slot, 'v', bigint(n) * e.n))"
+    met = (
+        f"map_zip_with(map_from_entries({word_counts(text)}), {index},"
+        f" (w, n, p) -> CASE WHEN n IS NOT NULL AND p IS NOT NULL THEN {products} END)"
+    )
+    found = f"sort_array(flatten(array_compact(map_values({met}))))"
+    total = "named_struct('slot', run[0].slot, 'dot', aggregate(run, 0L, (sum, e) -> sum + e.v))"
+    return _bind(found, "found", _runs("found", "slot", total))
+
+
 def _cosine(dot: str, square_x: str, square_y: str) -> str:
     norms = f"(double({square_x}) * double({square_y}))"
     return f"CASE WHEN {norms} > 0 THEN double({dot}) / sqrt({norms}) ELSE 0.0D END"

@@ -1,4 +1,4 @@
-"""Equality lookups that survive a key holding a large share of the rows."""
+"""Equality lookups, with keys that hold too many rows for one task spread on request."""
 
 from __future__ import annotations
 
@@ -7,20 +7,15 @@ from pyspark.sql import functions as F
 
 from evalspark.operators.columns import add
 
-# At most this many keys can hold more than 1/10,000 of the rows each, so a list of the
-# most frequent keys of this length is all that can unbalance a shuffle.
-MAX_HOT_KEYS = 10_000
-
 
 def hot_keys(rows: DataFrame, key: str, rows_per_task: int) -> DataFrame:
     """Hash of each key with more than ``rows_per_task`` rows, and tasks to spread it over.
 
-    Reads the key column only and counts before shuffling.  Never more than
-    ``MAX_HOT_KEYS`` rows of two numbers.
+    Reads the key column only and counts before shuffling.  At most one key in
+    ``rows_per_task`` rows can be listed.
     """
     counted = rows.groupBy(F.xxhash64(key).alias("key_hash")).count()
-    frequent = counted.where(f"count > {rows_per_task}").orderBy(F.desc("count"), "key_hash")
-    return frequent.limit(MAX_HOT_KEYS).selectExpr(
+    return counted.where(f"count > {rows_per_task}").selectExpr(
         "key_hash", f"int(ceil(count / {rows_per_task})) AS tasks"
     )
 
@@ -30,19 +25,19 @@ def lookup(
     table: DataFrame,
     key: str = "question",
     how: str = "left",
-    rows_per_task: int = 1_000_000,
+    rows_per_task: int | None = None,
     keys: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to a ``table`` that has one row per ``key``.
 
-    Rows of a hot key are spread over several tasks by ``row_id`` and the table row is
-    repeated for each, so no task gets more than about ``rows_per_task`` of one key.  All
-    other keys have one task as usual.  The result equals the plain join.  Two keys with
-    one hash only share a spread, which both sides compute alike.
-
-    ``keys`` is a frame with the same keys that is cheaper to read than computed ``rows``.
+    A plain join: Spark broadcasts a small table, and splits skewed partitions of a large
+    one while it runs.  With ``rows_per_task``, rows of a hot key are also spread over tasks
+    by ``row_id`` and the table row is repeated for each; the result is the same.  ``keys``
+    is a frame with the same keys that is cheaper to count than computed ``rows``.
     """
-    hot = F.broadcast(hot_keys(rows if keys is None else keys, key, rows_per_task))
+    if rows_per_task is None:
+        return rows.join(table, key, how)
+    hot = hot_keys(rows if keys is None else keys, key, rows_per_task)
 
     def spread(side: DataFrame, part: str) -> DataFrame:
         hashed = side.withColumn("key_hash", F.xxhash64(key))

@@ -6,12 +6,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from evalspark.functions.booleans import is_true
-from evalspark.functions.similarity import best_cosine, word_counts
+from evalspark.functions.similarity import (
+    best_cosine,
+    counted_texts,
+    dots_with_index,
+    squares_of,
+    word_index,
+)
 from evalspark.functions.text import is_attempted, is_failed
-from evalspark.operators.columns import add
+from evalspark.operators.columns import add, settle
 from evalspark.operators.joins import lookup
 
 
@@ -34,93 +39,66 @@ RATED = (
     Rated("baseline", "base_answer", "base_judged"),
 )
 
-CANDIDATE, CORRECT, INCORRECT = 0, 1, 2
 BOTH_SETS = "coalesce(size(correct) > 0 AND size(incorrect) > 0, false)"
 
 
+def indexed_references(references: DataFrame) -> DataFrame:
+    """Per question the words of its references, counted once: ``index``, ``squares`` and
+    ``n_correct`` (the first texts are the correct ones); questions without both sets go."""
+    both = references.where(BOTH_SETS).selectExpr(
+        "question", "size(correct) AS n_correct", "concat(correct, incorrect) AS texts"
+    )
+    counted = settle(both, {"counted": counted_texts("texts")}).drop("texts")
+    return settle(
+        counted, {"index": word_index("counted"), "squares": squares_of("counted")}
+    ).drop("counted")
+
+
 def reference_labels(
     results: DataFrame,
     references: DataFrame,
     keep: Sequence[str] = (),
     rated: Sequence[Rated] = RATED,
-    rows_per_task: int = 1_000_000,
+    rows_per_task: int | None = None,
     questions: DataFrame | None = None,
 ) -> DataFrame:
     """Per row and answer column: closer (by words) to a correct than to an incorrect one?
 
     ``references`` has one row per question with arrays ``correct`` and ``incorrect``.
     A label is NULL for an answer that failed or where either set is missing or empty.
-    ``keep`` names small columns to carry along; ``questions`` is a frame with the same
-    questions that is cheaper to count than computed ``results``.
+    ``keep`` names small columns to carry along; ``rows_per_task`` and ``questions`` are
+    those of ``lookup``.
 
-    The references are attached to their rows (hot questions spread), the rows are
-    shuffled once by ``row_id``, and all word counting below happens within that
-    partitioning: work is linear in the words of a row, whatever the number of references.
+    References are counted once per question; answers are shuffled once, to their question,
+    and compared inside the row.
     """
-    carried = ["row_id", *keep, *(r.label for r in rated)]
     rows = lookup(
         results.select("row_id", "question", *keep, *(r.answer for r in rated)),
-        references, "question", "left", rows_per_task, questions,
+        indexed_references(references), "question", "left", rows_per_task, questions,
     )
 
-    def slots(kind: int, texts: str) -> str:
-        return (
-            f"transform({texts}, (t, i) -> named_struct('kind', {kind}, 'slot', i, 'text', t))"
-        )
-
-    # Until the end a label column says whether there is anything to label.
-    usable = {
-        r.label: f"{BOTH_SETS} AND NOT {is_failed(r.answer)} AND {is_attempted(r.answer)}"
-        for r in rated
-    }
-    texts = ", ".join(
-        (
-            slots(CANDIDATE, f"array({', '.join(r.answer for r in rated)})"),
-            slots(CORRECT, "coalesce(correct, array())"),
-            slots(INCORRECT, "coalesce(incorrect, array())"),
-        )
-    )
-    placed = add(rows, usable).selectExpr(*carried, f"concat({texts}) AS texts")
-    # Counted within the row; a text without words keeps one row without weight.
-    counts = (
-        placed.repartition("row_id")
-        .selectExpr(*carried, "inline(texts)")
-        .selectExpr(*carried, "kind", "slot", f"inline_outer({word_counts('text')})")
-    )
-    beside = add(
-        counts,
-        {
-            f"n_{i}": f"max(CASE WHEN kind = {CANDIDATE} AND slot = {i} THEN n END)"
-            " OVER (PARTITION BY row_id, word)"
-            for i in range(len(rated))
-        },
-    )
-    matched = beside.groupBy(*carried, "kind", "slot").agg(
-        F.expr("sum(bigint(n) * n)").alias("square"),
-        *(F.expr(f"sum(bigint(n) * n_{i})").alias(f"dot_{i}") for i in range(len(rated))),
-    )
-
-    def closest(i: int, kind: int) -> str:
+    def closest(dots: str, side: str) -> str:
         # The candidate's own norm divides both sides alike, so it is left out.
-        near = f"try_divide(double(dot_{i}), sqrt(square))"
-        return f"coalesce(max(CASE WHEN kind = {kind} THEN {near} END), 0.0D)"
-
-    best = matched.groupBy(*carried).agg(
-        *(
-            F.expr(f"{closest(i, CORRECT)} > {closest(i, INCORRECT)}").alias(f"closer_{i}")
-            for i in range(len(rated))
-        )
-    )
-    return best.selectExpr(
-        "row_id",
-        *keep,
-        *(f"CASE WHEN {r.label} THEN closer_{i} END AS {r.label}" for i, r in enumerate(rated)),
-    )
+        near = "try_divide(double(d.dot), sqrt(squares[d.slot]))"
+        of_side = f"filter({dots}, d -> d.slot {side} n_correct)"
+        return f"coalesce(array_max(transform({of_side}, d -> {near})), 0.0D)"
+
+    def dots(r: Rated) -> str:
+        usable = f"n_correct IS NOT NULL AND NOT {is_failed(r.answer)} AND {is_attempted(r.answer)}"
+        return f"CASE WHEN {usable} THEN {dots_with_index(r.answer, 'index')} END"
+
+    found = settle(rows, {f"dots_{i}": dots(r) for i, r in enumerate(rated)})
+    labels = {
+        r.label: f"CASE WHEN dots_{i} IS NOT NULL THEN"
+        f" {closest(f'dots_{i}', '<')} > {closest(f'dots_{i}', '>=')} END"
+        for i, r in enumerate(rated)
+    }
+    return add(found, labels).select("row_id", *keep, *labels)
 
 
 def reference_labels_by_vector(
     rows: DataFrame, references: DataFrame, key: str = "question",
-    rows_per_task: int = 1_000_000,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """The same rule on vectors: ``rows`` has ``vector``, ``references`` arrays of vectors.
 

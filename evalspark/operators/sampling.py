@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from evalspark.functions.text import quoted, shorten
 from evalspark.operators.columns import add
@@ -47,18 +46,22 @@ def pick_rows(
 
 
 def take_rows(rows: DataFrame, picked: DataFrame) -> DataFrame:
-    """The picked rows with their place.  The pick is at most ``cap`` rows, so it is
-    broadcast and the wide table is filtered where it is, not shuffled."""
-    return rows.join(F.broadcast(picked), "row_id")
+    """The picked rows with their place.  Spark sees that the pick is limited, so it can send
+    it to the wide table instead of shuffling that."""
+    return rows.join(picked, "row_id")
 
 
-def audit_sample(rows: DataFrame, references: DataFrame) -> DataFrame:
-    """The 14 review columns for results that ``take_rows`` picked, long texts shortened."""
-    wanted = F.broadcast(rows.select("question").distinct())
+def audit_sample(rows: DataFrame, references: DataFrame, cap: int = 30) -> DataFrame:
+    """The 14 review columns for results that ``take_rows`` picked, long texts shortened.
+
+    ``cap`` is that of ``pick_rows``: the order is a top-k, which samples no bounds.
+    """
+    wanted = rows.select("question").distinct()
     sets = references.select("question", "correct").join(wanted, "question", "left_semi")
     return (
         rows.join(sets, "question", "left")
         .orderBy("turn", "stratum", "row_id")
+        .limit(cap)
         .selectExpr(
             "row_id AS row",
             "category",

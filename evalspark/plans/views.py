@@ -15,14 +15,9 @@ from evalspark.operators import pipeline
 from evalspark.sources.references import reference_sets
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
-    """One given table.  A scan with fewer partitions than there are cores (one small
-    file) is spread by its key first; a large table is read as it lies."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if key and rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores, key)
-    return rows
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One given table, read as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 QUESTION = "concat('Which ', lang, ' text has ', string(n_chars), ' characters?')"
@@ -74,7 +69,7 @@ _VERDICT = r"""CASE WHEN doc_id % 43 = 42 THEN 'ERROR: 503 service unavailable'
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their labels where there are any."""
-    docs = table(spark, sf_dir, "documents", "doc_id")
+    docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").selectExpr(
         "doc_id", "quality", "toxic", "quality = 1 AS good", "toxic = 0 AS harmless"
     )
@@ -107,7 +102,7 @@ def results(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference sets: a text's lines with a comma count as correct, those without as not."""
-    rows = table(spark, sf_dir, "documents", "doc_id").selectExpr(
+    rows = table(spark, sf_dir, "documents").selectExpr(
         "doc_id AS row_id",
         f"{QUESTION} AS question",
         r"filter(split(text, '\n'), s -> contains(s, ',')) AS correct",
@@ -117,13 +112,13 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Late baseline replies (none in German yet), with the baseline judge's reply."""
+    """A late baseline reply for every document, with the baseline judge's reply."""
     judged = f"""concat('{{"answer_correct": ', {_word('good')}, '}}')"""
     return (
         _labelled(spark, sf_dir)
-        .where("lang <> 'de'")
         .selectExpr(
             "doc_id AS row_id",
+            "lang",
             f"{DISTINCT_WORDS} AS ground_truth",
             f"CASE WHEN doc_id % 3 = 1 THEN 'ERROR: timed out' ELSE {clean_output('text')} END"
             " AS base_answer",
@@ -155,7 +150,7 @@ def flag_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_raters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vectors as answers and references: ten vectors in a row answer one question, and
     the ten before them are its reference set (even labels are correct)."""
-    vectors = table(spark, sf_dir, "embeddings", "vec_id")
+    vectors = table(spark, sf_dir, "embeddings")
     rows = vectors.selectExpr(
         "vec_id AS row_id", "vec_id DIV 10 AS question", "embedding AS vector",
         "label < 5 AS judge",
