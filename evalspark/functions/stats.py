@@ -51,13 +51,31 @@ def chi_square_p(chi_square: str) -> str:
     return erfc(f"sqrt({chi_square} / 2)")
 
 
-def log_factorial(k: str) -> str:
-    """ln(k!) by Stirling's series, moved up by 8 so that small k are exact to 1e-10."""
-    x = f"double({k})"
+def _stirling_rest(z: str) -> str:
+    return f"(1 / (12 * {z}) - 1 / (360 * pow({z}, 3)) + 1 / (1260 * pow({z}, 5)))"
+
+
+def log_factorial_change(x: str, step: str) -> str:
+    """ln((x + step)!) - ln(x!) - step ln(x + 9), from differences that stay small.
+
+    Stirling's series, moved up by 9 so that small x are exact to 1e-10; the part that is
+    left out cancels between the cells of a table (see ``log_weight_change``).
+    """
     z = f"({x} + 9)"
-    shifted = " * ".join(f"({x} + {i})" for i in range(1, 9))
-    series = f"1 / (12 * {z}) - 1 / (360 * pow({z}, 3)) + 1 / (1260 * pow({z}, 5))"
-    return f"(({z} - 0.5D) * ln({z}) - {z} + 0.9189385332046727D + {series} - ln({shifted}))"
+    shifted = " * ".join(f"(({x} + {step} + {i}) / ({x} + {i}))" for i in range(1, 9))
+    return (
+        f"(({z} + {step} - 0.5D) * log1p({step} / {z}) - {step}"
+        f" + {_stirling_rest(f'({z} + {step})')} - {_stirling_rest(z)} - ln({shifted}))"
+    )
+
+
+def log_weight_change(cells: tuple[str, str, str, str], step: str) -> str:
+    """ln of the weight of a 2x2 table with ``step`` moved along its diagonals, relative to
+    that of ``cells`` (a, b, c, d as doubles), for tables with the same margins."""
+    signs = (f"({step})", f"(-({step}))", f"(-({step}))", f"({step})")
+    changes = " + ".join(log_factorial_change(x, s) for x, s in zip(cells, signs, strict=True))
+    a, b, c, d = (f"({x} + 9)" for x in cells)
+    return f"(-({changes}) - ({step}) * ln(({a} / {b}) * ({d} / {c})))"
 
 
 def kappa(tt: str, tf: str, ft: str, ff: str) -> str:

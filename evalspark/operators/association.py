@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.booleans import is_true
 from evalspark.functions.stats import (
     chi_square_p,
-    log_factorial,
+    log_weight_change,
     percent,
     ratio,
     yates_chi_square,
@@ -24,9 +24,9 @@ from evalspark.functions.text import quoted
 from evalspark.operators.columns import add
 from evalspark.operators.metrics import BOTH_WRONG, VALID, count
 
-# Tables this many standard deviations from the mean have a probability below what a
-# double can hold, so leaving them out changes no digit of the p-value.
-WIDTH_IN_DEVIATIONS = 40
+# ln of the smallest double, about: a table that is less likely than the most likely one by
+# this much has weight 0.0 and adds nothing to any sum.
+LEAST_LOG = -745
 # Tables considered are generated in runs, so no array grows with the counts.
 RUN = 4096
 
@@ -51,7 +51,7 @@ def risk_measures(tables: DataFrame) -> DataFrame:
             "chi": yates_chi_square("a", "b", "c", "d"),
         },
     )
-    tests = {"chi_square": "round(chi, 6)", "chi_square_p": f"round({chi_square_p('chi')}, 4)"}
+    tests = {"chi_square": "round(chi, 6)", "chi_square_p": chi_square_p("chi")}
     return add(measured, tests).drop("chi")
 
 
@@ -59,35 +59,41 @@ def fisher_exact(tables: DataFrame) -> DataFrame:
     """Add the two-sided Fisher p of each 2x2 table: the share of all tables with the same
     margins that are no more likely than the observed one.
 
-    The tables enumerated grow with the square root of the counts, and their probabilities
-    are summed relative to each other, so large counts stay exact to the digits shown.
-    Rows of ``tables`` must differ.
+    Weights are relative to about the most likely table and fall on both sides of it, so two
+    bisections find where they vanish; only the tables between are listed, about the square
+    root of the counts.  A p below the smallest double is 0.0.  Rows of ``tables`` must differ.
     """
 
-    def log_weight(k: str) -> str:
-        cells = (k, f"r1 - {k}", f"c1 - {k}", f"n - r1 - c1 + {k}")
-        return "-(" + " + ".join(log_factorial(f"({cell})") for cell in cells) + ")"
+    def weight(k: str) -> str:
+        cells = ("top", "(r1 - top)", "(c1 - top)", "(n - r1 - c1 + top)")
+        return log_weight_change(tuple(f"double{c}" if c[0] == "(" else f"double({c})" for c in cells), f"double({k} - top)")
+
+    def edge(end: str, towards: str) -> str:
+        """The last table from the top on that still has weight, by halving the rest."""
+        inside = f"({weight('m')} > {LEAST_LOG})"
+        middle = "s.inside + (s.outside - s.inside) DIV 2"
+        halved = (
+            f"get(transform(array({middle}), m -> CASE WHEN abs(s.outside - s.inside) <= 1 THEN s"
+            f" WHEN {inside} THEN named_struct('inside', m, 'outside', s.outside)"
+            " ELSE named_struct('inside', s.inside, 'outside', m) END), 0)"
+        )
+        start = f"named_struct('inside', top, 'outside', {end} {towards} 1L)"
+        return f"aggregate(sequence(1, 63), {start}, (s, i) -> {halved}, s -> s.inside)"
 
     margins = add(tables, {"r1": "a + b", "c1": "a + c", "n": "a + b + c + d"})
-    r, c, n = "double(r1)", "double(c1)", "double(n)"
-    mean = f"try_divide({r} * {c}, {n})"
-    variance = f"try_divide({r} * {c} * ({n} - {r}) * ({n} - {c}), {n} * {n} * ({n} - 1))"
-    reach = f"({WIDTH_IN_DEVIATIONS} * coalesce(sqrt({variance}), 0.0D) + 1)"
+    ends = add(margins, {"least": "greatest(0L, r1 + c1 - n)", "most": "least(r1, c1)"})
+    mode = "bigint(floor((double(r1) + 1) * (double(c1) + 1) / (double(n) + 2)))"
+    topped = add(ends, {"top": f"least(most, greatest(least, {mode}))"})
     bounds = add(
-        margins,
-        {
-            "low": f"greatest(0L, r1 + c1 - n, floor({mean} - {reach}))",
-            "high": f"least(r1, c1, ceil({mean} + {reach}))",
-            "at_observed": log_weight("a"),
-            "at_top": log_weight(f"floor(({r} + 1) * ({c} + 1) / ({n} + 2))"),
-        },
+        topped,
+        {"low": edge("least", "-"), "high": edge("most", "+"), "at_observed": weight("a")},
     )
     starts = add(bounds, {"start": f"explode(sequence(low, high, {RUN}L))"})
     possible = add(starts, {"k": f"explode(sequence(start, least(start + {RUN - 1}, high)))"})
-    weighed = add(add(possible, {"own": log_weight("k")}), {"weight": "exp(own - at_top)"})
+    weighed = add(add(possible, {"own": weight("k")}), {"weight": "exp(own)"})
     unlikely = "CASE WHEN own <= at_observed + 1e-7D THEN weight ELSE 0.0D END"
     return weighed.groupBy(*tables.columns).agg(
-        F.expr(f"round(sum({unlikely}) / sum(weight), 4)").alias("fisher_p")
+        F.expr(f"sum({unlikely}) / sum(weight)").alias("fisher_p")
     )
 
 

@@ -1,5 +1,8 @@
 """Tables expanded from published counts must give the published ratios."""
 
+import math
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +113,34 @@ def test_category_order(spark):
     assert worst == [("Language", 52.4), ("History", 95.8)]
 
 
+def exact_fisher(a, b, c, d):
+    """By whole numbers; only for narrow margins."""
+    r, k, n = a + b, a + c, a + b + c + d
+    weight = {i: math.comb(r, i) * math.comb(n - r, k - i) for i in range(max(0, r + k - n), min(r, k) + 1)}
+    return float(Fraction(sum(w for w in weight.values() if w <= weight[a]), sum(weight.values())))
+
+
+def test_fisher_of_skewed_and_huge_tables(spark):
+    cases = [
+        (3, 97, 2, 10**7), (0, 5, 3, 10**9), (7, 10**9, 40, 10**9), (1, 10**12, 9, 10**12), (2, 3 * 10**9, 60, 10**10),
+        (12, 5, 3, 400), (0, 1, 1, 0), (20, 10**6, 0, 10**6), (5, 10**11, 30, 10**9), (30, 2, 1, 30),
+    ]
+    tables = spark.createDataFrame([(str(i), *c) for i, c in enumerate(cases)], "segment string, a long, b long, c long, d long")
+    found = {int(r["segment"]): r["fisher_p"] for r in association.fisher_exact(tables).collect()}
+    for i, case in enumerate(cases):
+        assert found[i] == pytest.approx(exact_fisher(*case), rel=1e-6), case
+
+
+def test_fisher_of_wide_huge_tables(spark):
+    tables = spark.createDataFrame(
+        [("near", 250_000_000, 250_020_000, 249_990_000, 250_000_000), ("same", 10**9, 10**9, 10**9, 10**9)],
+        "segment string, a long, b long, c long, d long",
+    )
+    found = {r["segment"]: r for r in association.risk_measures(association.fisher_exact(tables)).collect()}
+    assert found["near"]["fisher_p"] == pytest.approx(found["near"]["chi_square_p"], rel=1e-3)
+    assert found["same"]["fisher_p"] == pytest.approx(1.0)
+
+
 def test_fisher_of_large_and_empty_tables(spark):
     tables = spark.createDataFrame(
         [("big", 500_000, 500_300, 499_000, 500_000), ("empty", 0, 0, 0, 0),
@@ -120,6 +151,6 @@ def test_fisher_of_large_and_empty_tables(spark):
     found = {r["segment"]: r for r in tested.collect()}
     assert found["empty"]["fisher_p"] == found["margin"]["fisher_p"] == 1.0
     assert found["empty"]["chi_square_p"] is None
-    assert found["far"]["fisher_p"] == 0.0
-    assert found["tiny"]["fisher_p"] == 0.4857
+    assert found["far"]["fisher_p"] == 0.0  # about 1e-540
+    assert round(found["tiny"]["fisher_p"], 4) == 0.4857
     assert abs(found["big"]["fisher_p"] - found["big"]["chi_square_p"]) < 0.002
