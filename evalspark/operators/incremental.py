@@ -34,14 +34,24 @@ def remaining_work(results: DataFrame) -> DataFrame:
     return results.agg(F.expr(f"count_if({NEEDS_FILL})").alias("remaining"))
 
 
-def fill_merge(results: DataFrame, replies: DataFrame) -> DataFrame:
+def last_attempts(replies: DataFrame, attempt: str | None = None) -> DataFrame:
+    """One reply per ``row_id``: that of the highest ``attempt``, or the greatest of its cells."""
+    cells = f"struct({', '.join(FILLED)})"
+    order = f"struct({attempt}, {cells})" if attempt else cells
+    last = replies.groupBy("row_id").agg(F.expr(f"max_by({cells}, {order})").alias("last"))
+    return last.select("row_id", "last.*")
+
+
+def fill_merge(results: DataFrame, replies: DataFrame, attempt: str | None = None) -> DataFrame:
     """Write the three baseline cells together where they are still needed.
 
-    ``replies`` has one row per ``row_id``.  Nothing else changes, and a second run with
-    the same replies changes nothing.  Tables bucketed by ``row_id`` merge without a
-    shuffle.
+    ``replies`` may hold several for one ``row_id``; the last by column ``attempt`` counts.
+    Nothing else changes, and a second run with the same replies changes nothing.  Tables
+    bucketed by ``row_id`` merge without a shuffle.
     """
-    new = replies.selectExpr("row_id", *(f"{c} AS new_{c}" for c in FILLED), "true AS replied")
+    new = last_attempts(replies, attempt).selectExpr(
+        "row_id", *(f"{c} AS new_{c}" for c in FILLED), "true AS replied"
+    )
     joined = add(results, {"needed": NEEDS_FILL}).join(new, "row_id", "left")
     taken = {c: f"CASE WHEN needed AND replied THEN new_{c} ELSE {c} END" for c in FILLED}
     return add(joined, taken).select(*results.columns)

@@ -78,20 +78,15 @@ def eval_summary(results: DataFrame) -> DataFrame:
     return add(counted, {name: percent(*parts) for name, parts in rates.items()})
 
 
-def _against_base(results: DataFrame) -> DataFrame:
-    valid = results.where(VALID)
-    answered = f"{ATTEMPTED} AND NOT {is_error('base_answer')}"
-    return count(
-        valid,
-        {
-            "valid": "true",
-            "ensemble_n": "ensemble_correct",
-            "attempted": ATTEMPTED,
-            "similar_n": f"{answered} AND base_correct",
-            "judged_n": f"{answered} AND base_judged",
-            "pending": f"NOT {ATTEMPTED}",
-        },
-    )
+_ANSWERED = f"{ATTEMPTED} AND NOT {is_error('base_answer')}"
+_AGAINST_BASE = {
+    "valid": "true",
+    "ensemble_n": "ensemble_correct",
+    "attempted": ATTEMPTED,
+    "similar_n": f"{_ANSWERED} AND base_correct",
+    "judged_n": f"{_ANSWERED} AND base_judged",
+    "pending": f"NOT {ATTEMPTED}",
+}
 
 
 def base_metrics(results: DataFrame) -> DataFrame:
@@ -106,18 +101,34 @@ def base_metrics(results: DataFrame) -> DataFrame:
         f"difference_{name}_pp": f"CASE WHEN {complete} THEN ensemble_pct - {name}_pct END"
         for name in ("similar", "judged")
     }
-    return add(add(_against_base(results), rates), differences)
+    return add(add(count(results.where(VALID), _AGAINST_BASE), rates), differences)
+
 
+def head_to_head(results: DataFrame, scopes: Mapping[str, str] | None = None) -> DataFrame:
+    """Ensemble against baseline over all valid rows; baseline side NULL while pending.
 
-def head_to_head(results: DataFrame) -> DataFrame:
-    """Ensemble against baseline over all valid rows; baseline side NULL while pending."""
+    ``scopes`` maps names to conditions; each gives a row of its own, all from one pass.
+    """
+    scopes = scopes or {"all": "true"}
+    conditions = {
+        f"{scope}_{name}": f"({chosen}) AND {sql}"
+        for scope, chosen in scopes.items()
+        for name, sql in _AGAINST_BASE.items()
+    }
+    cells = ", ".join(
+        f"'{scope}', " + ", ".join(f"{scope}_{name}" for name in _AGAINST_BASE) for scope in scopes
+    )
+    names = ", ".join(("scope", *_AGAINST_BASE))
+    counted = count(results.where(VALID), conditions).selectExpr(
+        f"stack({len(scopes)}, {cells}) AS ({names})"
+    )
     rates = {
         "judged_pct": percent("judged_n", "valid"),
         "similar_pct": percent("similar_n", "valid"),
         "difference_pp": percent("ensemble_n - judged_n", "valid"),
     }
-    return _against_base(results).selectExpr(
-        "valid", "ensemble_n", "attempted", "pending",
+    return counted.selectExpr(
+        "scope", "valid", "ensemble_n", "attempted", "pending",
         f"{percent('ensemble_n', 'valid')} AS ensemble_pct",
         *(f"CASE WHEN pending = 0 THEN {sql} END AS {name}" for name, sql in rates.items()),
     )

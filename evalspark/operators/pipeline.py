@@ -24,13 +24,14 @@ PAIR_FAILED = f"({is_failed('answer_a')} OR {is_failed('answer_b')})"
 
 
 def clean_replies(rows: DataFrame) -> DataFrame:
-    """Answers from raw replies ``reply_a``, ``reply_b``, ``reply_base``."""
-    answers = {
-        "answer_a": clean_output("reply_a"),
-        "answer_b": clean_output("reply_b"),
-        "base_answer": clean_output("reply_base"),
-    }
-    return settle(rows, answers).drop("reply_a", "reply_b", "reply_base")
+    """Answers from raw replies ``reply_a``, ``reply_b``, ``reply_base``.
+
+    The pair is settled, as most metrics filter on it; the baseline stays a plain column, so
+    that its text is not even read where nothing asks for it.
+    """
+    pair = {"answer_a": clean_output("reply_a"), "answer_b": clean_output("reply_b")}
+    answers = add(settle(rows, pair), {"base_answer": clean_output("reply_base")})
+    return answers.drop("reply_a", "reply_b", "reply_base")
 
 
 def pair_similarity(

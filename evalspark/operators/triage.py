@@ -8,7 +8,7 @@ from evalspark.operators.columns import add
 from evalspark.operators.metrics import count
 
 # What quota and passing errors say.
-QUOTA_PHRASES = ("tokens per day", "per day (tpd)")
+QUOTA_PHRASES = ("tokens per day",)
 QUOTA_WORD = r"\btpd\b"
 QUOTA_LETTERS = "tpd"
 TRANSIENT_PHRASES = (

@@ -6,10 +6,21 @@ come from joined word counts, verdicts from JSON functions, labels from explicit
 
 from __future__ import annotations
 
-from evalspark.functions.stats import ERFC_COEFFICIENTS
-from evalspark.functions.text import WHITESPACE
-from evalspark.operators.requests import ASK
-from evalspark.plans.registry import LISTED
+# Fixed values, written out here so that an error in the package shows.
+ERFC_COEFFICIENTS = (
+    -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
+    0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277,
+)
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+ASK = {
+    "full": "Judge each answer against the ground truth. Return only valid JSON.",
+    "agents": "Judge both answers against the ground truth. Return only valid JSON.",
+    "baseline": "Is the Answer factually correct according to the ground truth? Return only valid JSON.",
+}
+LISTED = ("src0", "src3", "src7", "src11", "src15")
 
 _BLANKS = "'" + WHITESPACE + "'"
 _NOT_WORD = r"'[^\p{L}\p{N}]+'"
@@ -249,7 +260,7 @@ late_source AS (
   SELECT l.doc_id AS row_id, l.ground_truth,
     CASE WHEN l.doc_id % 3 = 1 THEN 'ERROR: timed out' ELSE {_clean('l.text')} END AS base_answer,
     CASE WHEN l.quality IS NOT NULL THEN l.good END AS said
-  FROM labelled l WHERE l.lang <> 'de'),
+  FROM labelled l),
 late_tokens AS (
   SELECT row_id, side, unnest(string_split_regex(lower(t), {_NOT_WORD})) AS w FROM (
     SELECT row_id, 'g' AS side, ground_truth AS t FROM late_source
@@ -285,7 +296,8 @@ merged AS (
          ELSE r.base_correct END AS base_correct,
     CASE WHEN l.row_id IS NOT NULL AND {_needs('r.')} THEN l.base_judged
          ELSE r.base_judged END AS base_judged
-  FROM results r LEFT JOIN late l ON r.row_id = l.row_id)"""
+  FROM results r LEFT JOIN (SELECT late.* FROM late JOIN documents ON row_id = doc_id WHERE lang <> 'de') l
+    ON r.row_id = l.row_id)"""
 
 
 def _with(*parts: str, truthy: bool = False) -> str:
@@ -388,7 +400,7 @@ _CALLS = """WITH calls AS (
     WHEN 2 THEN 'Request timed out' WHEN 3 THEN 'Model not found'
     ELSE 'httpd failed' END END) AS m FROM events)
 SELECT CASE WHEN m IS NULL THEN 'ok' WHEN contains(m, 'tokens per day') OR {word} THEN 'quota'
-  WHEN regexp_matches(m, 'rate.limit|429|500|502|503|timeout|timed out|connection|temporarily')
+  WHEN regexp_matches(m, 'rate_limit|rate limit|429|500|502|503|timeout|timed out|connection|temporarily unavailable')
   THEN 'transient' ELSE 'other' END AS error_class, count(*) AS n
 FROM calls GROUP BY 1"""
 
@@ -616,8 +628,10 @@ ORACLE: dict[str, str] = {
     "deferred_baseline": _ALL + """SELECT row_id, status, NULL::VARCHAR AS base_answer,
         NULL::BOOLEAN AS base_correct, NULL::BOOLEAN AS base_judged FROM results""",
     "resume_prefix": _ALL + _PRIOR,
-    "resume_mismatch": _ALL + f"""SELECT * FROM ({_PRIOR})
-        WHERE NOT EXISTS (SELECT 1 FROM ({_PRIOR}) p WHERE p.question LIKE 'Which en%')""",
+    "resume_mismatch": _ALL + f"""SELECT (SELECT count(*) FROM results) AS prior,
+        count(*) FILTER (WHERE NOT EXISTS
+          (SELECT 1 FROM ({_PRIOR}) p WHERE p.question LIKE 'Which en%')) AS kept,
+        count(*) AS kept_unchanged FROM ({_PRIOR})""",
     "reference_label": _RATERS + """SELECT row_id,
         bool_or(ref) FILTER (who = 'agentA') AS "ref_agentA",
         bool_or(ref) FILTER (who = 'agentB') AS "ref_agentB",

@@ -24,20 +24,31 @@ def head_rows(rows: DataFrame, n: int = 20) -> DataFrame:
     return rows.orderBy("row_id").limit(n)
 
 
+def _mismatch(spark: SparkSession, found: object, expected: object, on_mismatch: str) -> DataFrame:
+    if on_mismatch != "empty":
+        raise ValueError(f"the table has {found}, not {expected}")
+    return spark.createDataFrame([], KEYED_SCHEMA)
+
+
 def read_results_csv(
-    spark: SparkSession, path: str, header: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str,
+    header: Sequence[str] | None = None,
+    on_mismatch: str = "error",
 ) -> DataFrame:
     """Read an exported result table: quoted text with line breaks, booleans as words.
 
     The file must hold exactly the expected columns in order; a table written under other
-    names is read by passing its ``header``.  A file with another header gives an empty
-    table, so that a run starts afresh rather than mixing two schemas.  Multi-line CSV
-    cannot be split between tasks: convert once with ``write_results``.
+    names is read by passing its ``header``.  A file with another header is refused, or
+    with ``on_mismatch="empty"`` gives an empty table, so that a run starts afresh rather
+    than mixing two schemas.  Multi-line CSV cannot be split between tasks: convert once
+    with ``write_results``.
     """
     expected = list(header or ["row_id", *RESULT_COLUMNS])
     options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
-    if spark.read.options(**options).csv(path).columns != expected:
-        return spark.createDataFrame([], KEYED_SCHEMA)
+    found = spark.read.options(**options).csv(path).columns
+    if found != expected:
+        return _mismatch(spark, found, expected, on_mismatch)
     text = T.StructType([T.StructField(name, T.StringType()) for name in expected])
     raw = spark.read.schema(text).options(**options).csv(path).toDF("row_id", *RESULT_COLUMNS)
     return raw.selectExpr(
@@ -51,15 +62,19 @@ def read_results_csv(
     )
 
 
-def guard_schema(rows: DataFrame) -> DataFrame:
-    """The rows if they have the result columns in order, else an empty result table."""
-    if [c for c in rows.columns if c != "row_id"] == RESULT_COLUMNS:
+def guard_schema(rows: DataFrame, on_mismatch: str = "error") -> DataFrame:
+    """The rows if they have the result columns with their types in order; else an error, or
+    with ``on_mismatch="empty"`` an empty result table."""
+    expected = [(f.name, f.dataType.simpleString()) for f in RESULT_SCHEMA.fields]
+    found = [c for c in rows.dtypes if c[0] != "row_id"]
+    if found == expected and ("row_id", "bigint") in rows.dtypes:
         return rows
-    return rows.sparkSession.createDataFrame([], KEYED_SCHEMA)
+    return _mismatch(rows.sparkSession, rows.dtypes, expected, on_mismatch)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(KEYED_SCHEMA).parquet(path)
+def read_results(spark: SparkSession, path: str, on_mismatch: str = "error") -> DataFrame:
+    """Read a result table by its own schema, and only if that is the expected one."""
+    return guard_schema(spark.read.parquet(path), on_mismatch)
 
 
 def write_results(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -68,5 +83,8 @@ def write_results(rows: DataFrame, path: str, mode: str = "errorifexists") -> No
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
-    """Write any flat table as quoted CSV with a header."""
-    rows.write.options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    """Write any flat table as quoted CSV with a header; white space stays as it is."""
+    rows.write.options(
+        header=True, quote='"', escape='"', emptyValue="", quoteAll=True,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)

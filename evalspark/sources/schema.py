@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names, types and order of the stored columns.
 _FIELDS = (
     ("question", T.StringType()),
     ("answer_a", T.StringType()),

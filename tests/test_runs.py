@@ -3,8 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from evalspark.operators import incremental, metrics, pipeline, references, sampling
+from evalspark.operators import groups, incremental, metrics, pipeline, references, sampling
 from evalspark.operators.joins import hot_keys, lookup
 from evalspark.sources import results as files
 from evalspark.sources.references import category_map, read_category_map, reference_sets
@@ -86,10 +87,17 @@ def test_hot_keys_are_spread_and_the_join_is_whole(spark):
     for how in ("left", "inner"):
         ours = lookup(rows, table, "question", how, rows_per_task=100)
         plain = rows.join(table, "question", how)
-        assert ours.columns == plain.columns
+        assert ours.columns == plain.columns == lookup(rows, table, "question", how).columns
         assert sorted(map(tuple, ours.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
 
 
+def test_any_number_of_hot_keys(spark):
+    rows = spark.range(24_000).selectExpr("id AS row_id", "concat('k', id % 12000) AS question")
+    assert hot_keys(rows, "question", 1).count() == 12_000
+    table = rows.select("question").distinct().selectExpr("question", "concat(question, '!') AS v")
+    assert lookup(rows, table, rows_per_task=1).where("v = concat(question, '!')").count() == 24_000
+
+
 def test_reference_labels_equal_brute_force(spark):
     def bag(text):
         return {w: text.split().count(w) for w in text.split()}
@@ -164,17 +172,75 @@ def test_result_files(spark, tmp_path):
     assert sorted(r["answer_a"] for r in again.collect()) == sorted(
         r["answer_a"] for r in stored.collect()
     )
-    flags = lambda frame: sorted((r["row_id"], r["a_correct"], r["base_judged"]) for r in frame.collect())
-    assert flags(again.fillna(False)) == flags(stored.fillna(False))
+    flags = lambda frame: sorted((r["row_id"], str(r["a_correct"]), str(r["base_judged"])) for r in frame.collect())
+    assert flags(again) == flags(stored) and any("None" in f for f in flags(again))
     files.export_csv(stored.drop("reason"), str(tmp_path / "other"))
-    assert files.read_results_csv(spark, str(tmp_path / "other")).count() == 0
+    assert files.read_results_csv(spark, str(tmp_path / "other"), on_mismatch="empty").count() == 0
+    with pytest.raises(ValueError):
+        files.read_results_csv(spark, str(tmp_path / "other"))
     assert files.guard_schema(stored).count() == 6
-    assert files.guard_schema(stored.drop("reason")).count() == 0
+    for wrong in (stored.drop("reason"), stored.withColumn("similarity", stored.similarity.cast("string"))):
+        wrong.write.parquet(str(tmp_path / f"wrong{len(wrong.columns)}"))
+        with pytest.raises(ValueError):
+            files.read_results(spark, str(tmp_path / f"wrong{len(wrong.columns)}"))
+        assert files.read_results(spark, str(tmp_path / f"wrong{len(wrong.columns)}"), "empty").count() == 0
     assert order(files.head_rows(stored.select("row_id"), 2)) == [(0,), (1,)]
     named = stored.selectExpr("row_id", "question", "ground_truth AS best_answer")
     assert files.select_questions(named).columns == ["row_id", "question", "ground_truth"]
 
 
+def test_text_survives_csv(spark, tmp_path):
+    rows = pipeline.evaluate(replies(spark)).withColumn("question", F.lit("  padded  "))
+    rows = rows.withColumn("reason", F.lit("\n\tline, \"quoted\" \\\n")).withColumn("selected", F.lit(""))
+    files.export_csv(rows, str(tmp_path / "csv"))
+    again = files.read_results_csv(spark, str(tmp_path / "csv"))
+    shown = ["row_id", "question", "reason", "answer_a", "answer_b", "ground_truth", "similarity"]
+    assert sorted(map(tuple, again.select(shown).collect())) == sorted(map(tuple, rows.select(shown).collect()))
+    audit = sampling.audit_sample(
+        rows.selectExpr("*", "'c' AS category", "1 AS turn", "1 AS stratum"),
+        spark.createDataFrame([], "question string, correct array<string>"),
+    )
+    files.export_csv(audit, str(tmp_path / "audit"))
+    stored = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(str(tmp_path / "audit"))
+    assert stored.columns == audit.columns and stored.count() == 6
+    assert {r["question"] for r in stored.collect()} == {r["question"] for r in audit.collect()}
+
+
+def test_the_last_attempt_counts(spark):
+    prior = pipeline.evaluate(replies(spark))
+    late = spark.createDataFrame(
+        [(1, "first", True, True, 1), (1, "last", False, True, 3), (1, "second", True, True, 2), (3, "x", True, True, 1), (3, "x", True, True, 1)],
+        "row_id long, base_answer string, base_correct boolean, base_judged boolean, attempt int",
+    )
+    merged = incremental.fill_merge(prior, late, "attempt").collect()
+    assert len(merged) == 6
+    assert {r["row_id"]: r["base_answer"] for r in merged if r["row_id"] in (1, 3)} == {1: "last", 3: "x"}
+    assert len(incremental.fill_merge(prior, late).collect()) == 6
+
+
+def test_unused_replies_are_not_read(spark, tmp_path):
+    replies(spark).write.parquet(str(tmp_path / "replies"))
+    stored = pipeline.evaluate(spark.read.parquet(str(tmp_path / "replies")).withColumn("category", F.lit("c")), keep=("category",))
+    plans = {
+        "groups": groups.disagreement_groups(stored), "persona": groups.persona_compare(stored),
+        "rates": metrics.operational_rates(stored), "similarity": stored.select("row_id", "similarity"),
+    }
+    for name, frame in plans.items():
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "reply_a" in plan or name == "rates"
+        assert "reply_base" not in plan, name
+
+
+def test_reference_labels_shuffle_answers_once(spark, tmp_path):
+    results = pipeline.evaluate(replies(spark))
+    results.write.parquet(str(tmp_path / "results"))
+    refs = spark.createDataFrame([("q1", ["a"], ["b"])], "question string, correct array<string>, incorrect array<string>")
+    refs.write.parquet(str(tmp_path / "refs"))
+    frames = (spark.read.parquet(str(tmp_path / name)) for name in ("results", "refs"))
+    plan = references.reference_labels(*frames)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortAggregate" not in plan and plan.count("Exchange") <= 2
+
+
 def test_stats_and_category_files(spark, tmp_path):
     summary = metrics.eval_summary(pipeline.evaluate(replies(spark)))
     write_stats(summary, str(tmp_path / "stats"))
