@@ -124,9 +124,11 @@ def lines_of(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 def aligned_blocks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """earlier, later (id and copy) and their aligned blocks: [line in earlier, line in later, lines]."""
     lines = lines_of(df, text, doc_id)
-    holders = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
-    holders = holders.where(F.col("first") != F.col("last"))
-    shared = store.written(lines.join(holders.drop("last"), "line"), "shared-lines")
+    ends = (F.min("doc.id").alias("first"), F.max("doc.id").alias("last"), F.min("doc.copy").alias("low"), F.max("doc.copy").alias("high"))
+    holders = lines.groupBy("line").agg(F.count("*").alias("n"), *ends).where("first <> last OR low <> high")
+    # Written, so that both sides of the join are plain shuffles, whose hot lines Spark can split.
+    holders = store.written(holders.select("line", "n", "first"), "holders")
+    shared = store.written(lines.join(holders, "line"), "shared-lines")
     rare, common = shared.where(f"n <= {RARE}"), shared.where(f"n > {RARE}")
 
     def side(rows: DataFrame, name: str, places: str) -> DataFrame:
@@ -134,7 +136,7 @@ def aligned_blocks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     pairs = [
         side(rows, "later", "b").join(side(earlier, "earlier", "a"), "line").where(F.col("earlier") < F.col("later"))
-        for rows, earlier in ((rare, rare), (common, common.where(F.col("doc") == F.col("first"))))
+        for rows, earlier in ((rare, rare), (common, common.where("doc.id = first")))
     ]
     together = pairs[0].unionByName(pairs[1]).groupBy("earlier", "later").agg(
         F.sort_array(F.collect_set(F.struct("line", "a", "b"))).alias("shared")
@@ -191,5 +193,4 @@ def remove_blocks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                 numbers = [pa.array([c[k] for c in cells], pa.int64()) for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays([*columns, *numbers], [*part.schema.names[:-1], *counts])
 
-    kinds = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{c}` long" for c in counts)])
-    return marked.mapInArrow(run, kinds)
+    return marked.mapInArrow(run, store.with_columns(df, ", ".join(f"`{c}` long" for c in counts)))
