@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm import store
 from evalspark.llm.tokens import at_spaces, encoder, flat_ranges, slabs
 
 
@@ -131,4 +132,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") ->
                 cells = [data[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, pa.binary())], [*part.schema.names, name])
 
-    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{name}` binary")
+    return df.mapInArrow(run, store.with_columns(df, f"`{name}` binary"))

@@ -248,8 +248,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             columns = [*batch.columns[:-1], pa.array(sequence), pa.array(table["offset"][at])]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return numbered.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return numbered.mapInArrow(run, store.with_columns(pieces, "sequence_id long, offset long"))
 
 
 def assemble(placed: DataFrame) -> DataFrame:

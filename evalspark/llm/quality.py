@@ -201,4 +201,4 @@ def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.7, label: s
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
-    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
+    return df.mapInArrow(run, df.schema)

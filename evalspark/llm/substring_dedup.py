@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.llm import store
 from evalspark.llm.tokens import flat_ranges
@@ -147,11 +148,11 @@ def remove_repeats(df: DataFrame, window: int = 13, text: str = "text", doc_id:
         raise ValueError(f"a window has at least {PERIOD} words")
     spark = df.sparkSession
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    kinds = KEPT
+    kinds = T.StructType.fromDDL(KEPT)
     if layout:
         others = [F.col(f"`{c}`") for c in df.columns if c not in (text, doc_id)]
         rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*others).alias("rest"))
-        kinds += ", rest " + dict(rows.dtypes)["rest"]
+        kinds = kinds.add("rest", rows.schema["rest"].dataType)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = store.partitions_for(spark, size, PARTITION_BYTES)
     groups = buckets = max(-(-size // GROUP_BYTES), 1)

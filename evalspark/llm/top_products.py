@@ -123,13 +123,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int, scale: float, vector: st
 
     def starting(queries: np.ndarray, bounds: np.ndarray):
         for _ in queries:
-            yield np.arange(first[start] + blocks[start])
+            yield np.arange(first[start] + 1)
 
     def remaining(queries: np.ndarray, bounds: np.ndarray):
         reach = np.linalg.norm(queries, axis=1)[:, None] * longest * (1 + SLACK) + SLACK
-        left = (reach >= np.where(np.isfinite(bounds), bounds, -np.inf)[:, None]) & (np.arange(len(n)) > start) & (n > 0)
+        left = (reach >= np.where(np.isfinite(bounds), bounds, -np.inf)[:, None]) & (np.arange(len(n)) >= start) & (n > 0)
         for row in left:
-            yield np.concatenate([np.zeros(0, np.int64), *(np.arange(first[b], first[b] + blocks[b]) for b in np.flatnonzero(row))])
+            every = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[b], first[b] + blocks[b]) for b in np.flatnonzero(row))])
+            yield every[every > first[start]]
 
     parts = store.partitions_for(spark, int(blocks.sum()), 1)
     order = [F.desc("score_long"), F.asc("vec_id")]

@@ -5,7 +5,7 @@ with its own tree.  A node splits its rows at the median distance from a vantage
 least and greatest distance on each side, so the triangle inequality bounds how near a side can
 be to a query.  A side, or a whole pivot, is skipped if ``factor`` times that bound exceeds
 the distance of the k-th neighbour found so far: factor 1 gives exact results, larger factors
-search less.  Each query first searches the shards of its own pivot, then those that are left.
+search less.  Each query first searches some shards of its own pivot, then those that are left.
 
 Every row is indexed; only the pivots come from a sample, of at most ``MOST_PIVOTS`` rows.
 Null, zero and non-finite vectors take no part, nor do those of another length than the
@@ -26,6 +26,7 @@ from evalspark.llm import store, vectors
 from evalspark.llm.vectors import hits, matrix
 
 SHARD, LEAF, MOST_PIVOTS = 1024, 32, 256
+FIRST = 4  # shards of its own pivot that a query searches before any bound is known
 
 
 def distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -136,14 +137,15 @@ def search(rows: DataFrame, queries: DataFrame, k: int, factor: float, vector: s
 
     def home(queries: np.ndarray, bounds: np.ndarray):
         for pivot in distances(queries, pivots).argmin(axis=1):
-            yield np.arange(first[pivot], first[pivot] + shards[pivot])
+            yield first[pivot] + np.arange(min(shards[pivot], FIRST))
 
     def others(queries: np.ndarray, bounds: np.ndarray):
         far = distances(queries, pivots)
         low = np.maximum(np.maximum(far - radius, (far - far.min(axis=1, keepdims=True)) / 2), 0)
-        left = (low * factor * (1 - 1e-9) <= bounds[:, None]) & (np.arange(len(pivots)) != far.argmin(axis=1)[:, None])
-        for row in left:
-            yield np.concatenate([np.zeros(0, np.int64), *(np.arange(first[p], first[p] + shards[p]) for p in np.flatnonzero(row))])
+        left = low * factor * (1 - 1e-9) <= bounds[:, None]
+        for row, own in zip(left, far.argmin(axis=1), strict=True):
+            done = np.where(np.arange(len(pivots)) == own, FIRST, 0)
+            yield np.concatenate([np.zeros(0, np.int64), *(first[p] + np.arange(done[p], max(shards[p], done[p])) for p in np.flatnonzero(row))])
 
     def answer(shard: Shard, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         found, far = nearest(shard, query_ids, queries, bounds, k, factor)
