@@ -69,12 +69,13 @@ def reference_labels(
     ``keep`` names small columns to carry along; ``rows_per_task`` and ``questions`` are
     those of ``lookup``.
 
-    References are counted once per question; answers are shuffled once, to their question,
-    and compared inside the row.
+    References are shuffled to their question and counted there, once; answers are shuffled
+    once, to the same place, and compared inside the row.
     """
     rows = lookup(
         results.select("row_id", "question", *keep, *(r.answer for r in rated)),
-        indexed_references(references), "question", "left", rows_per_task, questions,
+        indexed_references(references.repartition("question")),
+        "question", "left", rows_per_task, questions,
     )
 
     def closest(dots: str, side: str) -> str:
