@@ -30,8 +30,8 @@ from evalspark.llm.tokens import flat_ranges
 from evalspark.llm.words import Words, runs, words_of
 
 PERIOD, COVER = 7, (0, 1, 3)
-# Bytes of text for each partition and for each group.
-PARTITION_BYTES, GROUP_BYTES = 24 << 20, 8 << 20
+# Bytes of text for each partition, group and bucket.
+PARTITION_BYTES, GROUP_BYTES, BUCKET_BYTES = 24 << 20, 2 << 20, 8 << 20
 
 BLOCKS = "bucket int, grp int, hashes binary, owners binary"
 ANSWERS = "grp int, bucket int, bits binary"
@@ -155,7 +155,7 @@ def remove_repeats(df: DataFrame, window: int = 13, text: str = "text", doc_id:
         kinds = kinds.add("rest", rows.schema["rest"].dataType)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = store.partitions_for(spark, size, PARTITION_BYTES)
-    groups = buckets = max(-(-size // GROUP_BYTES), 1)
+    groups, buckets = max(-(-size // GROUP_BYTES), 1), max(-(-size // BUCKET_BYTES), 1)
     grouped = rows.withColumn(
         "grp", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int")
     ).repartition(parts, "grp")

@@ -80,6 +80,7 @@ def test_one_of_each_group_stays(spark):
 @pytest.mark.parametrize(("edges", "size"), [(True, 8 << 20), (False, 8 << 20), (True, 300), (False, 100_000)])
 def test_substrings_equal_brute_force(spark, edges, size, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP_BYTES", size)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 2 * size)
     docs = table(spark, edges)
     rows = [(r.doc_id, helpers.words(r.text)) for r in docs.select("doc_id", "text").collect()]
     first = {}
