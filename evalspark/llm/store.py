@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -9,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder named by ``spark.checkpoint.dir``; where it is unset (local tests) one of this process."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

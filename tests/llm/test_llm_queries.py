@@ -2,12 +2,13 @@
 
 import collections
 import hashlib
+import os
 
 import helpers
 import public_tokenizers
 import pyarrow.parquet as pq
 import tiktoken
-from evalspark.llm import byte_bpe
+from evalspark.llm import byte_bpe, store
 from evalspark.llm.queries import ORACLE, QUERIES
 from test_llm_dedup import fingerprint, naive_lines
 from tokenizers import Tokenizer
@@ -24,6 +25,12 @@ def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
 
 
+def test_shared_folder(spark, monkeypatch):
+    assert store.fresh_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir") + "/x-")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    assert store.shared_folder(spark) == store.shared_folder(spark) and os.path.isdir(store.shared_folder(spark))
+
+
 def test_op1(spark):
     prints = {i: fingerprint(t) for i, t in DOCS.items()}
     component = {}
