@@ -22,7 +22,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task
 from tokenizers import Tokenizer  # noqa: E402
 
 # Chunks and ids that one worker remembers before it starts anew; texts encoded at a time.
-MOST_CHUNKS, MOST_IDS, SLAB_CHARS = 1_000_000, 8_000_000, 1 << 20
+MOST_CHUNKS, MOST_IDS, SLAB_CHARS = 700_000, 6_000_000, 1 << 20
 
 # Characters that are neither letter, number, white space nor apostrophe, so that every pattern
 # used here cuts between a letter or number and them.
