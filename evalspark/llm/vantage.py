@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from evalspark.llm import store, vectors
 from evalspark.llm.vectors import hits, matrix
 
-SHARD, LEAF, MOST_PIVOTS = 1024, 32, 256
+SHARD, LEAF, MOST_PIVOTS = 1024, 128, 256
 FIRST = 4  # shards of its own pivot that a query searches before any bound is known
 
 
