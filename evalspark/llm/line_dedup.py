@@ -1,10 +1,14 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found by hashes of the lines they share.  A rare line, in at most
-``RARE`` documents, pairs each of them with each earlier one.  A commoner line pairs each document
-with the first that has it, which is enough to find the line again, so pairs grow with the
-lines shared and never with the square of a line's documents.  For each pair the lines that
-paired them are aligned by patience diff, and the aligned blocks go from the later document.
+Any two documents that share a line are a pair.  All lines that both hold are aligned by patience
+diff, and the aligned blocks go from the later document.  Pairs that can take nothing more are left
+out, so that common lines do not cost the square of their documents:
+
+* Documents whose lines that others have too are the same, in the same order, align alike.  The first of
+  them stands for all; the others lose all these lines to it.
+* Of those that stand for others, each is aligned with the first holder of each of its lines.  While lines
+  stay that an earlier document has, it is aligned with growing samples of their other holders,
+  the last of which holds them all.
 
 Lines are compared without blanks at their ends; blank lines pair nothing and go with the line
 before them.  A null text has no lines and stays null.  Documents with a null id keep everything and
@@ -15,6 +19,7 @@ an empty result.
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -26,9 +31,10 @@ from pyspark.sql import functions as F
 
 from evalspark.llm import store
 
-RARE = 16
+RARE = 16  # holders of a line in the first sample; each later one has so many times more
 
 LINES = "doc struct<id: bigint, copy: bigint>, line bigint, places array<int>"
+DOCUMENT = "doc struct<id: bigint, copy: bigint>, line bigint"
 BLOCKS = "earlier struct<id: bigint, copy: bigint>, later struct<id: bigint, copy: bigint>, blocks array<array<int>>"
 
 
@@ -79,12 +85,13 @@ def patience(one: list[int], two: list[int]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def _blocks(shared: list[dict]) -> list[list[int]]:
-    """Aligned runs of lines as [first in the earlier, first in the later, how many]."""
-    lines = [sorted((p, k) for k, s in enumerate(shared) for p in s[side]) for side in ("a", "b")]
+def _blocks(one: tuple[list[int], list[int]], two: tuple[list[int], list[int]]) -> list[list[int]]:
+    """Aligned runs of lines as [first in the earlier, first in the later, how many], from lines and their places."""
+    both = set(one[0]) & set(two[0])
+    sides = [[(p, k) for k, p in zip(*side, strict=True) if k in both] for side in (one, two)]
     out: list[list[int]] = []
-    for i, j in patience([k for _, k in lines[0]], [k for _, k in lines[1]]):
-        at = lines[0][i][0], lines[1][j][0]
+    for i, j in patience(*([k for _, k in side] for side in sides)):
+        at = sides[0][i][0], sides[1][j][0]
         if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == at:
             out[-1][2] += 1
         else:
@@ -121,32 +128,17 @@ def lines_of(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return known.select(_document(text, doc_id).alias("doc"), F.col(text)).mapInArrow(run, LINES)
 
 
-def aligned_blocks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """earlier, later (id and copy) and their aligned blocks: [line in earlier, line in later, lines]."""
-    lines = lines_of(df, text, doc_id)
-    ends = (F.min("doc.id").alias("first"), F.max("doc.id").alias("last"), F.min("doc.copy").alias("low"), F.max("doc.copy").alias("high"))
-    holders = lines.groupBy("line").agg(F.count("*").alias("n"), *ends).where("first <> last OR low <> high")
-    # Written, so that both sides of the join are plain shuffles, whose hot lines Spark can split.
-    holders = store.written(holders.select("line", "n", "first"), "holders")
-    shared = store.written(lines.join(holders, "line"), "shared-lines")
-    rare, common = shared.where(f"n <= {RARE}"), shared.where(f"n > {RARE}")
-
-    def side(rows: DataFrame, name: str, places: str) -> DataFrame:
-        return rows.select("line", F.col("doc").alias(name), F.col("places").alias(places))
-
-    pairs = [
-        side(rows, "later", "b").join(side(earlier, "earlier", "a"), "line").where(F.col("earlier") < F.col("later"))
-        for rows, earlier in ((rare, rare), (common, common.where("doc.id = first")))
-    ]
-    together = pairs[0].unionByName(pairs[1]).groupBy("earlier", "later").agg(
-        F.sort_array(F.collect_set(F.struct("line", "a", "b"))).alias("shared")
-    )
+def _aligned(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
+    """earlier, later and their aligned blocks, for pairs of documents."""
+    sides = [sequences.select(F.col("doc").alias(name), F.struct("lines", "places").alias(s)) for name, s in (("earlier", "a"), ("later", "b"))]
+    together = pairs.join(sides[0], "earlier").join(sides[1], "later").select("earlier", "later", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                blocks = [_blocks(cell) for cell in part.column(2).to_pylist()]
+                cells = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+                blocks = [_blocks((a["lines"], a["places"]), (b["lines"], b["places"])) for a, b in cells]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:2], pa.array(blocks, pa.list_(pa.list_(pa.int32())))], ["earlier", "later", "blocks"]
                 )
@@ -154,6 +146,69 @@ def aligned_blocks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return together.mapInArrow(run, BLOCKS)
 
 
+def _staying(sequences: DataFrame, found: DataFrame) -> DataFrame:
+    """doc and each of its distinct lines that has a place outside the blocks found so far."""
+    gone = found.groupBy(F.col("later").alias("doc")).agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
+    marked = sequences.join(gone, "doc", "left").select("doc", "lines", "places", "blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                rows, lines = [], []
+                for row, (own, places, blocks) in enumerate(zip(*(c.to_pylist() for c in part.columns[1:]), strict=True)):
+                    taken = {p for _, first, n in blocks or [] for p in range(first, first + n)}
+                    left = {k for k, p in zip(own, places, strict=True) if p not in taken}
+                    rows += [row] * len(left)
+                    lines += left
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(lines, pa.int64())], ["doc", "line"])
+
+    return marked.mapInArrow(run, DOCUMENT)
+
+
+def aligned_blocks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """earlier, later (id and copy) and their aligned blocks: [line in earlier, line in later, lines].
+
+    Pairs whose blocks others cover are left out where that is known beforehand.
+    """
+    lines = lines_of(df, text, doc_id)
+    ends = (F.min("doc.id").alias("first"), F.max("doc.id").alias("last"), F.min("doc.copy").alias("low"), F.max("doc.copy").alias("high"))
+    holders = lines.groupBy("line").agg(*ends).where("first <> last OR low <> high")
+    # Written, so that both sides of the join are plain shuffles, whose hot lines Spark can split.
+    holders = store.written(holders.select("line"), "holders")
+    each = F.explode("places").alias("place")
+    placed = lines.join(holders, "line").select("doc", "line", each).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("place", "line"))).alias("own"))
+    alike = F.sha2(F.array_join(F.col("own.line").cast("array<string>"), " "), 256)
+    sequences = placed.select("doc", F.col("own.line").alias("lines"), F.col("own.place").alias("places"), alike.alias("alike"))
+    sequences = store.written(sequences, "sequences")
+    heads = store.written(sequences.groupBy("alike").agg(F.min("doc").alias("head")), "heads")
+    repeats = sequences.join(heads, "alike").where("doc <> head").select(F.col("head").alias("earlier"), F.col("doc").alias("later"))
+    found = [store.written(_aligned(repeats, sequences), "blocks")]
+
+    sequences = store.written(sequences.join(heads.select(F.col("head").alias("doc")), "doc", "left_semi").drop("alike"), "sequences")
+    entries = sequences.select("doc", F.explode(F.array_distinct("lines")).alias("line"))
+    counts = entries.groupBy("line").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1")
+    counts = store.written(counts, "counts")
+    most = counts.agg(F.max("n")).first()[0] or 0
+    # A holder's rank among those of its line, about: n times a number in [0, 1) of its own.
+    rank = F.pmod(F.xxhash64("doc.id", "doc.copy", "line"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")
+    ranked = store.written(entries.join(counts, "line").select("line", "doc", "first", rank.alias("rank")), "ranked")
+    pairs = ranked.where("first < doc").select(F.col("first").alias("earlier"), F.col("doc").alias("later")).distinct()
+    found.append(store.written(_aligned(pairs, sequences), "blocks"))
+    low, high = 0, RARE
+    while low < most:
+        so_far = functools.reduce(DataFrame.unionByName, found[1:])
+        staying = store.written(_staying(sequences, so_far), "staying").withColumnRenamed("doc", "later")
+        if staying.isEmpty():
+            break
+        sample = ranked.where((F.col("rank") >= low) & (F.col("rank") < high) & (F.col("doc") != F.col("first")))
+        sample = sample.select("line", F.col("doc").alias("earlier"))
+        pairs = staying.join(sample, "line").where("earlier < later").select("earlier", "later").distinct()
+        found.append(store.written(_aligned(pairs, sequences), "blocks"))
+        low, high = high, high * RARE
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def _without(text: str, blocks: list[list[int]]) -> tuple[str, int, int]:
     """The text without the blocks of its lines that are not blank; how many of these there were, and went."""
     gone = {p for _, first, n in blocks for p in range(first, first + n)}

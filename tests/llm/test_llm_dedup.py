@@ -150,6 +150,34 @@ def test_common_lines_need_no_pairs(spark):
     assert texts[0] == rows[0][1] and all(texts[i] == f"own {i}\nlast {i}" for i in range(1, 60))
 
 
+def every_pair(rows):
+    """Places that go by the definition: each later document loses what aligns with any earlier one, over all lines both hold."""
+    docs = {i: [x.strip() for x in t.split("\n") if x.strip()] for i, t in sorted(rows)}
+    gone = {i: set() for i in docs}
+    for b in docs:
+        for a in docs:
+            if a < b and (both := set(docs[a]) & set(docs[b])):
+                one, two = ([(k, x) for k, x in enumerate(docs[i]) if x in both] for i in (a, b))
+                gone[b] |= {two[j][0] for _, j in line_dedup.patience([x for _, x in one], [x for _, x in two])}
+    return {i: "\n".join(x for k, x in enumerate(docs[i]) if k not in gone[i]) for i in docs}
+
+
+def line_tables():
+    dice = random.Random(11)
+    separators = [(1, "***\nown")] + [(k, f"a{k}\n***\nb{k}") for k in range(2, 20)] + [(50, "x1\n***\nx2\n***\nx3"), (60, "x1\n***\nx2\n***\nx3")]
+    crossed = [(1, "P\nQ")] + [(k, "Q\nP") for k in range(2, 30)] + [(40, "R\nQ\nP"), (41, "Q\nR\nS\nP"), (42, "S\nP\nP\nQ")]
+    dealt = [(k, "\n".join(dice.choice("aaaabbbcdefgh") for _ in range(dice.randint(0, 9)))) for k in range(150)]
+    return [separators, crossed, dealt]
+
+
+@pytest.mark.parametrize("rows", [*line_tables(), None], ids=["separators", "crossed", "dealt", "table"])
+def test_lines_equal_every_pair(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string") if rows else table(spark, False)
+    rows = rows or [(r.doc_id, r.text) for r in docs.collect()]
+    found = {r.doc_id: "\n".join(x for x in map(str.strip, r.text.split("\n")) if x) for r in line_dedup.remove_blocks(docs).collect()}
+    assert found == every_pair(rows)
+
+
 @pytest.mark.parametrize(("one", "two", "aligned"), [("abcd", "abcd", 4), ("axbxc", "aybyc", 3), ("", "a", 0), ("aab", "ba", 1), ("xabcy", "zabcw", 3)])
 def test_patience(one, two, aligned):
     pairs = line_dedup.patience(list(one), list(two))
