@@ -96,13 +96,19 @@ class Encoder:
         if self.offsets:
             self.spans = np.concatenate([self.spans, spans])
 
+    def _ends_in_letter(self, word: str) -> bool:
+        """Also as the tokenizer's normalizer has it, which turns some letters into a letter and a mark."""
+        if not word[-1].isalnum() or word[-1].isascii() or self.tokenizer.normalizer is None:
+            return word[-1].isalnum()
+        return self.tokenizer.normalizer.normalize_str(word)[-1:].isalnum()
+
     def _learn(self) -> None:
         """Encodes new chunks; a word and the marks after it are encoded apart, as both recur."""
         new, self.known.new = self.known.new, []
         joined, words, marks, alone = [], [], [], []
         for chunk in new:
             word = chunk.rstrip(MARKS)
-            if word and len(word) < len(chunk) and word[-1].isalnum():
+            if word and len(word) < len(chunk) and self._ends_in_letter(word):
                 joined.append(chunk)
                 words.append(word)
                 marks.append(chunk[len(word) :])

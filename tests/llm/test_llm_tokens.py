@@ -33,6 +33,17 @@ def test_chunks_encode_like_whole_texts(path, cut):
             assert [tuple(s) for s in spans[a:b].tolist()] == known.offsets
 
 
+@pytest.mark.parametrize(("path", "cut"), [(WORDS, between_spaces), (BYTES, at_spaces)])
+def test_letters_that_become_letter_and_mark(path, cut):
+    letters = [chr(c) for c in range(128, 0x20000) if chr(c).isalnum()]
+    texts = ["पेड़,", "पेड़, पेड़", "Aİ.", *(f"ab{c}{m}" for c in letters for m in (",", "?!"))]
+    encoder, tokenizer = Encoder(path, cut), Tokenizer.from_file(path)
+    ids, counts, _ = encoder.encode(texts)
+    ends = np.cumsum(counts)
+    known = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, e, a, b in zip(texts, known, ends - counts, ends, strict=True) if e.ids != ids[a:b].tolist()] == []
+
+
 @pytest.mark.parametrize("edges", [True, False])
 def test_token_files(spark, edges):
     docs = helpers.documents(spark, extra=True) if edges else whole_table(spark)
