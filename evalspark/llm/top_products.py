@@ -99,10 +99,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int, scale: float, vector: st
         heads, rests = turned[:, :head], np.linalg.norm(turned[:, head:], axis=1)
         known = np.where(np.isfinite(bounds), bounds, -np.inf)
         scores = np.full((len(queries), k), _LEAST, np.int64)
-        names = np.full((len(queries), k), -1, np.int64)
+        names = np.zeros((len(queries), k), np.int64)
+        filled = np.zeros((len(queries), k), bool)
         for begin in range(0, len(block.ids), RUN):
             part = slice(begin, begin + RUN)
-            least = np.maximum(known, np.where(names[:, -1] >= 0, scores[:, -1].astype(float), -np.inf))
+            least = np.maximum(known, np.where(filled[:, -1], scores[:, -1].astype(float), -np.inf))
             slack = SLACK * lengths[:, None] * block.length[part] + SLACK
             bound = heads @ block.head[part].T + rests[:, None] * block.rest[part]
             left = (np.minimum(bound, lengths[:, None] * block.length[part]) + slack >= least[:, None]) & (block.ids[part][None, :] != query_ids[:, None])
@@ -115,10 +116,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int, scale: float, vector: st
             ids = np.broadcast_to(block.ids[part][columns], products.shape)
             usable = left[np.ix_(active, columns)]
             every = np.concatenate([scores[active], np.where(usable, products, _LEAST)], axis=1)
-            named = np.concatenate([names[active], np.where(usable, ids, -1)], axis=1)
-            order = np.lexsort((named, ~every, named < 0), axis=1)[:, :k]
-            scores[active], names[active] = np.take_along_axis(every, order, 1), np.take_along_axis(named, order, 1)
-        at, place = np.nonzero((names >= 0) & (scores >= known[:, None]))
+            named = np.concatenate([names[active], ids], axis=1)
+            full = np.concatenate([filled[active], usable], axis=1)
+            order = np.lexsort((named, ~every, ~full), axis=1)[:, :k]
+            scores[active], names[active], filled[active] = (np.take_along_axis(x, order, 1) for x in (every, named, full))
+        at, place = np.nonzero(filled & (scores >= known[:, None]))
         return hits(query_ids[at], names[at, place], scores[at, place])
 
     def starting(queries: np.ndarray, bounds: np.ndarray):

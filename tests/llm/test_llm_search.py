@@ -92,6 +92,15 @@ def test_product_edges(spark):
     assert lists(top_products.search(few, few, k=5, scale=256)) == {0: [(8, -65536)], 8: [(0, -65536)]}
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_products_with_negative_ids(spark, k):
+    vectors = {-7: [1.0, 0.0], -1: [0.5, 0.5], -(2**63): [0.0, 1.0], 0: [0.25, 0.0], 4: [-1.0, 0.0]}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    found = lists(top_products.search(rows, rows.where("vec_id IN (0, -7)"), k=k, scale=256))
+    expected = {0: [(-7, 16384), (-1, 8192), (-(2**63), 0), (4, -16384)], -7: [(-1, 32768), (0, 16384), (-(2**63), 0), (4, -65536)]}
+    assert found == {q: r[:k] for q, r in expected.items()}
+
+
 def test_large_components_stay_exact():
     rows = np.array([[2.0**40, 3.0], [2.0**40, 1.0], [2.0**62, 2.0**62]])
     assert top_products.exact(rows[:1], rows).tolist() == [[2**80 and 2**63 - 1, 2**63 - 1, 2**63 - 1]]
