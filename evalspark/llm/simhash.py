@@ -7,11 +7,16 @@ machine word.  A row is compared with a word of others by exclusive-or with its
 carry-save counters, themselves bit planes, add up 64 distances at a time; words whose counters
 all exceed the radius are given up, as soon as they do.
 
+With a ``similarity`` the links are only candidates.  Their components (groups) hold every pair
+that may be similar; in each group the sets of shingles are intersected, and documents are linked
+where the Jaccard similarity is at least that.  Classes are then of equal texts,
+as different texts may have equal fingerprints.
+
 Buckets come from the fingerprints themselves where the radius is small against the bits: with
 two more bands than the radius, two bands of any linked pair are equal, so no link is missed.  For
 wide radii they come from minima of hashed shingles (see ``fingerprints``), which find a pair of
 similarity 0.8 with probability 0.9999 by 20 tables of four.  A bucket too large for a task is
-split into tiles, and each pair of tiles is compared.  A task returns a spanning forest
+split into tiles, and each pair of tiles is compared; so is a large group.  A task returns a spanning forest
 of its links, never all pairs, and ``components`` joins the forests.
 
 Words: a null or empty text has none and the fingerprint zero, which links like any other; with
@@ -35,6 +40,7 @@ from evalspark.llm import store
 from evalspark.llm.words import mixed
 
 TILE = 8192  # fingerprints of a bucket that one task compares with each other
+SET_TILE = 1 << 18  # shingles of a group that one task intersects with each other
 SLAB = 8192  # fingerprints laid out as planes at a time
 STEP = 16  # planes between two looks at what still counts
 
@@ -83,24 +89,29 @@ def _minima(hashes: np.ndarray, tables: int, rows: int) -> list[int]:
 
 
 def fingerprints(df: DataFrame, shingle: int, bits: int = 64, tables: int = 0, rows: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, copy (a hash of the text) and fingerprint (binary, highest bit first); with ``tables`` also that many bucket keys."""
+    """doc_id, copy (a hash of the text) and fingerprint (binary, highest bit first).
+
+    With ``tables`` also that many bucket keys and the number of distinct shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                prints, keys = [], []
+                prints, keys, sizes = [], [], []
                 for value in part.column(2).to_pylist():
                     hashes = _shingle_hashes(value, shingle)
+                    if tables:
+                        sizes.append(len(np.unique(hashes)))
                     prints.append(_majority(hashes, bits))
                     if tables:
                         keys.append(_minima(hashes, tables, rows))
                 columns = [*part.columns[:2], pa.array(prints, pa.binary())]
                 if tables:
-                    columns.append(pa.array(keys, pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "fingerprint", "keys"][: len(columns)])
+                    columns += [pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "fingerprint", "keys", "size"][: len(columns)])
 
-    kinds = "doc_id long, copy long, fingerprint binary" + (", keys array<long>" if tables else "")
+    kinds = "doc_id long, copy long, fingerprint binary" + (", keys array<long>, size long" if tables else "")
     return df.select(F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(run, kinds)
 
 
@@ -254,6 +265,76 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of every range, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _similar_pairs(sets: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets (of distinct hashes; two empty ones are equal) with at least that Jaccard similarity, by the second."""
+    sizes = np.array([len(x) for x in sets])
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(number, kind="stable")]
+    counts = np.bincount(number, minlength=1)
+    starts = np.cumsum(counts) - counts
+    ends = np.cumsum(sizes)
+    for j in range(1, len(sets)):
+        own = number[ends[j] - sizes[j] : ends[j]]
+        own = own[counts[own] > 1]
+        both = np.bincount(holders[flat_ranges(starts[own], counts[own])], minlength=len(sets))[:j]
+        i = np.flatnonzero(both >= least * (sizes[:j] + sizes[j] - both))
+        if len(i):
+            yield i, np.full(len(i), j)
+
+
+def similar_links(df: DataFrame, groups: DataFrame, shingle: int, least: float, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Links a < b that connect all ids of a group (id, copy, size, group) whose sets of shingles have at least that similarity."""
+    spark = df.sparkSession
+    totals = groups.groupBy("group").agg(F.sum(F.greatest("size", F.lit(1))).alias("total"), F.count("*").alias("n")).where("n > 1")
+    tiled = groups.join(totals, "group").withColumn("tiles", F.ceil(F.col("total") / SET_TILE)).withColumn("tile", F.pmod(F.xxhash64("id", "copy"), "tiles"))
+    own = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
+    texts = own.join(tiled, ["id", "copy"]).select("id", "copy", "group", "tiles", "tile", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                sets = [np.unique(_shingle_hashes(value, shingle)).view(np.int64) for value in part.column(5).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.list_(pa.int64()))], [*part.schema.names[:5], "hashes"])
+
+    sets = texts.mapInArrow(hashed, "id long, copy long, group long, tiles long, tile long, hashes array<long>")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
+    blocks = sets.select("*", other).select(
+        "group", (F.least("tile", "other") * F.col("tiles") + F.greatest("tile", "other")).alias("block"), "id", "copy", "hashes"
+    )
+
+    def compare(rows: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        names = sorted(rows)
+        ids, labels = np.array([i for i, _ in names], np.int64), np.arange(len(names))
+        for a, b in _similar_pairs([rows[name] for name in names], least):
+            labels = _join(labels, a, b)
+        linked = np.flatnonzero(ids[labels] != ids)
+        return pa.RecordBatch.from_pydict({"a": ids[labels[linked]], "b": ids[linked]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, {}
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+            for row, (group, block, name, copy) in enumerate(keys):
+                if at != (group, block):
+                    if len(rows) > 1:
+                        yield compare(rows)
+                    at, rows = (group, block), {}
+                rows[name, copy] = np.array(batch.column(4)[row].values, np.int64)
+        if len(rows) > 1:
+            yield compare(rows)
+
+    parts = store.partitions_for(spark, 0, 1)
+    dealt = blocks.repartition(parts, "group", "block").sortWithinPartitions("group", "block", "id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and the smallest id reachable, for every id with a link (a < b).
 
@@ -290,20 +371,32 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **option
     return kept.unionByName(df.where(F.col(doc_id).isNull()))
 
 
-def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, bits: int = 64, tables: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(
+    df: DataFrame, shingle: int = 3, radius: int = 2, bits: int = 64, tables: int = 0, similarity: float | None = None, text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
     """doc_id, fingerprint, component_id (the smallest id reachable over links) and copy of every row.
 
     Without ``tables`` all pairs within the radius are linked; with them, those that share one of
-    so many keys (for radii that are wide against the bits).
+    so many keys (for radii that are wide against the bits).  With ``similarity`` (and tables) these are
+    candidates, of which those stay whose sets of shingles have at least that Jaccard similarity.
     """
     prints = store.written(fingerprints(df, shingle, bits, tables, text=text, doc_id=doc_id), "fingerprints")
-    least = [F.min("doc_id").alias("id")] + ([F.min_by("keys", "doc_id").alias("keys")] if tables else [])
-    classes = store.written(prints.groupBy("fingerprint").agg(*least), "classes")
+    least = [F.min("doc_id").alias("id")]
+    if similarity is None:
+        kind = ["fingerprint"]
+        least += [F.min_by("keys", "doc_id").alias("keys")] if tables else []
+    else:
+        kind = ["copy", "fingerprint"]
+        least += [F.first("keys").alias("keys"), F.first("size").alias("size")]
+    classes = store.written(prints.groupBy(*kind).agg(*least), "classes")
     keyed = classes if tables else band_keys(classes.where("id is not null"), bits, radius)
     found = components(links(keyed.where("id is not null"), radius))
-    named = classes.select("fingerprint", "id").join(found, "id", "left").select(
-        "fingerprint", F.coalesce("component", "id").alias("component_id")
-    )
-    return prints.select("doc_id", "copy", "fingerprint").join(named, "fingerprint", "left").select(
+    if similarity is not None:
+        found = found.select("id", F.col("component").alias("group"))
+        found = found.unionByName(found.select(F.col("group").alias("id"), "group")).distinct()
+        groups = store.written(classes.select("id", "copy", "size").join(found, "id"), "groups")
+        found = components(similar_links(df, groups, shingle, similarity, text, doc_id))
+    named = classes.select(*kind, "id").join(found, "id", "left").select(*kind, F.coalesce("component", "id").alias("component_id"))
+    return prints.select("doc_id", "copy", "fingerprint").join(named, kind, "left").select(
         "doc_id", "fingerprint", "component_id", "copy"
     )

@@ -1,9 +1,10 @@
 import collections
+import random
 
 import corpus_pipeline as pipeline
 import helpers
 import pytest
-from evalspark.llm import store
+from evalspark.llm import simhash, store
 
 
 def test_stages_in_turn(spark):
@@ -24,6 +25,41 @@ def test_stages_in_turn(spark):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in pipeline.run(spark, helpers.DATA).collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in placed)
 
 
+def shingles(text):
+    w = helpers.words(text.lower())
+    return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else {()}
+
+
+def jaccard(one, two):
+    return len(one & two) / len(one | two)
+
+
+def isolated_pairs():
+    """Pairs of texts that share no shingle with other pairs, with similarities around 0.8."""
+    dice, out = random.Random(8), []
+    for n in range(160):
+        size = dice.choice([4, 5, 9, 40, 120, 400])
+        text = [f"p{n}w{k}" for k in range(size + 4)]
+        share = dice.uniform(0.7, 0.9)
+        shared = round(2 * share / (1 + share) * size) if size > 9 else size - dice.randint(0, 1)
+        out += [" ".join(text), " ".join(text[: shared + 4] + [f"p{n}x{k}" for k in range(size - shared)])]
+    return out
+
+
+@pytest.mark.parametrize(("texts", "tile"), [(isolated_pairs(), 1 << 18), (isolated_pairs(), 100)], ids=["pairs", "tiles"])
+def test_near_duplicates_equal_brute_force(spark, texts, tile, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_TILE", tile)
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if sets[a] & sets[b] and jaccard(sets[a], sets[b]) >= 0.8:
+                root = [root[a] if r == root[b] else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = pipeline.one_of_near_duplicates(spark, docs, helpers.DATA)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
 @pytest.mark.parametrize("name", [name for name, _ in pipeline.STAGES])
 def test_edges_and_clashing_columns(spark, name):
     docs = helpers.documents(spark, extra=True)
