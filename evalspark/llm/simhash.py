@@ -9,8 +9,8 @@ all exceed the radius are given up, as soon as they do.
 
 With a ``similarity`` the links are only candidates.  Their components (groups) hold every pair
 that may be similar; in each group the sets of shingles are intersected, and documents are linked
-where the Jaccard similarity is at least that.  Classes are then of equal texts,
-as different texts may have equal fingerprints.
+where the Jaccard similarity is at least that.  Fingerprints are then of distinct shingles,
+and classes are of equal texts, as different texts may have equal fingerprints.
 
 Buckets come from the fingerprints themselves where the radius is small against the bits: with
 two more bands than the radius, two bands of any linked pair are equal, so no link is missed.  For
@@ -91,7 +91,7 @@ def _minima(hashes: np.ndarray, tables: int, rows: int) -> list[int]:
 def fingerprints(df: DataFrame, shingle: int, bits: int = 64, tables: int = 0, rows: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, copy (a hash of the text) and fingerprint (binary, highest bit first).
 
-    With ``tables`` also that many bucket keys and the number of distinct shingles.
+    With ``tables`` of distinct shingles, with that many bucket keys and the number of shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,8 @@ def fingerprints(df: DataFrame, shingle: int, bits: int = 64, tables: int = 0, r
                 for value in part.column(2).to_pylist():
                     hashes = _shingle_hashes(value, shingle)
                     if tables:
-                        sizes.append(len(np.unique(hashes)))
+                        hashes = np.unique(hashes)
+                        sizes.append(len(hashes))
                     prints.append(_majority(hashes, bits))
                     if tables:
                         keys.append(_minima(hashes, tables, rows))
@@ -384,7 +385,7 @@ def near_duplicates(
     least = [F.min("doc_id").alias("id")]
     if similarity is None:
         kind = ["fingerprint"]
-        least += [F.min_by("keys", "doc_id").alias("keys")] if tables else []
+        least += [F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys")] if tables else []
     else:
         kind = ["copy", "fingerprint"]
         least += [F.first("keys").alias("keys"), F.first("size").alias("size")]

@@ -46,7 +46,12 @@ def isolated_pairs():
     return out
 
 
-@pytest.mark.parametrize(("texts", "tile"), [(isolated_pairs(), 1 << 18), (isolated_pairs(), 100)], ids=["pairs", "tiles"])
+def equal_fingerprints():
+    """A shingle that makes most of each text, which says something else besides."""
+    return [". " * 300 + " ".join(f"q{n}w{k}" for k in range(100)) for n in range(6)]
+
+
+@pytest.mark.parametrize(("texts", "tile"), [(isolated_pairs(), 1 << 18), (isolated_pairs(), 100), (equal_fingerprints(), 1 << 18)], ids=["pairs", "tiles", "prints"])
 def test_near_duplicates_equal_brute_force(spark, texts, tile, monkeypatch):
     monkeypatch.setattr(simhash, "SET_TILE", tile)
     sets = [shingles(t) for t in texts]
