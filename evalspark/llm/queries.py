@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, language, line_dedup, packing, quality, simhash, store, substring_dedup, token_files, top_products, vantage
+from evalspark.llm import byte_bpe, language, line_dedup, packing, prefix_trie, quality, simhash, store, substring_dedup, token_files, top_products, toxicity, vantage, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +99,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.sequences(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_openings(turns, every=20, kinds=4))
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@_query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir), _table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 ORACLE["op4_vantage_points"] = """
 WITH v AS (
     SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
@@ -144,3 +161,38 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
     sha256(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
 FROM t LEFT JOIN p ON t.doc_id = p.doc_id
 """
+
+ORACLE["op11_prefix_trie"] = r"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list(len(r)::VARCHAR || ':' || r || x ORDER BY k) AS turns,
+        list(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) ORDER BY k) AS words FROM t GROUP BY conv_id
+), crc AS (  -- the checksum of the decimal id, bit by bit
+    SELECT *, conv_id - conv_id % 20 AS home, xor(list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+            lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) % 4 AS h FROM own
+), built AS (
+    SELECT c.conv_id, list_concat(coalesce(b.turns[1:h], []), c.turns[h + 1:]) AS s, list_concat(coalesce(b.words[1:h], []), c.words[h + 1:]) AS w
+    FROM crc c LEFT JOIN own b ON b.conv_id = c.home
+), prefixes AS (
+    SELECT conv_id, len(s) AS n, d, s[1:d] AS p, coalesce(w[d], 0) AS w FROM built, unnest(range(len(s) + 1)) AS u(d)
+), node AS (
+    SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+        coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS ends
+    FROM prefixes GROUP BY p, d
+), kids AS (
+    SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL
+), below AS (
+    SELECT node.p[1:k] AS p, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves, sum((n_convs - 1) * w) AS saved
+    FROM node LEFT JOIN kids ON kids.p = node.p, unnest(range(node.d + 1)) AS u(k) GROUP BY ALL
+)
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children,
+    below.n_leaves, below.saved::BIGINT AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node JOIN below ON below.p = node.p LEFT JOIN kids ON kids.p = node.p
+LEFT JOIN node up ON node.d > 0 AND up.d = node.d - 1 AND up.p = node.p[1:node.d - 1]
+"""
+
+ORACLE["op12_vector_codes"] = vector_codes.oracle_sql(parts=8, entries=16, rounds=6, scale=4096)
