@@ -15,12 +15,12 @@ of their id; rows stand for all rows of their label by weight.  Every text is sc
 
 Handling: null or empty text has all features zero and is scored like any other; a text repeated, or an
 id repeated, scores alike; null ids and null labels are not learned from; an id labelled twice has its
-highest label; without rows of both labels every score is 0, as nothing is known against any document.
+highest label, a repeated id is learned from once, with its smallest text; without rows of both labels every score is 0, as nothing is known against any document.
 """
 
 from __future__ import annotations
 
-import functools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,13 +28,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm import store
 from evalspark.llm.quality import isotonic
 from evalspark.llm.tokens import slabs
+from evalspark.llm.words import runs, words_of
 
 # Bounds of the model, whatever the size of the corpus.
 MOST_ROWS, MOST_TERMS = 32_768, 8_192
@@ -50,9 +50,7 @@ INSULTS = frozenset(
 PRONOUNS = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti usted ustedes vosotros".split())
 PLAIN = str.maketrans("013457@$!", "oieastasi")
 
-_TOKEN = re.compile(r"[^\s.,;:\"“”()\[\]{}<>|]+")
-_EDGE = "!?*&%$#'`’_-+=/\\^~"
-_SPELLED = re.compile(r"(?<!\S)(?:\w[ .*-]){3,}\w(?!\S)")
+_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _REPEAT = re.compile(r"([^\W\d])\1\1")
 _MARKS = re.compile(r"[!?]{2,}")
 
@@ -63,9 +61,9 @@ NAMES = (
 )
 
 
-def tokens_of(text: str) -> list[str]:
-    """Lower-case words without the marks around them; marks within stay."""
-    return [w for w in (t.strip(_EDGE) for t in _TOKEN.findall(text.lower())) if w]
+def word_of(token: str) -> str:
+    """The lower-case word of a run of characters between white space, without the marks around it; marks within stay."""
+    return token.lower() if token.isalpha() else _EDGE.sub("", token.lower())
 
 
 def plain(word: str) -> str:
@@ -73,104 +71,148 @@ def plain(word: str) -> str:
     return re.sub(r"[^\w]|_", "", word.translate(PLAIN))
 
 
-@functools.lru_cache(maxsize=200_000)
-def terms_of(word: str) -> tuple[int, ...]:
-    """Hashes of the terms a word stands for: itself, then its first letters."""
-    terms = [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
-    return tuple(xxhash.xxh64_intdigest(t) - 2**63 for t in terms)
+def terms_of(word: str) -> list[str]:
+    """The terms a word stands for: itself, then its first letters with a star."""
+    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
-def sketch(words: list[str]) -> int:
-    """The least hash of three words in a row, which near copies mostly share."""
-    rows = (" ".join(words[k : k + 3]) for k in range(max(len(words) - 2, 1)))
-    return min((xxhash.xxh64_intdigest(r) - 2**63 for r in rows), default=0)
+def sketches(texts: list[str]) -> np.ndarray:
+    """The least hash of three words in a row of each text, which near copies mostly share."""
+    words = words_of(pa.array(texts, pa.string()))
+    hashes, out = words.hashes(), np.zeros(len(texts), np.uint64)
+    rows = runs(hashes, 3)
+    for k, (a, b) in enumerate(zip(words.first, words.first[1:], strict=False)):
+        if b > a:
+            out[k] = rows[a : b - 2].min() if b - a > 2 else hashes[a:b].sum()
+    return out.view(np.int64)
 
 
 @dataclass
 class Lexicon:
     """Terms with the groups of toxic and clean texts that hold them, and the number of such groups."""
 
-    counts: dict[int, tuple[int, int]] = field(default_factory=dict)
+    counts: dict[str, tuple[int, int]] = field(default_factory=dict)
     groups: tuple[int, int] = (0, 0)
 
-    def weight(self, term: int, without: int | None = None) -> float:
-        """The lower end of the log odds of a term, as if one text of label ``without`` had not been counted."""
-        found = self.counts.get(term)
-        if found is None:
-            return 0.0
-        bad, good = found
-        if without is not None:
+    def weights(self, without: int | None = None) -> dict[str, float]:
+        """The lower end of the log odds of each term, as if one text of label ``without`` had not been counted."""
+        out = {}
+        for term, (bad, good) in self.counts.items():
             bad, good = bad - (without == 1), good - (without == 0)
-        return max(float(lower_odds(bad, good, *self.groups)), 0.0) if bad > 0 else 0.0
+            if bad > 0 and (odds := lower_odds(bad, good, *self.groups)) > 0:
+                out[term] = odds
+        return out
 
 
-def lower_odds(bad, good, bad_groups, good_groups):
+def lower_odds(bad: int, good: int, bad_groups: int, good_groups: int) -> float:
     """Log odds that a term's text is toxic against any text's, less 1.5 standard errors."""
-    bad, good = np.maximum(bad, 0) + 0.5, np.maximum(good, 0) + 0.5
-    return np.log(bad / (bad_groups + 1)) - np.log(good / (good_groups + 1)) - 1.5 * np.sqrt(1 / bad + 1 / good)
-
-
-def features(text: str, lexicon: Lexicon, weights: dict[str, tuple[float, float]], without: int | None = None) -> list[float]:
-    """The features of one text; ``weights`` remembers those of words for texts measured without a label."""
-    words = tokens_of(text)
-    n = len(words)
-    if not n:
-        return [0.0] * len(NAMES)
-    remembered = weights if without is None else {}
-
-    def weight(word: str) -> tuple[float, float]:
-        found = remembered.get(word)
-        if found is None:
-            own, *firsts = (lexicon.weight(t, without) for t in terms_of(word))
-            found = remembered[word] = own, max(firsts, default=0.0)
-        return found
-
-    times = Counter(words)
-    whole = prefix = 0.0
-    strong = some = strong_prefix = disguised = symbols = 0
-    top = [0.0, 0.0]
-    hits = set()
-    for word, k in times.items():
-        own, first = weight(word)
-        odd = not word.isalpha() and not word.isdigit()
-        if odd:
-            symbols += k
-            bare = plain(word)
-            if bare in INSULTS or (bare != word and weight(bare)[0] > 2):
-                disguised += k
-                hits.add(word)
-        if word in INSULTS:
-            hits.add(word)
-        best = max(own, first)
-        if best > 0.5:
-            whole += own * k
-            some += k
-            top = sorted((*top, best))[1:]
-            prefix = max(prefix, first)
-            if best > 2:
-                strong += k
-                strong_prefix += k * (first > 2)
-                hits.add(word)
-    insults = sum(k for w, k in times.items() if w in INSULTS)
-    pronouns = sum(times[w] for w in times.keys() & PRONOUNS)
-    near = 0
-    if hits and pronouns:
-        at = np.flatnonzero([w in hits for w in words])
-        spoken = np.flatnonzero([w in PRONOUNS for w in words])
-        right = np.searchsorted(spoken, at)
-        gap = np.minimum(np.abs(at - spoken[np.maximum(right - 1, 0)]), np.abs(at - spoken[np.minimum(right, len(spoken) - 1)]))
-        near = int((gap <= NEAR).sum())
-    length = len(text)
-    upper = sum(map(str.isupper, text)) if not text.islower() else 0
-    shouted = sum(1 for w in text.split() if len(w) > 2 and w.isupper())
-    exclaims, questions = text.count("!"), text.count("?")
-    marks = length - sum(map(len, words)) - n
-    return [
-        insults / n, np.log1p(insults), near, pronouns / n, top[1], top[0], np.log1p(whole), whole / n,
-        np.log1p(strong), strong / n, np.log1p(some), some / n, prefix, np.log1p(strong_prefix), np.log1p(disguised), disguised / n,
-        symbols / n, len(_SPELLED.findall(text)), len(_REPEAT.findall(text)) / n, shouted / n, upper / length, exclaims / n,
-        questions / n, len(_MARKS.findall(text)), marks / length, np.log1p(n), sum(map(len, words)) / n,
-    ]
+    p, q = max(bad, 0) + 0.5, max(good, 0) + 0.5
+    return math.log(p / (bad_groups + 1)) - math.log(q / (good_groups + 1)) - 1.5 * math.sqrt(1 / p + 1 / q)
+
+
+_TOKEN_COLUMNS = (
+    "words", "letters", "insults", "pronouns", "weight", "some", "strong", "strong_prefix", "disguised", "symbols",
+    "stretched", "shouted", "upper", "exclaims", "questions", "mark_runs", "chars", "best", "prefix", "hit", "single",
+)
+_ADDED = _TOKEN_COLUMNS.index("best")  # columns before are added up
+
+
+class _Tokens(dict):
+    """Numbers of tokens; what is known of a new one is appended to ``rows``, as ``_TOKEN_COLUMNS``."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights, self.rows = weights, []
+
+    def _firsts(self, word: str) -> float:
+        return max([self.weights.get(t, 0.0) for t in terms_of(word)[1:]], default=0.0)
+
+    def __missing__(self, token: str) -> int:
+        word = word_of(token)
+        n, size = len(word), len(token)
+        own, first = (self.weights.get(word, 0.0), self._firsts(word)) if n else (0.0, 0.0)
+        best, insult, disguised, odd = max(own, first), word in INSULTS, False, False
+        upper = 0 if token.islower() else sum(map(str.isupper, token))
+        if n and not word.isalpha() and not word.isdigit():
+            odd, bare = True, plain(word)
+            disguised = bare in INSULTS or (bare != word and self.weights.get(bare, 0.0) > 2)
+        exclaims = questions = mark_runs = 0
+        if n != size and ("!" in token or "?" in token):
+            exclaims, questions, mark_runs = token.count("!"), token.count("?"), len(_MARKS.findall(token))
+        shouted = upper > 2 and upper == sum(map(str.isalpha, token))
+        self.rows.append((
+            n > 0, n, insult, word in PRONOUNS, own if best > 0.5 else 0, best > 0.5, best > 2, best > 2 and first > 2, disguised, odd,
+            _REPEAT.search(word) is not None, shouted, upper, exclaims, questions, mark_runs,
+            size, best, first, insult or disguised or best > 2, n == 1 and word.isalpha(),
+        ))
+        self[token] = number = len(self)
+        return number
+
+
+class Measure:
+    """Features of texts; remembers what it knows of a token, within a bound.
+
+    ``without`` is the label of the texts, if they were counted in the lexicon.
+    """
+
+    def __init__(self, lexicon: Lexicon, without: int | None = None, most: int = 400_000):
+        self.weights, self.most = lexicon.weights(without), most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.table = _Tokens(self.weights), np.zeros((0, len(_TOKEN_COLUMNS)), np.float32)
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        """One row of features for each text."""
+        if len(self.numbers) > self.most:
+            self._forget()
+        tokens, sizes = [], []
+        for text in texts:
+            own = text.split()
+            tokens += own
+            sizes.append(len(own))
+        at = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
+        if new := self.numbers.rows:
+            self.table = np.concatenate([self.table, np.array(new, np.float32)])
+            self.numbers.rows = []
+        sizes = np.array(sizes, np.int64)
+        full = np.flatnonzero(sizes)
+        out = np.zeros((len(texts), len(NAMES)))
+        if not len(full):
+            return out
+        starts = (np.cumsum(sizes) - sizes)[full]
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        total = {c: np.add.reduceat(self.table[at, k].astype(float), starts) for k, c in enumerate(_TOKEN_COLUMNS[:_ADDED])}
+        best, prefix, hit, single = (self.table[at, k] for k in range(_ADDED, len(_TOKEN_COLUMNS)))
+        top = np.maximum.reduceat(best, starts)
+        whose = np.repeat(np.arange(len(full)), sizes[full])
+        tops = np.flatnonzero(best == top[whose])
+        _, firsts = np.unique(whose[tops], return_index=True)
+        rest = best.copy()
+        rest[tops[firsts]] = 0
+        second = np.maximum.reduceat(rest, starts)
+
+        near = np.zeros(len(texts))
+        hits, spoken = np.flatnonzero(hit), np.flatnonzero(self.table[at, _TOKEN_COLUMNS.index("pronouns")])
+        if len(hits) and len(spoken):
+            right = np.searchsorted(spoken, hits)
+            close = np.zeros(len(hits), bool)
+            for side in (np.maximum(right - 1, 0), np.minimum(right, len(spoken) - 1)):
+                close |= (np.abs(spoken[side] - hits) <= NEAR) & (owner[spoken[side]] == owner[hits])
+            near = np.bincount(owner[hits[close]], minlength=len(texts)).astype(float)
+        three = np.flatnonzero((single[2:] > 0) & (single[1:-1] > 0) & (single[:-2] > 0) & (owner[2:] == owner[:-2]))
+        spelled = np.bincount(owner[three], minlength=len(texts))[full]
+
+        n, length = np.maximum(total["words"], 1), total["chars"]
+        out[full] = np.stack([
+            total["insults"] / n, np.log1p(total["insults"]), near[full], total["pronouns"] / n, top, second,
+            np.log1p(total["weight"]), total["weight"] / n, np.log1p(total["strong"]), total["strong"] / n,
+            np.log1p(total["some"]), total["some"] / n, np.maximum.reduceat(prefix, starts), np.log1p(total["strong_prefix"]),
+            np.log1p(total["disguised"]), total["disguised"] / n, total["symbols"] / n, spelled, total["stretched"] / n,
+            total["shouted"] / n, total["upper"] / length, total["exclaims"] / n, total["questions"] / n, total["mark_runs"],
+            (length - total["letters"]) / length, np.log1p(total["words"]), total["letters"] / n,
+        ], axis=1)
+        return out
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -188,7 +230,8 @@ def _known(df: DataFrame, labels: DataFrame, label: str, text: str, doc_id: str)
     chosen = store.written(some[0].unionByName(some[1]), "learned")
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # At most 2 * MOST_ROWS ids, so the texts need not be shuffled.
-    return store.written(texts.join(F.broadcast(chosen), "doc_id"), "known"), total
+    known = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return store.written(known, "known"), total
 
 
 def learn_terms(known: DataFrame) -> Lexicon:
@@ -197,22 +240,25 @@ def learn_terms(known: DataFrame) -> Lexicon:
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in slabs(batch.column(0)):
-                found = pa.array([sketch(tokens_of(t)) for t in texts], pa.int64())
+                found = pa.array(sketches(texts), pa.int64())
                 rest = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([found, *rest.columns], ["sketch", "text", "label"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            cells = np.array([(t, *c) for t, c in total.items()], np.int64).reshape(-1, 3)
-            return pa.RecordBatch.from_pydict({n: cells[:, k] for k, n in enumerate(("term", "bad", "good"))})
+            counts = np.array(list(total.values()), np.int64)
+            return pa.RecordBatch.from_pydict({"term": pa.array(list(total), pa.string()), "bad": counts[:, 0], "good": counts[:, 1]})
 
-        total: dict[int, list[int]] = {}
+        total: dict[str, list[int]] = {}
         for batch in batches:
             for first, texts in slabs(batch.column(0)):
                 labels = batch.column(1).slice(first, len(texts)).to_pylist()
                 for text, label in zip(texts, labels, strict=True):
-                    for term in {t for w in set(tokens_of(text)) for t in terms_of(w)}:
-                        total.setdefault(term, [0, 0])[1 - label] += 1
+                    for term in {t for w in set(map(word_of, set(text.split()))) if w for t in terms_of(w)}:
+                        if term in total:
+                            total[term][1 - label] += 1
+                        else:
+                            total[term] = [label, 1 - label]
             if len(total) > 500_000:
                 yield rows()
                 total = {}
@@ -224,7 +270,7 @@ def learn_terms(known: DataFrame) -> Lexicon:
     groups = store.written(groups.select("text", "label"), "groups")
     sizes = {r["label"]: r["n"] for r in groups.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = sizes.get(1, 0), sizes.get(0, 0)
-    terms = groups.mapInArrow(counted, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    terms = groups.mapInArrow(counted, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     strength = F.log((F.col("bad") + 0.5) / (n[0] + 1)) - F.log((F.col("good") + 0.5) / (n[1] + 1))
     strength -= 1.5 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     best = terms.where("bad > 1").withColumn("strength", strength).where("strength > 0.5")
@@ -329,16 +375,20 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "tex
     lexicon = learn_terms(learned.select("text", "label"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {without: Measure(lexicon, without) for without in (0, 1, None)}
         for batch in batches:
             for first, texts in slabs(batch.column(0)):
                 rest = batch.slice(first, len(texts))
-                sides = zip(texts, rest.column(1).to_pylist(), rest.column(2).to_pylist(), strict=True)
-                rows = [features(t, lexicon, {}, y if learns else None) for t, y, learns in sides]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), *rest.columns[1:]], ["row", "label", "learns"])
+                side = np.array([y if learns else -1 for y, learns in zip(*(c.to_pylist() for c in rest.columns[1:]), strict=True)])
+                rows = np.zeros((len(texts), len(NAMES)))
+                for without, measure in of.items():
+                    own = np.flatnonzero(side == (-1 if without is None else without))
+                    rows[own] = measure.of([texts[k] for k in own])
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float64())), *rest.columns[1:]], ["row", "label", "learns"])
 
     rows = known.select("text", "label", (part != 4).alias("learns")).mapInArrow(measured, "row array<double>, label int, learns boolean")
     rows = rows.orderBy("row", "label", "learns").toArrow()  # numbers of at most 2 * MOST_ROWS ids
-    matrix = np.array(rows.column(0).to_pylist(), float).reshape(rows.num_rows, -1)
+    matrix = np.array(rows.column(0).to_pylist(), float).reshape(-1, len(NAMES))
     y, learns = np.asarray(rows.column(1), float), np.asarray(rows.column(2), bool)
     if not (0 < y[learns].sum() < learns.sum()):
         return Model(lexicon)
@@ -356,13 +406,11 @@ def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most MOST_TERMS terms and TREES trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, weights = shared.value, {}
+        measure = Measure(shared.value.lexicon)
         for batch in batches:
             for first, texts in slabs(batch.column(1)):
-                if len(weights) > 500_000:
-                    weights = {}
-                rows = np.array([features(t, own.lexicon, weights) for t in texts])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(own.scores(rows))], ["doc_id", "score"])
+                scores = pa.array(shared.value.scores(measure.of(texts)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), scores], ["doc_id", "score"])
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, score double")
 

@@ -103,33 +103,6 @@ def test_cover_has_every_distance():
     assert {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-def naive_lines(rows):
-    """Removed lines by the definition: pairs from shared lines, patience over the lines that paired them."""
-    docs = {i: [x.strip() for x in t.split("\n") if x.strip()] for i, t in rows}
-    holders = collections.defaultdict(list)
-    for i in sorted(docs):
-        for line in dict.fromkeys(docs[i]):
-            holders[line].append(i)
-    pairs = collections.defaultdict(set)
-    for line, own in holders.items():
-        for n, later in enumerate(own):
-            for earlier in own[:n] if len(own) <= line_dedup.RARE else own[: min(n, 1)]:
-                pairs[earlier, later].add(line)
-    gone = collections.defaultdict(set)
-    for (a, b), lines in pairs.items():
-        one, two = ([(k, x) for k, x in enumerate(docs[i]) if x in lines] for i in (a, b))
-        for _, j in line_dedup.patience([x for _, x in one], [x for _, x in two]):
-            gone[b].add(two[j][0])
-    return {i: (len(docs[i]), len(gone[i])) for i in docs}
-
-
-def test_lines_equal_the_definition(spark):
-    docs = table(spark, False)
-    expected = naive_lines([(r.doc_id, r.text) for r in docs.collect()])
-    assert sum(n for _, n in expected.values()) > 50
-    assert {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.remove_blocks(docs).collect()} == expected
-
-
 def test_lines_edges(spark):
     docs = helpers.documents(spark, extra=True)
     found = line_dedup.remove_blocks(docs)
