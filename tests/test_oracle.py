@@ -1,5 +1,6 @@
 """Every registered query against its SQL, row for row."""
 
+import importlib.util
 import os
 import sys
 
@@ -34,6 +35,15 @@ def test_every_query_has_sql():
     assert set(ORACLE) <= set(entry.oracle_sql())
 
 
+def test_entry_without_training_data(monkeypatch):
+    """Whatever lies beside it, the entry gives the other queries where the subpackage is gone."""
+    found = importlib.util.find_spec
+    for gone in ("evalspark.llm", "corpus_pipeline"):
+        monkeypatch.setattr(importlib.util, "find_spec", lambda name, gone=gone: None if name.startswith(gone) else found(name))
+        assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+        assert "pipeline" not in entry.queries() and (gone == "corpus_pipeline" or set(entry.queries()) == set(QUERIES))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     frame = entry.queries()[name](spark, DATA)
