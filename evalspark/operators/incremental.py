@@ -61,17 +61,18 @@ def resume_prefix(prior: DataFrame, questions: DataFrame) -> DataFrame:
     """The part of an earlier run that can be kept.
 
     Rows before the first judge error are kept, later ones are done again.  If any row
-    before it does not carry the source's question, nothing is kept.  Both decisions are
-    scalar subqueries, so no window over all rows and no join of wide rows is needed.
+    before it does not carry the source's question, nothing is kept.
+
+    The two first places, of an error and of a row with another question, are one aggregate
+    with partial results, and the decision compares them; so the earlier run is read once
+    for the decision and once for the rows that are kept.
     """
-    first_error = prior.where(f"status = '{S.JUDGE_ERROR}'").agg(F.min("row_id")).scalar()
-    leading = F.coalesce(F.col("row_id") < first_error, F.lit(True))
     source = questions.selectExpr("row_id", "question AS source_question")
-    mismatch = (
-        prior.select("row_id", "question")
-        .where(leading)
-        .join(source, "row_id", "left")
-        .agg(F.expr("bool_or(NOT question <=> source_question)"))
-        .scalar()
+    places = prior.select("row_id", "question", "status").join(source, "row_id", "left").agg(
+        F.expr(f"min(CASE WHEN status = '{S.JUDGE_ERROR}' THEN row_id END)").alias("error"),
+        F.expr("min(CASE WHEN NOT question <=> source_question THEN row_id END)").alias("mismatch"),
     )
-    return prior.where(leading & ~F.coalesce(mismatch, F.lit(False)))
+    # Nothing lies before the least number; without an error nothing is cut off.
+    end = "CASE WHEN mismatch < error OR (error IS NULL AND mismatch IS NOT NULL) THEN -9223372036854775808L ELSE error END"
+    cut = places.select(F.expr(end)).scalar()
+    return prior.where(F.coalesce(F.col("row_id") < cut, F.lit(True)))

@@ -651,4 +651,14 @@ ORACLE: dict[str, str] = {
         max(c) FILTER (even) > max(c) FILTER (NOT even) AS ref
       FROM pairs GROUP BY vec_id, question, judge
       HAVING bool_or(even) AND bool_or(NOT even)""",
+    "question_positions": """SELECT row_number() OVER () - 1 AS row_id, doc_id, lang,
+        length(text)::INT AS n_letters FROM documents""",
+    "csv_positions": _ALL + f"""SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, question, similarity,
+        a_correct, status, selected, ensemble_correct, base_judged, {', '.join(
+            f"md5(coalesce({c}, '')) AS {c}_md5"
+            for c in ("answer_a", "answer_b", "base_answer", "final_answer", "ground_truth", "reason"))}
+        FROM results""",
+    "saved_batches": _ALL + """SELECT row_id, a_correct, b_correct, factual_disagreement, status, selected,
+        reason, final_answer, ensemble_correct, base_judged FROM results""",
+    "saved_fill": _FILLS + "SELECT row_id, status, base_answer, base_correct, base_judged FROM merged",
 }

@@ -24,8 +24,12 @@ from evalspark.operators import (
 )
 from evalspark.operators.joins import lookup
 from evalspark.plans import views
+from evalspark.sources import results as tables
+from evalspark.sources.folders import fresh_path
+from evalspark.sources.records import numbered_parquet
 from evalspark.sources.references import category_map
 from evalspark.sources.results import head_rows as first_rows
+from evalspark.sources.saved import SavedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,15 +189,18 @@ def _replies_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.grade_baseline(views.base_replies(spark, sf_dir))
 
 
-def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """German replies have not come yet; every fifth call failed once and was tried again."""
     second = _replies_graded(spark, sf_dir).where("lang <> 'de'").selectExpr("*", "2 AS attempt")
     first = second.where("row_id % 5 = 0").selectExpr(
         "row_id", "'ERROR: 429' AS base_answer", "false AS base_correct",
         "false AS base_judged", "1 AS attempt",
     )
-    replies = second.select(first.columns).unionByName(first)
-    return incremental.fill_merge(views.results(spark, sf_dir), replies, "attempt")
+    return second.select(first.columns).unionByName(first)
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.fill_merge(views.results(spark, sf_dir), _late(spark, sf_dir), "attempt")
 
 
 @_query
@@ -308,3 +315,48 @@ def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     replied = sampling.take_rows(views.replies(spark, sf_dir), picked)
     results = pipeline.evaluate(replied, keep=("category", "turn", "stratum"))
     return sampling.audit_sample(results, views.references(spark, sf_dir))
+
+
+@_query
+def question_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question set without row numbers: all documents, numbered by their place in the files."""
+    rows = numbered_parquet(spark, f"{sf_dir}/documents.parquet")
+    return rows.selectExpr("row_id", "doc_id", "lang", "length(text) AS n_letters")
+
+
+@_query
+def csv_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All results written as quoted CSV of 17 columns, and read back by many tasks with their positions."""
+    path = fresh_path(spark, "results-csv")
+    tables.export_csv(views.results(spark, sf_dir).orderBy("row_id").select(*tables.RESULT_COLUMNS), path)
+    return tables.read_results_csv(spark, path).selectExpr(
+        "row_id", "question", "similarity", "a_correct", "status", "selected", "ensemble_correct", "base_judged",
+        *(f"md5(coalesce({c}, '')) AS {c}_md5" for c in ("answer_a", "answer_b", "base_answer", "final_answer", "ground_truth", "reason")),
+    )
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> SavedTable:
+    """All results saved in three batches, the second one twice."""
+    results = views.results(spark, sf_dir).select("row_id", *tables.RESULT_COLUMNS)
+    saved = SavedTable(spark, fresh_path(spark, "saved"), results.schema)
+    for batch in (0, 1, 1, 2):
+        saved.append(results.where(f"pmod(row_id DIV 100, 3) = {batch}"), f"batch {batch}")
+    return saved
+
+
+@_query
+def saved_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches appended as they come, one of them twice, then joined into larger files."""
+    saved = _saved(spark, sf_dir)
+    saved.compact()
+    return saved.read().select(*RESOLVED)
+
+
+@_query
+def saved_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late baseline replies filled in twice, in the files that need them."""
+    saved = _saved(spark, sf_dir)
+    replies = _late(spark, sf_dir)
+    for _ in range(2):
+        saved.fill(replies, "attempt")
+    return saved.read().select("row_id", "status", *incremental.FILLED)
