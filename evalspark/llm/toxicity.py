@@ -387,9 +387,11 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float64())), *rest.columns[1:]], ["row", "label", "learns"])
 
     rows = known.select("text", "label", (part != 4).alias("learns")).mapInArrow(measured, "row array<double>, label int, learns boolean")
-    rows = rows.orderBy("row", "label", "learns").toArrow()  # numbers of at most 2 * MOST_ROWS ids
+    rows = rows.toArrow()  # numbers of at most 2 * MOST_ROWS ids
     matrix = np.array(rows.column(0).to_pylist(), float).reshape(-1, len(NAMES))
     y, learns = np.asarray(rows.column(1), float), np.asarray(rows.column(2), bool)
+    order = np.lexsort((learns, y, *matrix.T))  # the same sums in every run
+    matrix, y, learns = matrix[order], y[order], learns[order]
     if not (0 < y[learns].sum() < learns.sum()):
         return Model(lexicon)
     here = Counter(y.tolist())
