@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="checkpoints-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (local tests) one of this process."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+from evalspark.sources.folders import fresh_path, shared_folder  # noqa: F401
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:

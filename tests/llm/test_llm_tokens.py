@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from evalspark.llm import byte_bpe, packing, store, token_files
+from evalspark.llm import byte_bpe, packing, store, token_files, tokens
 from evalspark.llm.tokens import Encoder, at_spaces, between_spaces
 from pyarrow import fs
 from pyspark.sql import functions as F
@@ -148,3 +148,25 @@ def test_empty_tables(spark):
     assert token_files.read(spark, path).count() == 0
     assert byte_bpe.decode(byte_bpe.encode(none, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
     assert packing.pack(store.written(packing.cut_documents(none, BYTES, 0, 2048)), 2048).count() == 0
+
+
+def test_encoder_forgets_the_older_half(monkeypatch):
+    """Ids and offsets stay those of whole texts while chunks are forgotten, some kept or all."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"word{i % 7} other{i}, and more{i % 50}. Ends  here!! \n now 99," for i in range(300)]
+    for most in (5, 60, 400):
+        monkeypatch.setattr(tokens, "MOST_CHUNKS", most)
+        encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), tokens.at_spaces, offsets=True)
+        plain = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), tokens.at_spaces)
+        for k in range(0, len(texts), 9):
+            some = texts[k : k + 9]
+            whole = tokenizer.encode_batch(some, add_special_tokens=False)
+            ids, counts, spans = encoder.encode(some)
+            assert ids.tolist() == [i for e in whole for i in e.ids] == plain.encode(some)[0].tolist()
+            assert counts.tolist() == [len(e.ids) for e in whole] and spans.tolist() == [list(o) for e in whole for o in e.offsets]
+
+
+def test_spaces_that_need_care():
+    for text in ("a  b", "a \n b", "a\x1c b", "a b ", "a　 　b", " a", "", " ", "a\0b c", "a\t  b c"):
+        assert "".join(tokens.at_spaces(text)).replace("\0", "") == text.replace("\0", "")
+        assert tokens.at_spaces(text) == (tokens._EDGE.split(text) if tokens._INNER_RUN.search(text) else text.replace(" ", "\0 ").split("\0"))
