@@ -17,6 +17,15 @@ from evalspark.sources import schema as S
 APART = is_true("semantic_disagreement")
 
 
+WRONG = {
+    "n": "true",
+    "both_wrong": BOTH_WRONG,
+    "ensemble_wrong": f"NOT {is_true('ensemble_correct')}",
+    "a_wrong": f"NOT {is_true('a_correct')}",
+    "b_wrong": f"NOT {is_true('b_correct')}",
+}
+
+
 def disagreement_groups(results: DataFrame) -> DataFrame:
     """Wrong-answer counts and rates where the agents disagree, agree, and overall.
 
@@ -25,18 +34,15 @@ def disagreement_groups(results: DataFrame) -> DataFrame:
     pairs = add(
         results.where(VALID), {"pair": f"CASE WHEN {APART} THEN 'disagree' ELSE 'agree' END"}
     )
-    wrong = {
-        "n": "true",
-        "both_wrong": BOTH_WRONG,
-        "ensemble_wrong": f"NOT {is_true('ensemble_correct')}",
-        "a_wrong": f"NOT {is_true('a_correct')}",
-        "b_wrong": f"NOT {is_true('b_correct')}",
-    }
-    counts = (F.expr(f"count_if({sql})").alias(name) for name, sql in wrong.items())
+    counts = (F.expr(f"count_if({sql})").alias(name) for name, sql in WRONG.items())
     groups = pairs.rollup("pair").agg(*counts, F.expr("grouping(pair)").alias("is_total"))
-    return groups.selectExpr(
-        "CASE WHEN is_total = 1 THEN 'all' ELSE pair END AS grp",
-        "n", "both_wrong", "ensemble_wrong", "a_wrong + b_wrong AS agent_wrong",
+    return groups_of(groups.withColumn("grp", F.expr("CASE WHEN is_total = 1 THEN 'all' ELSE pair END")))
+
+
+def groups_of(counted: DataFrame) -> DataFrame:
+    """The rates of rows with a name ``grp`` and the counts of ``WRONG``."""
+    return counted.selectExpr(
+        "grp", "n", "both_wrong", "ensemble_wrong", "a_wrong + b_wrong AS agent_wrong",
         f"{percent('both_wrong', 'n')} AS both_wrong_pct",
         f"{percent('ensemble_wrong', 'n')} AS ensemble_wrong_pct",
         f"{percent('a_wrong + b_wrong', 'n * 2')} AS agent_wrong_pct",

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from evalspark.functions.booleans import is_true
 from evalspark.functions.similarity import (
@@ -78,25 +79,88 @@ def reference_labels(
         "question", "left", rows_per_task, questions,
     )
 
-    def closest(dots: str, side: str) -> str:
-        # The candidate's own norm divides both sides alike, so it is left out.
-        near = "try_divide(double(d.dot), sqrt(squares[d.slot]))"
-        of_side = f"filter({dots}, d -> d.slot {side} n_correct)"
-        return f"coalesce(array_max(transform({of_side}, d -> {near})), 0.0D)"
-
-    def dots(r: Rated) -> str:
-        usable = f"n_correct IS NOT NULL AND NOT {is_failed(r.answer)} AND {is_attempted(r.answer)}"
-        return f"CASE WHEN {usable} THEN {dots_with_index(r.answer, 'index')} END"
-
-    found = settle(rows, {f"dots_{i}": dots(r) for i, r in enumerate(rated)})
+    found = settle(rows, {f"dots_{i}": _dots(r) for i, r in enumerate(rated)})
     labels = {
         r.label: f"CASE WHEN dots_{i} IS NOT NULL THEN"
-        f" {closest(f'dots_{i}', '<')} > {closest(f'dots_{i}', '>=')} END"
+        f" {_closest(f'dots_{i}', '<')} > {_closest(f'dots_{i}', '>=')} END"
         for i, r in enumerate(rated)
     }
     return add(found, labels).select("row_id", *keep, *labels)
 
 
+def _closest(dots: str, side: str) -> str:
+    """How close the nearest text of a side is; the candidate's own norm divides both sides
+    alike, so it is left out."""
+    near = "try_divide(double(d.dot), sqrt(squares[d.slot]))"
+    of_side = f"filter({dots}, d -> d.slot {side} n_correct)"
+    return f"coalesce(array_max(transform({of_side}, d -> {near})), 0.0D)"
+
+
+def _dots(r: Rated) -> str:
+    usable = f"n_correct IS NOT NULL AND NOT {is_failed(r.answer)} AND {is_attempted(r.answer)}"
+    return f"CASE WHEN {usable} THEN {dots_with_index(r.answer, 'index')} END"
+
+
+def reference_texts(references: DataFrame) -> DataFrame:
+    """One row a reference text, ``question, text, is_correct``, from rows with both arrays."""
+    sides = [
+        references.selectExpr("question", f"explode({side}) AS text", f"{side == 'correct'} AS is_correct")
+        for side in ("correct", "incorrect")
+    ]
+    return sides[0].unionByName(sides[1])
+
+
+def sharded_reference_labels(
+    results: DataFrame,
+    texts: DataFrame,
+    keep: Sequence[str] = (),
+    rated: Sequence[Rated] = RATED,
+    chars_per_shard: int = 1 << 20,
+    rows_per_task: int | None = None,
+) -> DataFrame:
+    """The labels of ``reference_labels`` for reference sets of any size.
+
+    ``texts`` has one row a reference text (``question, text, is_correct``).  The texts of a
+    question are dealt by hash into shards of about ``chars_per_shard`` characters, each indexed
+    in a row of its own; equal texts count once, as they are equally close.  An answer meets every
+    shard of its question, and the nearest text of each side is a maximum over its shards, which
+    Spark takes in part before it shuffles.
+    """
+    known = texts.where("text IS NOT NULL").select("question", "text", "is_correct").distinct()
+    sizes = known.groupBy("question").agg(
+        F.expr(f"int(ceil((sum(length(text)) + 1) / {chars_per_shard}))").alias("shards"),
+        F.expr("count_if(is_correct) > 0 AND count_if(NOT is_correct) > 0").alias("both"),
+    )
+    sizes = sizes.where("both").drop("both")
+    dealt = add(known.join(sizes, "question"), {
+        "place": "struct(question, int(pmod(xxhash64(text), shards)) AS shard)"
+    })
+    sets = dealt.groupBy("place").agg(
+        F.expr("collect_list(CASE WHEN is_correct THEN text END)").alias("correct"),
+        F.expr("collect_list(CASE WHEN NOT is_correct THEN text END)").alias("incorrect"),
+    )
+    counted = settle(
+        sets.selectExpr("place", "size(correct) AS n_correct", "concat(correct, incorrect) AS texts"),
+        {"counted": counted_texts("texts")},
+    ).drop("texts")
+    shards = settle(counted, {"index": word_index("counted"), "squares": squares_of("counted")}).drop("counted")
+
+    answers = results.select("row_id", "question", *keep, *(r.answer for r in rated))
+    answers = lookup(answers, sizes, "question", "left", rows_per_task)
+    answers = answers.withColumn("shard", F.expr("explode_outer(sequence(0, shards - 1))"))
+    answers = add(answers, {"place": "struct(question, shard)"}).drop("question", "shards", "shard")
+    met = lookup(answers, shards, "place", "left", rows_per_task)
+    found = settle(met, {f"dots_{i}": _dots(r) for i, r in enumerate(rated)})
+    nearest = {
+        f"{side}_{i}": f"max(CASE WHEN dots_{i} IS NOT NULL THEN {_closest(f'dots_{i}', sign)} END)"
+        for i in range(len(rated))
+        for side, sign in (("right", "<"), ("wrong", ">="))
+    }
+    best = found.groupBy("row_id", *keep).agg(*(F.expr(sql).alias(name) for name, sql in nearest.items()))
+    labels = {r.label: f"right_{i} > wrong_{i}" for i, r in enumerate(rated)}
+    return add(best, labels).select("row_id", *keep, *labels)
+
+
 def reference_labels_by_vector(
     rows: DataFrame, references: DataFrame, key: str = "question",
     rows_per_task: int | None = None,

@@ -662,3 +662,9 @@ ORACLE: dict[str, str] = {
         reason, final_answer, ensemble_correct, base_judged FROM results""",
     "saved_fill": _FILLS + "SELECT row_id, status, base_answer, base_correct, base_judged FROM merged",
 }
+# Other ways to the same rows.
+ORACLE |= {
+    "reference_label_sharded": ORACLE["reference_label"],
+    "running_summary": ORACLE["eval_summary"],
+    "running_groups": ORACLE["disagreement_groups"],
+}

@@ -19,6 +19,7 @@ from evalspark.operators import (
     references,
     reliability,
     requests,
+    running,
     sampling,
     triage,
 )
@@ -30,6 +31,7 @@ from evalspark.sources.records import numbered_parquet
 from evalspark.sources.references import category_map
 from evalspark.sources.results import head_rows as first_rows
 from evalspark.sources.saved import SavedTable
+from evalspark.streaming.collect import state_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -292,6 +294,13 @@ def reference_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def reference_label_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same labels with reference sets in shards, as for sets larger than a row."""
+    texts = references.reference_texts(views.references(spark, sf_dir))
+    return references.sharded_reference_labels(views.results(spark, sf_dir), texts, chars_per_shard=4096)
+
+
 @_query
 def reference_label_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.reference_labels_by_vector(*views.vector_raters(spark, sf_dir))
@@ -360,3 +369,21 @@ def saved_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         saved.fill(replies, "attempt")
     return saved.read().select("row_id", "status", *incremental.FILLED)
+
+
+def _running(metric: Callable[[DataFrame], DataFrame]) -> Query:
+    """All results counted in three batches; the second one, half done, is counted again."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        results = views.results(spark, sf_dir)
+        states = state_table(spark, fresh_path(spark, "states"))
+        for batch, part in (("0", "0"), ("1", "1 AND row_id % 2 = 0"), ("1", "1"), ("2", "2")):
+            rows = results.where(f"pmod(row_id DIV 100, 3) = {part}")
+            states.put(running.state_of(rows, batch), batch)
+        return metric(states.read())
+
+    return build
+
+
+QUERIES["running_summary"] = _running(running.eval_summary)
+QUERIES["running_groups"] = _running(running.disagreement_groups)

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from evalspark.operators.pipeline import Similarity, evaluate
+from evalspark.operators.running import STATE, state_of
+from evalspark.sources.saved import SavedTable
 
 REPLY_SCHEMA = T.StructType(
     [T.StructField("row_id", T.LongType())]
@@ -54,3 +56,34 @@ def collect(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def state_table(spark: SparkSession, path: str) -> SavedTable:
+    """The saved table of counts that ``collect_metrics`` fills and ``operators.running`` reads."""
+    return SavedTable(spark, path, T.StructType.fromDDL(STATE))
+
+
+def collect_metrics(
+    replies: DataFrame,
+    path: str,
+    checkpoint: str | None = None,
+    name: str = "metrics",
+    similar: Similarity | None = None,
+) -> StreamingQuery:
+    """Count everything that has arrived, one row a batch in the state table at ``path``, then stop.
+
+    A batch that ran before a failure but was not yet recorded runs again under its number and
+    replaces its row.
+    """
+    place = checkpoint or checkpoint_folder(replies.sparkSession, name)
+
+    def save(batch: DataFrame, number: int) -> None:
+        state = f"{name} {number}"
+        state_table(batch.sparkSession, path).put(state_of(evaluate(batch, similar), state), state)
+
+    return (
+        replies.writeStream.foreachBatch(save)
+        .option("checkpointLocation", place)
+        .trigger(availableNow=True)
+        .start()
+    )
