@@ -653,18 +653,35 @@ ORACLE: dict[str, str] = {
       HAVING bool_or(even) AND bool_or(NOT even)""",
     "question_positions": """SELECT row_number() OVER () - 1 AS row_id, doc_id, lang,
         length(text)::INT AS n_letters FROM documents""",
-    "csv_positions": _ALL + f"""SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, question, similarity,
-        a_correct, status, selected, ensemble_correct, base_judged, {', '.join(
-            f"md5(coalesce({c}, '')) AS {c}_md5"
-            for c in ("answer_a", "answer_b", "base_answer", "final_answer", "ground_truth", "reason"))}
-        FROM results""",
-    "saved_batches": _ALL + """SELECT row_id, a_correct, b_correct, factual_disagreement, status, selected,
-        reason, final_answer, ensemble_correct, base_judged FROM results""",
-    "saved_fill": _FILLS + "SELECT row_id, status, base_answer, base_correct, base_judged FROM merged",
 }
-# Other ways to the same rows.
+
+# A run as it may have been stored, with its late baseline replies.
+_STORED = f"""WITH flags AS (
+  SELECT d.*, doc_id % 100 / 100.0::DOUBLE AS near, coalesce(quality = 1, false) AS a, coalesce(toxic = 0, true) AS b,
+    CASE WHEN a AND b THEN 'BOTH_CORRECT' WHEN a THEN 'A_CORRECT' WHEN b THEN 'B_CORRECT' ELSE 'BOTH_WRONG' END AS word
+  FROM documents d LEFT JOIN labels USING (doc_id)),
+results AS (
+  SELECT doc_id AS row_id, concat('Which ', lang, ' text has ', n_chars, ' characters?') AS question, text AS answer_a,
+    CASE WHEN doc_id % 31 = 30 THEN 'ERROR: timeout 503' ELSE source END AS answer_b,
+    near AS similarity, near < 0.85::DOUBLE AS semantic_disagreement, a AS a_correct, b AS b_correct, a <> b AS factual_disagreement,
+    CASE WHEN doc_id % 43 = 42 THEN 'JUDGE_ERROR' ELSE word END AS status,
+    CASE word WHEN 'BOTH_CORRECT' THEN 'BOTH' WHEN 'A_CORRECT' THEN 'A' WHEN 'B_CORRECT' THEN 'B' ELSE 'NONE' END AS selected,
+    'seen ' || lang AS reason, CASE WHEN a OR b THEN source ELSE 'NO_CORRECT_ANSWER' END AS final_answer,
+    a OR b AS ensemble_correct, CASE WHEN doc_id % 7 <> 6 THEN source END AS base_answer,
+    CASE WHEN doc_id % 7 <> 6 THEN a END AS base_correct, CASE WHEN doc_id % 7 <> 6 THEN b END AS base_judged FROM flags),
+valid AS (SELECT * FROM results WHERE NOT {_failed('answer_a')} AND NOT {_failed('answer_b')}),
+late AS (
+  SELECT doc_id AS row_id, 'late ' || source AS base_answer, n_chars % 2 = 0 AS base_correct, n_chars % 3 = 0 AS base_judged
+  FROM documents),{_MERGED}
+"""
+_STORED_ROWS = """semantic_disagreement, a_correct, b_correct, status, selected, reason, ensemble_correct,
+  base_answer, base_correct, base_judged, question, similarity, md5(coalesce(answer_a, '')) AS answer_a_md5 FROM results"""
 ORACLE |= {
+    "csv_positions": _STORED + f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, {_STORED_ROWS}",
+    "saved_batches": _STORED + f"SELECT row_id, {_STORED_ROWS}",
+    "saved_fill": _STORED + "SELECT row_id, status, base_answer, base_correct, base_judged FROM merged",
+    "running_summary": ORACLE["eval_summary"].replace(_ALL, _STORED),
+    "running_groups": ORACLE["disagreement_groups"].replace(_ALL, _STORED),
+    # Another way to the same rows.
     "reference_label_sharded": ORACLE["reference_label"],
-    "running_summary": ORACLE["eval_summary"],
-    "running_groups": ORACLE["disagreement_groups"],
 }

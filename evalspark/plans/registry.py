@@ -191,18 +191,15 @@ def _replies_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.grade_baseline(views.base_replies(spark, sf_dir))
 
 
-def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """German replies have not come yet; every fifth call failed once and was tried again."""
     second = _replies_graded(spark, sf_dir).where("lang <> 'de'").selectExpr("*", "2 AS attempt")
     first = second.where("row_id % 5 = 0").selectExpr(
         "row_id", "'ERROR: 429' AS base_answer", "false AS base_correct",
         "false AS base_judged", "1 AS attempt",
     )
-    return second.select(first.columns).unionByName(first)
-
-
-def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.fill_merge(views.results(spark, sf_dir), _late(spark, sf_dir), "attempt")
+    replies = second.select(first.columns).unionByName(first)
+    return incremental.fill_merge(views.results(spark, sf_dir), replies, "attempt")
 
 
 @_query
@@ -333,20 +330,24 @@ def question_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("row_id", "doc_id", "lang", "length(text) AS n_letters")
 
 
+STORED = (
+    "row_id", "question", "similarity", "semantic_disagreement", "a_correct", "b_correct", "status", "selected",
+    "reason", "ensemble_correct", "base_answer", "base_correct", "base_judged",
+)
+
+
 @_query
 def csv_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All results written as quoted CSV of 17 columns, and read back by many tasks with their positions."""
+    """A stored run written as quoted CSV of 17 columns, texts with their line breaks, and read back
+    by many tasks, numbered by the position in the files."""
     path = fresh_path(spark, "results-csv")
-    tables.export_csv(views.results(spark, sf_dir).orderBy("row_id").select(*tables.RESULT_COLUMNS), path)
-    return tables.read_results_csv(spark, path).selectExpr(
-        "row_id", "question", "similarity", "a_correct", "status", "selected", "ensemble_correct", "base_judged",
-        *(f"md5(coalesce({c}, '')) AS {c}_md5" for c in ("answer_a", "answer_b", "base_answer", "final_answer", "ground_truth", "reason")),
-    )
+    tables.export_csv(views.stored_run(spark, sf_dir).orderBy("row_id").select(*tables.RESULT_COLUMNS), path)
+    return tables.read_results_csv(spark, path).selectExpr(*STORED, "md5(coalesce(answer_a, '')) AS answer_a_md5")
 
 
 def _saved(spark: SparkSession, sf_dir: str) -> SavedTable:
-    """All results saved in three batches, the second one twice."""
-    results = views.results(spark, sf_dir).select("row_id", *tables.RESULT_COLUMNS)
+    """A stored run saved in three batches, the second one twice."""
+    results = views.stored_run(spark, sf_dir).select("row_id", *tables.RESULT_COLUMNS)
     saved = SavedTable(spark, fresh_path(spark, "saved"), results.schema)
     for batch in (0, 1, 1, 2):
         saved.append(results.where(f"pmod(row_id DIV 100, 3) = {batch}"), f"batch {batch}")
@@ -358,24 +359,24 @@ def saved_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches appended as they come, one of them twice, then joined into larger files."""
     saved = _saved(spark, sf_dir)
     saved.compact()
-    return saved.read().select(*RESOLVED)
+    return saved.read().selectExpr(*STORED, "md5(coalesce(answer_a, '')) AS answer_a_md5")
 
 
 @_query
 def saved_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late baseline replies filled in twice, in the files that need them."""
     saved = _saved(spark, sf_dir)
-    replies = _late(spark, sf_dir)
+    replies = views.late_replies(spark, sf_dir)
     for _ in range(2):
         saved.fill(replies, "attempt")
     return saved.read().select("row_id", "status", *incremental.FILLED)
 
 
 def _running(metric: Callable[[DataFrame], DataFrame]) -> Query:
-    """All results counted in three batches; the second one, half done, is counted again."""
+    """A stored run counted in three batches; the second one, half done, is counted again."""
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        results = views.results(spark, sf_dir)
+        results = views.stored_run(spark, sf_dir)
         states = state_table(spark, fresh_path(spark, "states"))
         for batch, part in (("0", "0"), ("1", "1 AND row_id % 2 = 0"), ("1", "1"), ("2", "2")):
             rows = results.where(f"pmod(row_id DIV 100, 3) = {part}")

@@ -163,3 +163,45 @@ def vector_raters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         F.expr("collect_list(CASE WHEN label % 2 <> 0 THEN embedding END)").alias("incorrect"),
     )
     return rows, sets
+
+
+def stored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result table as an earlier run may have stored it: all documents, their whole text as one
+    agent's answer, flags from the labels; every seventh row has no baseline answer yet."""
+    rows = _labelled(spark, sf_dir).selectExpr(
+        "*", "doc_id % 100 / 100.0D AS near", "coalesce(good, false) AS a", "coalesce(harmless, true) AS b"
+    )
+    rows = rows.selectExpr("*", f"{pipeline.status_of('a', 'b')} AS word")
+    return rows.selectExpr(
+        "doc_id AS row_id",
+        f"{QUESTION} AS question",
+        "text AS answer_a",
+        "CASE WHEN doc_id % 31 = 30 THEN 'ERROR: timeout 503' ELSE source END AS answer_b",
+        "near AS similarity",
+        "near < 0.85D AS semantic_disagreement",
+        "a AS a_correct", "b AS b_correct", "a <> b AS factual_disagreement",
+        "CASE WHEN doc_id % 43 = 42 THEN 'JUDGE_ERROR' ELSE word END AS status",
+        f"{pipeline.selection_of('word')} AS selected",
+        "concat('seen ', lang) AS reason",
+        "CASE WHEN a OR b THEN source ELSE 'NO_CORRECT_ANSWER' END AS final_answer",
+        "a OR b AS ensemble_correct",
+        "CASE WHEN doc_id % 7 <> 6 THEN source END AS base_answer",
+        "CASE WHEN doc_id % 7 <> 6 THEN a END AS base_correct",
+        "CASE WHEN doc_id % 7 <> 6 THEN b END AS base_judged",
+        "source AS ground_truth",
+    )
+
+
+def late_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline replies for ``stored_run``, German ones missing; every fifth failed at first."""
+    rows = table(spark, sf_dir, "documents").where("lang <> 'de'")
+    cells = "row_id", "base_answer", "base_correct", "base_judged", "attempt"
+    second = rows.selectExpr(
+        "doc_id AS row_id", "concat('late ', source) AS base_answer",
+        "n_chars % 2 = 0 AS base_correct", "n_chars % 3 = 0 AS base_judged", "2 AS attempt",
+    )
+    first = rows.where("doc_id % 5 = 0").selectExpr(
+        "doc_id AS row_id", "'ERROR: 429' AS base_answer", "false AS base_correct",
+        "false AS base_judged", "1 AS attempt",
+    )
+    return second.select(*cells).unionByName(first.select(*cells))

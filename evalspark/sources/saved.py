@@ -66,7 +66,7 @@ class SavedTable:
     def _write(self, rows: DataFrame, batch: str | None) -> DataFrame:
         """Writes files that no version lists yet: file, batch, bytes."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        rows.select(*self.schema.names).write.parquet(folder)
+        rows.select(*self.schema.names).write.option("compression", "zstd").parquet(folder)
         return self._files(folder, "part-*").select("file", F.lit(batch).cast("string").alias("batch"), "bytes")
 
     def _commit(self, listed: DataFrame, after: int) -> None:
@@ -119,7 +119,10 @@ class SavedTable:
         chosen = self.spark.createDataFrame([(n,) for n in names], "plain string")
         here = listed.withColumn("plain", F.regexp_replace("file", "^file:/+", "/"))
         old = here.join(chosen, "plain", "left_semi")
-        filled = fill_merge(self._rows(old), replies, attempt).coalesce(len(names))
+        # Only rows to fill are shuffled to their replies.
+        rows = self._rows(old)
+        filled = fill_merge(rows.where(NEEDS_FILL), replies, attempt).unionByName(rows.where(f"NOT coalesce({NEEDS_FILL}, false)"))
+        filled = filled.coalesce(len(names))
         rest = here.join(chosen, "plain", "left_anti").drop("plain")
         self._commit(rest.unionByName(self._write(filled, _batches(old))), now)
         return len(names)
