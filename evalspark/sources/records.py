@@ -7,8 +7,8 @@ record if the split begins outside quotes, and those if it begins inside; runnin
 the splits then say how each one begins and how many records are before it.  The second pass
 numbers the lines with that and joins those of a record, also across splits.
 
-All of it is SQL over lines: one shuffle of the lines by split, which is what Spark reads as one piece, and a
-second one for the lines of records that have several.
+All of it is SQL over lines: one shuffle of the lines by split, which is what Spark reads as one piece, and
+another one for the records that go over the end of a split.
 """
 
 from __future__ import annotations
@@ -40,6 +40,10 @@ def _before(*columns: str, order: str, value: str) -> str:
     return f"coalesce(sum({value}) OVER ({by}ORDER BY {order} {rows}), 0L)"
 
 
+def _in_order(order: str, value: str) -> str:
+    return f"transform(sort_array(collect_list(struct({order}, {value}))), x -> x.{value})"
+
+
 def _inside(lines: DataFrame) -> DataFrame:
     """``within``: quotes of the split before the line."""
     return add(lines, {"within": _before(*SPLIT, order="line", value="quotes")})
@@ -84,11 +88,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     keys = ["file", "number", "files_before", "records_before"]
     whole = "begins AND quotes % 2 = 0"
     single = numbered.where(whole).select(*keys, F.col("value").alias("text"))
-    parts = numbered.where(f"NOT ({whole})").groupBy(*keys).agg(
-        F.expr(r"array_join(transform(sort_array(collect_list(struct(split, line, value))), x -> x.value), '\n')").alias("text")
+    # Lines of one record in one split are where the split is; only what goes on in another split moves.
+    pieces = numbered.where(f"NOT ({whole})").groupBy(*SPLIT, *keys[1:]).agg(
+        F.expr(f"array_join({_in_order('line', 'value')}, '\\n')").alias("text"),
+        F.expr("bool_or(begins) AND sum(quotes) % 2 = 0").alias("complete"),
+    )
+    inside = pieces.where("complete").select(*keys, "text")
+    across = pieces.where("NOT complete").groupBy(*keys).agg(
+        F.expr(f"array_join({_in_order('split', 'text')}, '\\n')").alias("text")
     )
     clean = r"regexp_replace(CASE number WHEN 0 THEN ltrim('﻿', text) ELSE text END, '\r$', '')"
-    return single.unionByName(parts).selectExpr(
+    return single.unionByName(inside).unionByName(across).selectExpr(
         "file", "number", "files_before", "records_before + number AS position", f"{clean} AS text"
     )
 
