@@ -32,8 +32,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sets of five-word shingles with a similarity of 0.8; candidates are within 80 of 256 bits, which misses practically none."""
-    return simhash.keep_one(docs, shingle=5, radius=80, bits=256, tables=20, similarity=0.8)
+    """One document of each group whose fingerprints of three-word shingles chain within 2 of 64 bits."""
+    return simhash.keep_one(docs, shingle=3, radius=2)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
