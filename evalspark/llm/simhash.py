@@ -345,7 +345,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = store.written(edges.select("a", "b").distinct(), "links")
     state = None
     while True:
-        signature = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        whole = (F.sum(F.xxhash64(*columns).cast("decimal(28,0)")) for columns in (("a", "b"), ("b", "a")))
+        signature = edges.agg(F.count("*"), *whole).first()
         if signature == state:
             return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
         state = signature

@@ -5,6 +5,7 @@ import corpus_pipeline as pipeline
 import helpers
 import pytest
 from evalspark.llm import simhash, store
+from test_llm_dedup import fingerprint
 
 
 def test_stages_in_turn(spark):
@@ -61,10 +62,23 @@ def test_near_duplicates_equal_brute_force(spark, texts, tile, monkeypatch):
             if sets[a] & sets[b] and jaccard(sets[a], sets[b]) >= 0.8:
                 root = [root[a] if r == root[b] else r for r in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = pipeline.one_of_near_duplicates(spark, docs, helpers.DATA)
+    kept = simhash.keep_one(docs, shingle=5, radius=80, bits=256, tables=20, similarity=0.8)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+def test_near_duplicate_stage_keeps_one_of_each_chain(spark):
+    docs = spark.read.parquet(f"{helpers.DATA}/documents.parquet")
+    prints = {r.doc_id: fingerprint(r.text) for r in docs.collect()}
+    root = {i: i for i in prints}
+    for j in sorted(prints):
+        for i in (i for i in sorted(prints) if i < j and (prints[i] ^ prints[j]).bit_count() <= 2):
+            one, two = sorted((root[i], root[j]))
+            root = {k: one if r == two else r for k, r in root.items()}
+    assert len(set(root.values())) < len(root)
+    kept = dict(pipeline.STAGES)["simhash_near_dedup"](spark, docs, helpers.DATA)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+
+
 @pytest.mark.parametrize("name", [name for name, _ in pipeline.STAGES])
 def test_edges_and_clashing_columns(spark, name):
     docs = helpers.documents(spark, extra=True)
