@@ -1,14 +1,18 @@
 """Line dedup by pairwise alignment.
 
-Any two documents that share a line are a pair.  All lines that both hold are aligned by patience
-diff, and the aligned blocks go from the later document.  Pairs that can take nothing more are left
-out, so that common lines do not cost the square of their documents:
+Documents that share a rare line are a pair.  All lines that both hold are aligned by patience
+diff, and the aligned blocks go from the later document.  The result is that of all pairs that
+share any line; pairs that can take nothing more are left out, so that common lines do not cost
+the square of their documents:
 
 * Documents whose lines that others have too are the same, in the same order, align alike.  The first of
   them stands for all; the others lose all these lines to it.
-* Of those that stand for others, each is aligned with the first holder of each of its lines.  While lines
-  stay that an earlier document has, it is aligned with growing samples of their other holders,
-  the last of which holds them all.
+* Of those that stand for others, all holders of a rare line (of at most ``RARE``) are aligned.
+* A common line that stays after that is aligned with its first holder, and while it still stays
+  with growing samples of its other holders, the last of which holds them all.
+
+In the worst case, common lines that stay in all their documents, the pairs are the square of these
+documents.  They are spread by line and document, so no task holds all pairs of a line.
 
 Lines are compared without blanks at their ends; blank lines pair nothing and go with the line
 before them.  A null text has no lines and stays null.  Documents with a null id keep everything and
@@ -31,7 +35,9 @@ from pyspark.sql import functions as F
 
 from evalspark.llm import store
 
-RARE = 16  # holders of a line in the first sample; each later one has so many times more
+RARE = 4  # a line with at most so many holders is rare
+SAMPLE = 16  # holders of a common line in the first sample; each later one has so many times more
+SPREAD = 4096  # documents of a line that meet its sample in one key
 
 LINES = "doc struct<id: bigint, copy: bigint>, line bigint, places array<int>"
 DOCUMENT = "doc struct<id: bigint, copy: bigint>, line bigint"
@@ -146,18 +152,23 @@ def _aligned(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     return together.mapInArrow(run, BLOCKS)
 
 
+def _places(found: DataFrame, doc: str, places: str) -> DataFrame:
+    """Each later document and the set of its places in blocks: no more than it has lines, whatever its pairs."""
+    each = F.flatten(F.transform("blocks", lambda b: F.sequence(b[1], b[1] + b[2] - 1)))
+    return found.select(F.col("later").alias(doc), F.explode(each).alias("place")).groupBy(doc).agg(F.collect_set("place").alias(places))
+
+
 def _staying(sequences: DataFrame, found: DataFrame) -> DataFrame:
     """doc and each of its distinct lines that has a place outside the blocks found so far."""
-    gone = found.groupBy(F.col("later").alias("doc")).agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
-    marked = sequences.join(gone, "doc", "left").select("doc", "lines", "places", "blocks")
+    marked = sequences.join(_places(found, "doc", "gone"), "doc", "left").select("doc", "lines", "places", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
                 rows, lines = [], []
-                for row, (own, places, blocks) in enumerate(zip(*(c.to_pylist() for c in part.columns[1:]), strict=True)):
-                    taken = {p for _, first, n in blocks or [] for p in range(first, first + n)}
+                for row, (own, places, gone) in enumerate(zip(*(c.to_pylist() for c in part.columns[1:]), strict=True)):
+                    taken = set(gone or [])
                     left = {k for k, p in zip(own, places, strict=True) if p not in taken}
                     rows += [row] * len(left)
                     lines += left
@@ -192,26 +203,39 @@ def aligned_blocks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     most = counts.agg(F.max("n")).first()[0] or 0
     # A holder's rank among those of its line, about: n times a number in [0, 1) of its own.
     rank = F.pmod(F.xxhash64("doc.id", "doc.copy", "line"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")
-    ranked = store.written(entries.join(counts, "line").select("line", "doc", "first", rank.alias("rank")), "ranked")
-    pairs = ranked.where("first < doc").select(F.col("first").alias("earlier"), F.col("doc").alias("later")).distinct()
+    ranked = store.written(entries.join(counts, "line").select("line", "doc", "n", "first", rank.alias("rank")), "ranked")
+    rare = ranked.where(F.col("n") <= RARE)
+    later = rare.select("line", F.col("doc").alias("later"))
+    pairs = rare.select("line", F.col("doc").alias("earlier")).join(later, "line").where("earlier < later").select("earlier", "later").distinct()
     found.append(store.written(_aligned(pairs, sequences), "blocks"))
-    low, high = 0, RARE
-    while low < most:
+    common = counts.where(F.col("n") > RARE)
+    parts = F.ceil(F.col("n") / SPREAD)
+
+    def staying() -> DataFrame:
         so_far = functools.reduce(DataFrame.unionByName, found[1:])
-        staying = store.written(_staying(sequences, so_far), "staying").withColumnRenamed("doc", "later")
-        if staying.isEmpty():
+        part = F.pmod(F.xxhash64("doc"), parts).alias("part")
+        left = _staying(sequences, so_far).join(common, "line").where("first < doc")
+        return store.written(left.select("line", "first", part, F.col("doc").alias("later")), "staying")
+
+    if most > RARE:
+        pairs = staying().select(F.col("first").alias("earlier"), "later").distinct()
+        found.append(store.written(_aligned(pairs, sequences), "blocks"))
+    low, high = 0, SAMPLE
+    while RARE < most and low < most:
+        left = staying()
+        if left.isEmpty():
             break
-        sample = ranked.where((F.col("rank") >= low) & (F.col("rank") < high) & (F.col("doc") != F.col("first")))
-        sample = sample.select("line", F.col("doc").alias("earlier"))
-        pairs = staying.join(sample, "line").where("earlier < later").select("earlier", "later").distinct()
+        sample = ranked.where((F.col("n") > RARE) & (F.col("rank") >= low) & (F.col("rank") < high) & (F.col("doc") != F.col("first")))
+        each = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
+        sample = sample.select("line", F.col("doc").alias("earlier"), each)
+        pairs = left.join(sample, ["line", "part"]).where("earlier < later").select("earlier", "later").distinct()
         found.append(store.written(_aligned(pairs, sequences), "blocks"))
-        low, high = high, high * RARE
+        low, high = high, high * SAMPLE
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def _without(text: str, blocks: list[list[int]]) -> tuple[str, int, int]:
-    """The text without the blocks of its lines that are not blank; how many of these there were, and went."""
-    gone = {p for _, first, n in blocks for p in range(first, first + n)}
+def _without(text: str, gone: set[int]) -> tuple[str, int, int]:
+    """The text without these of its lines that are not blank; how many of these there were, and went."""
     kept, place, drop = [], -1, False
     for line in split_lines(text):
         if line.strip():
@@ -228,11 +252,9 @@ def remove_blocks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     The two names get underscores in front where ``df`` has them.
     """
     counts = [store.unused(df, "n_lines"), store.unused(df, "n_removed")]
-    key, blocks = store.unused(df, "document"), store.unused(df, "blocks")
-    found = aligned_blocks(df, text, doc_id).groupBy(F.col("later").alias(key)).agg(
-        F.flatten(F.collect_list("blocks")).alias(blocks)
-    )
-    marked = df.withColumn(key, _document(text, doc_id)).join(found, key, "left").select(*(F.col(f"`{c}`") for c in df.columns), blocks)
+    key, gone = store.unused(df, "document"), store.unused(df, "gone")
+    found = _places(aligned_blocks(df, text, doc_id), key, gone)
+    marked = df.withColumn(key, _document(text, doc_id)).join(found, key, "left").select(*(F.col(f"`{c}`") for c in df.columns), gone)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +262,7 @@ def remove_blocks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
                 cells = [
-                    (None, 0, 0) if value is None else _without(value, own or [])
+                    (None, 0, 0) if value is None else _without(value, set(own or []))
                     for value, own in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)
                 ]
                 columns = list(part.columns[:-1])

@@ -123,6 +123,15 @@ def test_common_lines_need_no_pairs(spark):
     assert texts[0] == rows[0][1] and all(texts[i] == f"own {i}\nlast {i}" for i in range(1, 60))
 
 
+def test_one_id_with_other_texts_and_many_lines(spark):
+    many = "\n".join(f"line {k}" for k in range(50_000))
+    rows = [(1, many), (2, "own\n" + many), (3, "a\nb\nc"), (3, "a\nb\nd"), (3, "a\nb\nd")]
+    found = line_dedup.remove_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {i: sorted(r.n_removed for r in found if r.doc_id == i) for i in (1, 2, 3)}
+    assert by[1] == [0] and by[2] == [50_000] and by[3] in ([0, 0, 2], [0, 2, 2])
+    assert {r.text for r in found if r.doc_id == 2} == {"own"}
+
+
 def every_pair(rows):
     """Places that go by the definition: each later document loses what aligns with any earlier one, over all lines both hold."""
     docs = {i: [x.strip() for x in t.split("\n") if x.strip()] for i, t in sorted(rows)}
@@ -143,8 +152,10 @@ def line_tables():
     return [separators, crossed, dealt]
 
 
+@pytest.mark.parametrize("spread", [4096, 3])
 @pytest.mark.parametrize("rows", [*line_tables(), None], ids=["separators", "crossed", "dealt", "table"])
-def test_lines_equal_every_pair(spark, rows):
+def test_lines_equal_every_pair(spark, rows, spread, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SPREAD", spread)
     docs = spark.createDataFrame(rows, "doc_id long, text string") if rows else table(spark, False)
     rows = rows or [(r.doc_id, r.text) for r in docs.collect()]
     found = {r.doc_id: "\n".join(x for x in map(str.strip, r.text.split("\n")) if x) for r in line_dedup.remove_blocks(docs).collect()}
