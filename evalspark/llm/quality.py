@@ -128,10 +128,15 @@ def isotonic(good: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.interp(np.arange(len(total)), at, shares)
 
 
+def _known(labels: DataFrame, label: str, doc_id: str) -> DataFrame:
+    """doc_id and label of the rows to learn from."""
+    known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label"))
+    return known.where("label is not null").where(~held_out("doc_id"))
+
+
 def fit(statistics: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id") -> Model:
     """Learns from all labelled rows that are not held out; a quarter of all rows calibrates."""
-    known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label"))
-    rows = statistics.join(known.where("label is not null"), "doc_id").where(~held_out("doc_id"))
+    rows = statistics.join(_known(labels, label, doc_id), "doc_id")
     rows = store.written(rows.withColumn("calibrates", F.crc32(F.col("doc_id").cast("string")) % 4 == 3), "labelled")
     learned, n = rows.where("not calibrates").select("statistics", "label"), N_STATISTICS
 
@@ -190,8 +195,13 @@ def classify(df: DataFrame, labels: DataFrame, threshold: float = 0.7, label: st
 
 
 def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.7, label: str = "quality", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``df``, as they are, whose score is ``threshold`` or more."""
-    model = fit(measured(df, text, doc_id), labels, label, doc_id)
+    """The rows of ``df``, as they are, whose score is ``threshold`` or more.
+
+    Only rows to learn from are measured before the fit; each row is measured once more to be judged.
+    """
+    own = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    learned = own.join(_known(labels, label, doc_id), "doc_id", "left_semi")
+    model = fit(measured(learned), labels, label, doc_id)
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
 
