@@ -11,6 +11,7 @@ nothing.  Rows that repeat are packed as often as they occur.  Extra columns are
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,6 @@ from evalspark.llm.tokens import at_spaces, encoder, slabs
 # Lengths above a share of the capacity are grouped and optimised, in so many groups.  Each share
 # is tried, and the plan with the fewest sequences taken.
 LARGE_SHARES, GROUPS = (1 / 2, 1 / 3, 1 / 8), 64
-# The optimisation stops after so many new configurations, if it has not ended by itself.
-MOST_STEPS = 600
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 Run = tuple[int, list[int]]  # so many sequences that each hold these lengths
@@ -77,14 +76,17 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> lis
 
     Column generation for the configuration programme: the basis holds one configuration a
     size, a knapsack over the dual values finds the one that saves most, and the simplex step
-    swaps it in.  The fractions are rounded down; what they leave is placed by best fit.
+    swaps it in, until none saves or a basis comes again, so the steps end without a limit.  The
+    fractions are rounded down; what they leave is placed by best fit.
     """
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     value = demand / np.diag(basis)
     reach = np.arange(capacity + 1)[None, :] - sizes[:, None]
     fits, reach = reach >= 0, np.maximum(reach, 0)
-    for _ in range(MOST_STEPS):
+    seen: set[bytes] = set()
+    while (now := hashlib.sha256(basis).digest()) not in seen:
+        seen.add(now)
         dual = np.linalg.solve(basis.T, np.ones(m))
         best, picks = np.zeros(capacity + 1), []
         for _ in range(int(capacity // sizes.min())):
