@@ -70,14 +70,14 @@ _VERDICT = r"""CASE WHEN doc_id % 43 = 42 THEN 'ERROR: 503 service unavailable'
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their labels where there are any.
 
-    Labels grow with the documents, so the join is a shuffle at every size.
+    Spark sends small labels to the documents, and shuffles or sorts both where they are large.
     """
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").selectExpr(
         "doc_id", "quality", "toxic", "quality = 1 AS good", "toxic = 0 AS harmless"
     )
     return docs.select("doc_id", "text", "lang", "source", "n_chars").join(
-        labels.hint("shuffle_hash"), "doc_id", "left"
+        labels, "doc_id", "left"
     )
 
 
