@@ -211,18 +211,25 @@ def aligned_blocks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     common = counts.where(F.col("n") > RARE)
     parts = F.ceil(F.col("n") / SPREAD)
 
-    def staying() -> DataFrame:
-        so_far = functools.reduce(DataFrame.unionByName, found[1:])
+    def staying(before: DataFrame | None = None) -> DataFrame:
+        """Common lines that stay.  Blocks only grow, so documents that had none of them ``before`` have none now."""
+        own, so_far = sequences, functools.reduce(DataFrame.unionByName, found[1:])
+        if before is not None:
+            documents = before.select("later").distinct()
+            own = own.join(documents.withColumnRenamed("later", "doc"), "doc", "left_semi")
+            so_far = so_far.join(documents, "later", "left_semi")
         part = F.pmod(F.xxhash64("doc"), parts).alias("part")
-        left = _staying(sequences, so_far).join(common, "line").where("first < doc")
+        left = _staying(own, so_far).join(common, "line").where("first < doc")
         return store.written(left.select("line", "first", part, F.col("doc").alias("later")), "staying")
 
+    left = None
     if most > RARE:
-        pairs = staying().select(F.col("first").alias("earlier"), "later").distinct()
+        left = staying()
+        pairs = left.select(F.col("first").alias("earlier"), "later").distinct()
         found.append(store.written(_aligned(pairs, sequences), "blocks"))
     low, high = 0, SAMPLE
     while RARE < most and low < most:
-        left = staying()
+        left = staying(left)
         if left.isEmpty():
             break
         sample = ranked.where((F.col("n") > RARE) & (F.col("rank") >= low) & (F.col("rank") < high) & (F.col("doc") != F.col("first")))
