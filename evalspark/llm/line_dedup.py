@@ -182,7 +182,8 @@ def aligned_blocks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     Pairs whose blocks others cover are left out where that is known beforehand.
     """
-    lines = lines_of(df, text, doc_id)
+    # Written, as it is read twice and costs more to find than to read.
+    lines = store.written(lines_of(df, text, doc_id), "lines")
     ends = (F.min("doc.id").alias("first"), F.max("doc.id").alias("last"), F.min("doc.copy").alias("low"), F.max("doc.copy").alias("high"))
     holders = lines.groupBy("line").agg(*ends).where("first <> last OR low <> high")
     # Written, so that both sides of the join are plain shuffles, whose hot lines Spark can split.
