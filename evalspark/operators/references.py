@@ -9,15 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.booleans import is_true
-from evalspark.functions.similarity import (
-    best_cosine,
-    counted_texts,
-    dots_with_index,
-    squares_of,
-    word_index,
-)
+from evalspark.functions.bags import nearest, plain
+from evalspark.functions.similarity import best_cosine
 from evalspark.functions.text import is_attempted, is_failed
-from evalspark.operators.columns import add, settle
+from evalspark.operators.columns import add
 from evalspark.operators.joins import lookup
 
 
@@ -43,16 +38,12 @@ RATED = (
 BOTH_SETS = "coalesce(size(correct) > 0 AND size(incorrect) > 0, false)"
 
 
-def indexed_references(references: DataFrame) -> DataFrame:
-    """Per question the words of its references, counted once: ``index``, ``squares`` and
-    ``n_correct`` (the first texts are the correct ones); questions without both sets go."""
-    both = references.where(BOTH_SETS).selectExpr(
+def _both_sets(references: DataFrame) -> DataFrame:
+    """Per question all its reference texts, the ``n_correct`` correct ones first; questions
+    without both sets go."""
+    return references.where(BOTH_SETS).selectExpr(
         "question", "size(correct) AS n_correct", "concat(correct, incorrect) AS texts"
     )
-    counted = settle(both, {"counted": counted_texts("texts")}).drop("texts")
-    return settle(
-        counted, {"index": word_index("counted"), "squares": squares_of("counted")}
-    ).drop("counted")
 
 
 def reference_labels(
@@ -70,35 +61,34 @@ def reference_labels(
     ``keep`` names small columns to carry along; ``rows_per_task`` and ``questions`` are
     those of ``lookup``.
 
-    References are shuffled to their question and counted there, once; answers are shuffled
-    once, to the same place, and compared inside the row.
+    References are shuffled to their question; answers are shuffled once, to the same place, and
+    compared there, a batch of rows at a time.
     """
     rows = lookup(
         results.select("row_id", "question", *keep, *(r.answer for r in rated)),
-        indexed_references(references.repartition("question")),
+        _both_sets(references.repartition("question")),
         "question", "left", rows_per_task, questions,
     )
-
-    found = settle(rows, {f"dots_{i}": _dots(r) for i, r in enumerate(rated)})
     labels = {
-        r.label: f"CASE WHEN dots_{i} IS NOT NULL THEN"
-        f" {_closest(f'dots_{i}', '<')} > {_closest(f'dots_{i}', '>=')} END"
+        r.label: f"CASE WHEN {_usable(r)} THEN get(near, {2 * i}) > get(near, {2 * i + 1}) END"
         for i, r in enumerate(rated)
     }
-    return add(found, labels).select("row_id", *keep, *labels)
+    return add(_met(rows, rated), labels).select("row_id", *keep, *labels)
 
 
-def _closest(dots: str, side: str) -> str:
-    """How close the nearest text of a side is; the candidate's own norm divides both sides
-    alike, so it is left out."""
-    near = "try_divide(double(d.dot), sqrt(squares[d.slot]))"
-    of_side = f"filter({dots}, d -> d.slot {side} n_correct)"
-    return f"coalesce(array_max(transform({of_side}, d -> {near})), 0.0D)"
+def _usable(r: Rated) -> str:
+    return f"n_correct IS NOT NULL AND NOT {is_failed(r.answer)} AND {is_attempted(r.answer)}"
 
 
-def _dots(r: Rated) -> str:
-    usable = f"n_correct IS NOT NULL AND NOT {is_failed(r.answer)} AND {is_attempted(r.answer)}"
-    return f"CASE WHEN {usable} THEN {dots_with_index(r.answer, 'index')} END"
+def _met(rows: DataFrame, rated: Sequence[Rated]) -> DataFrame:
+    """Add ``near``: how near the nearest correct and the nearest incorrect text is, for each answer.
+
+    An answer's own norm divides both sides alike, so it is left out.  Answers that are not
+    usable have no words.
+    """
+    said = [f"CASE WHEN {_usable(r)} THEN {plain(r.answer)} END" for r in rated]
+    texts = f"transform(texts, t -> {plain('t')})"
+    return rows.withColumn("near", nearest(said, texts, "n_correct"))
 
 
 def reference_texts(references: DataFrame) -> DataFrame:
@@ -139,22 +129,18 @@ def sharded_reference_labels(
         F.expr("collect_list(CASE WHEN is_correct THEN text END)").alias("correct"),
         F.expr("collect_list(CASE WHEN NOT is_correct THEN text END)").alias("incorrect"),
     )
-    counted = settle(
-        sets.selectExpr("place", "size(correct) AS n_correct", "concat(correct, incorrect) AS texts"),
-        {"counted": counted_texts("texts")},
-    ).drop("texts")
-    shards = settle(counted, {"index": word_index("counted"), "squares": squares_of("counted")}).drop("counted")
+    shards = sets.selectExpr("place", "size(correct) AS n_correct", "concat(correct, incorrect) AS texts")
 
     answers = results.select("row_id", "question", *keep, *(r.answer for r in rated))
     answers = lookup(answers, sizes, "question", "left", rows_per_task)
     answers = answers.withColumn("shard", F.expr("explode_outer(sequence(0, shards - 1))"))
     answers = add(answers, {"place": "struct(question, shard)"}).drop("question", "shards", "shard")
     met = lookup(answers, shards, "place", "left", rows_per_task)
-    found = settle(met, {f"dots_{i}": _dots(r) for i, r in enumerate(rated)})
+    found = _met(met, rated)
     nearest = {
-        f"{side}_{i}": f"max(CASE WHEN dots_{i} IS NOT NULL THEN {_closest(f'dots_{i}', sign)} END)"
-        for i in range(len(rated))
-        for side, sign in (("right", "<"), ("wrong", ">="))
+        f"{side}_{i}": f"max(CASE WHEN {_usable(r)} THEN get(near, {2 * i + wrong}) END)"
+        for i, r in enumerate(rated)
+        for wrong, side in enumerate(("right", "wrong"))
     }
     best = found.groupBy("row_id", *keep).agg(*(F.expr(sql).alias(name) for name, sql in nearest.items()))
     labels = {r.label: f"right_{i} > wrong_{i}" for i, r in enumerate(rated)}
