@@ -1,12 +1,20 @@
 """Cosine similarity of two texts or two vectors that sit in the same row.
 
-Both are row expressions: no shuffle, no self join, memory bounded by one row.  They can
-therefore stand inside a CASE (and only run for the rows that reach it), are dropped when
+No shuffle and no self join: ``text_cosine`` and ``vector_cosine`` are expressions over one row,
+which can stand inside a CASE (and only run for the rows that reach it); ``TextSimilarity`` adds
+columns computed a batch at a time, which costs far less for long texts.  All are dropped when
 nobody reads the column, and work unchanged on a stream.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import combinations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evalspark.functions.bags import cosines, plain
 from evalspark.functions.text import words
 
 
@@ -34,66 +42,6 @@ def _sum_of_squared_counts(ordered: str) -> str:
     return _bind(_starts(ordered), "starts", total)
 
 
-def word_counts(text: str) -> str:
-    """The distinct words of a text with their counts: array of (word, n)."""
-    counted = (
-        "transform(starts, (s, k) -> named_struct('word', ordered[s],"
-        " 'n', coalesce(get(starts, k + 1), size(ordered)) - s))"
-    )
-    return _bind(
-        f"sort_array({words(text)})", "ordered", _bind(_starts("ordered"), "starts", counted)
-    )
-
-
-def _runs(ordered: str, field: str, body: str) -> str:
-    """One element per run of equal ``field`` in a sorted array variable of structs: ``body``
-    over ``run``, the slice."""
-    starts = (
-        f"array_compact(transform({ordered}, (e, i) ->"
-        f" CASE WHEN NOT (e.{field} <=> get({ordered}, i - 1).{field}) THEN i END))"
-    )
-    size = f"coalesce(get(begins, k + 1), size({ordered})) - s"
-    cut = f"transform(begins, (s, k) -> slice({ordered}, s + 1, {size}))"
-    return _bind(starts, "begins", f"transform({cut}, run -> {body})")
-
-
-def counted_texts(texts: str) -> str:
-    """Word counts of each text of an array: array of array of (word, slot, n)."""
-    words_of = word_counts("coalesce(t, '')")
-    return (
-        f"transform({texts}, (t, slot) -> transform({words_of},"
-        " c -> named_struct('word', c.word, 'slot', slot, 'n', c.n)))"
-    )
-
-
-def squares_of(counted: str) -> str:
-    """Sum of squared counts of each text of ``counted_texts``."""
-    return f"transform({counted}, cs -> aggregate(cs, 0L, (total, c) -> total + bigint(c.n) * c.n))"
-
-
-def word_index(counted: str) -> str:
-    """Word to the texts that hold it, as a map to arrays of (slot, n)."""
-    postings = "transform(run, e -> named_struct('slot', e.slot, 'n', e.n))"
-    entries = _runs("entries", "word", f"named_struct('w', run[0].word, 'p', {postings})")
-    return f"map_from_entries({_bind(f'sort_array(flatten({counted}))', 'entries', entries)})"
-
-
-def dots_with_index(text: str, index: str) -> str:
-    """Dot products of a text with the texts of an index that share a word: array of (slot, dot).
-
-    Words meet in one hash map and the products in one sort, so the work is linear (up to the
-    sort) in the words of the text and of the index, whatever the number of texts.
-    """
-    products = "transform(p, e -> named_struct('slot', e.slot, 'v', bigint(n) * e.n))"
-    met = (
-        f"map_zip_with(map_from_entries({word_counts(text)}), {index},"
-        f" (w, n, p) -> CASE WHEN n IS NOT NULL AND p IS NOT NULL THEN {products} END)"
-    )
-    found = f"sort_array(flatten(array_compact(map_values({met}))))"
-    total = "named_struct('slot', run[0].slot, 'dot', aggregate(run, 0L, (sum, e) -> sum + e.v))"
-    return _bind(found, "found", _runs("found", "slot", total))
-
-
 def _cosine(dot: str, square_x: str, square_y: str) -> str:
     norms = f"(double({square_x}) * double({square_y}))"
     return f"CASE WHEN {norms} > 0 THEN double({dot}) / sqrt({norms}) ELSE 0.0D END"
@@ -102,29 +50,25 @@ def _cosine(dot: str, square_x: str, square_y: str) -> str:
 class TextSimilarity:
     """Cosine of the word-count vectors of text columns; 0.0 if either has no word.
 
-    With N(t) the sum of squared word counts, N(x + y) = N(x) + N(y) + 2 x.y, so the dot
-    product needs no word-by-word lookup: count run lengths in each side's sorted words,
-    then in both together (two sorted runs merge in linear time).  O(n log n) in the words
-    of the row.
-
-    ``prepared`` columns let several comparisons share one text's sorted words.
+    ``compared`` adds the cosines of several texts as columns, a batch of rows at a time, and a
+    call names the column.  Unused groups are dropped with the texts that only they need.
     """
 
-    def prepared(self, *texts: str) -> tuple[dict[str, str], ...]:
-        """Columns to add before comparing, in two steps."""
-        return (
-            {f"words_{t}": f"sort_array({words(t)})" for t in texts},
-            {
-                f"square_{t}": _bind(f"words_{t}", "one", _sum_of_squared_counts("one"))
-                for t in texts
-            },
-        )
+    def compared(self, rows: DataFrame, *groups: Sequence[str]) -> DataFrame:
+        """``rows`` with the cosine of every pair within each group of text columns."""
+        kept = rows.columns
+        plains = rows.withColumns({f"plain_{t}": F.expr(plain(t)) for texts in groups for t in texts})
+        found = plains.withColumns({
+            f"cosines_{i}": cosines([f"plain_{t}" for t in texts]) for i, texts in enumerate(groups)
+        })
+        return found.selectExpr(*(f"`{c}`" for c in kept), *(
+            f"cosines_{i}[{n}] AS {self(x, y)}"
+            for i, texts in enumerate(groups)
+            for n, (x, y) in enumerate(combinations(texts, 2))
+        ))
 
     def __call__(self, x: str, y: str) -> str:
-        both = f"sort_array(concat(words_{x}, words_{y}))"
-        together = _bind(both, "both", _sum_of_squared_counts("both"))
-        squares = f"array(square_{x}, square_{y}, {together})"
-        return _bind(squares, "q", _cosine("((q[2] - q[0] - q[1]) / 2)", "q[0]", "q[1]"))
+        return f"cosine_{x}_{y}"
 
 
 def text_cosine(x: str, y: str) -> str:
