@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from evalspark.functions.text import quoted, shorten
 from evalspark.operators.columns import add
@@ -46,9 +47,10 @@ def pick_rows(
 
 
 def take_rows(rows: DataFrame, picked: DataFrame) -> DataFrame:
-    """The picked rows with their place.  Spark sees that the pick is limited, so it can send
-    it to the wide table instead of shuffling that."""
-    return rows.join(picked, "row_id")
+    """The picked rows with their place.  ``picked`` is a stored sample, a few rows: their ids are
+    a filter that reaches the source of the wide table, so that no other row is computed again."""
+    ids = [row["row_id"] for row in picked.select("row_id").collect()]
+    return rows.where(F.col("row_id").isin(ids)).join(picked, "row_id")
 
 
 def audit_sample(rows: DataFrame, references: DataFrame, cap: int = 30) -> DataFrame:

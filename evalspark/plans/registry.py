@@ -26,7 +26,7 @@ from evalspark.operators import (
 from evalspark.operators.joins import lookup
 from evalspark.plans import views
 from evalspark.sources import results as tables
-from evalspark.sources.folders import fresh_path
+from evalspark.sources.folders import fresh_path, stored_once
 from evalspark.sources.records import numbered_parquet
 from evalspark.sources.references import category_map
 from evalspark.sources.results import head_rows as first_rows
@@ -316,8 +316,10 @@ def rater_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation is row by row, so only the picked rows are evaluated a second time."""
-    picked = sampling.pick_rows(_labels(spark, sf_dir))
+    """Evaluation is row by row, so only the picked rows are evaluated a second time.
+
+    The pick is stored: all rows are labelled for it once, whatever asks for it afterwards."""
+    picked = stored_once(sampling.pick_rows(_labels(spark, sf_dir)), "picked")
     replied = sampling.take_rows(views.replies(spark, sf_dir), picked)
     results = pipeline.evaluate(replied, keep=("category", "turn", "stratum"))
     return sampling.audit_sample(results, views.references(spark, sf_dir))
