@@ -40,7 +40,7 @@ def clean_replies(rows: DataFrame) -> DataFrame:
 
 def pair_similarity(
     rows: DataFrame,
-    similar: Similarity = text_cosine,
+    similar: Similarity | None = None,
     threshold: float = S.SIMILARITY_THRESHOLD,
 ) -> DataFrame:
     """Add the A-to-B similarity (6 decimals) and the disagreement flag.
@@ -48,12 +48,17 @@ def pair_similarity(
     A failed pair has similarity 0.0 and counts as no disagreement.  The flag looks at the
     unrounded value.
     """
+    used = ["exact_similarity"]
+    if similar is None:
+        similar = TextSimilarity()
+        rows = similar.compared(rows, AGENTS[:2])
+        used.append(similar(*AGENTS[:2]))
     exact = f"CASE WHEN {PAIR_FAILED} THEN 0.0D ELSE {similar('answer_a', 'answer_b')} END"
     flags = {
         "similarity": "round(exact_similarity, 6)",
         "semantic_disagreement": f"NOT {PAIR_FAILED} AND exact_similarity < {threshold}D",
     }
-    return add(add(rows, {"exact_similarity": exact}), flags).drop("exact_similarity")
+    return add(add(rows, {"exact_similarity": exact}), flags).drop(*used)
 
 
 def parse_verdicts(rows: DataFrame, truthy: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.booleans import tri_state, two_state
-from evalspark.functions.similarity import vector_cosine
+from evalspark.functions.similarity import TextSimilarity, vector_cosine
 from evalspark.functions.text import clean_output, is_truncated
 from evalspark.operators import (
     association,
@@ -154,7 +154,10 @@ def verdict_resolve_truthy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def base_similarity_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pipeline.clean_replies(views.replies(spark, sf_dir))
-    return rows.selectExpr("row_id", f"{pipeline.base_grade()} AS base_correct")
+    similar = TextSimilarity()
+    return similar.compared(rows, pipeline.BASELINE).selectExpr(
+        "row_id", f"{pipeline.base_grade(similar)} AS base_correct"
+    )
 
 
 @_query
