@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm import store
-from evalspark.llm.tokens import at_spaces, encoder, slabs
+from evalspark.llm.tokens import array_slabs, at_spaces, encoder
 
 # Lengths above a share of the capacity are grouped and optimised, in so many groups.  Each share
 # is tried, and the plan with the fewest sequences taken.
@@ -36,7 +36,7 @@ def cut_documents(df: DataFrame, tokenizer: str, end_id: int, capacity: int, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, at_spaces)
         for batch in batches:
-            for first, texts in slabs(batch.column(1)):
+            for first, texts in array_slabs(batch.column(1)):
                 found, counts, _ = own.encode(texts)
                 data = np.insert(found, np.cumsum(counts), end_id).astype("<u4").tobytes()
                 ends = np.cumsum(counts + 1)

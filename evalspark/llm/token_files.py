@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm import store
-from evalspark.llm.tokens import between_spaces, encoder, slabs
+from evalspark.llm.tokens import array_slabs, between_spaces, encoder
 
 MAGIC, BLOCK = b"DACTOK01", 512
 FILE_BYTES = 32 << 20  # of text for each file
@@ -140,7 +140,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "te
         lengths, ids = [], []
         for batch in batches:
             doc_ids += batch.column(0).to_pylist()
-            for _, texts in slabs(batch.column(1)):
+            for _, texts in array_slabs(batch.column(1)):
                 found, counts, _ = own.encode(texts)
                 lengths.append(counts + 1)
                 ids.append(np.insert(found, np.cumsum(counts), end_id).astype(np.uint32))

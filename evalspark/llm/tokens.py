@@ -1,14 +1,16 @@
 """Encoding texts with the tokenizers library, once per distinct chunk instead of once per place.
 
 A chunk is a part of a text at whose edges the tokenizer always cuts, so the ids of a text are
-the ids of its chunks, one after the other.  Natural text repeats its chunks, so the library is
-called for the few that a worker has not met yet, and the rest are array look-ups.
+the ids of its chunks, one after the other.  Natural text repeats its chunks: Arrow cuts the
+texts and finds the distinct chunks of a slab, the library is called for the few that a worker
+has not met yet, and the rest are array look-ups.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -21,8 +23,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task
 
 from tokenizers import Tokenizer  # noqa: E402
 
-# Chunks and ids that one worker remembers before it forgets those not met of late; characters encoded at a time.
-MOST_CHUNKS, MOST_IDS, SLAB_CHARS = 700_000, 6_000_000, 1 << 20
+# Chunks and ids that one worker remembers before it forgets those not met of late.
+MOST_CHUNKS, MOST_IDS = 700_000, 6_000_000
+# Bytes of text taken at a time, in general and by encoders, which look up each distinct chunk of a slab once.
+SLAB_CHARS, ENCODED_CHARS = 1 << 20, 1 << 22
+JOINED = 2_000  # new chunks given to the library as one text
 
 # Characters that are neither letter, number, white space nor apostrophe, so that every pattern
 # used here cuts between a letter or number and them.
@@ -31,6 +36,10 @@ MARKS = ".,;:!?*&%$#|"
 _INNER_RUN = re.compile(r"\s (?:\s|\Z)|\0")
 _INNER_PAIRS = ("\0", *(f"{c} " for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f"))
 _EDGE = re.compile(r"(?<=\S)(?= \S)")
+# _INNER_RUN for Arrow, whose white space is ASCII only, and what is before the marks at the end.
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ARROW_RUN = rf"{_BLANK} (?:{_BLANK}|\z)|\x00"
+_STEM = rf"(?s)^.*[^{re.escape(MARKS)}]"
 
 
 def at_spaces(text: str) -> list[str]:
@@ -51,6 +60,30 @@ def between_spaces(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+def _arrow_one_by_one(cut: Callable[[str], list[str]], texts: pa.Array) -> pa.Array:
+    return pa.array(map(cut, texts.to_pylist()), pa.list_(pa.large_string()))
+
+
+def _arrow_at_spaces(texts: pa.Array) -> pa.Array:
+    doubtful = pc.match_substring_regex(texts, _ARROW_RUN)
+    plain = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(doubtful)), " ", "\0 "), "\0")
+    if len(plain) == len(texts):
+        return plain
+    others = _arrow_one_by_one(at_spaces, texts.filter(doubtful))
+    return pa.concat_arrays([plain, others]).take(pa.array(np.argsort(np.argsort(doubtful, kind="stable"))))
+
+
+def _arrow_between_spaces(texts: pa.Array) -> pa.Array:
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+
+# How Arrow cuts, what is between chunks that are joined to one text, and which chunks may be joined.
+_CUTS = {
+    at_spaces: (_arrow_at_spaces, "", re.compile(r" [^\s\0]+").fullmatch),
+    between_spaces: (_arrow_between_spaces, " ", re.compile(r"[^ \n]*").fullmatch),
+}
+
+
 @functools.lru_cache(maxsize=4)
 def load(source: str) -> Tokenizer:
     """A tokenizer from a file, or from its JSON itself; one per worker process."""
@@ -64,22 +97,6 @@ def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-class _Numbers(dict):
-    """Gives each new key the next number and lists it in ``new``."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        self.new.append(key)
-        return number
-
-    def of(self, keys: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
-
-
 class _Store:
     """An array that grows at its end, by doubling."""
 
@@ -99,15 +116,25 @@ class _Store:
         self.cells[end - len(more) : end] = more
 
 
+def _folds(normalizer: dict | None) -> bool:
+    """Lower-cases, and does nothing else for which the case of an ASCII letter matters."""
+    steps = (normalizer.get("normalizers") or [normalizer]) if normalizer else []
+    blanks = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    return {"type": "Lowercase"} in steps and all(s["type"] in ("Lowercase", "NFC", "NFD", "NFKC", "NFKD") or s == blanks for s in steps)
+
+
 class Encoder:
     """Encodes lists of texts; remembers the ids (and offsets) of chunks within fixed bounds."""
 
     def __init__(self, source: str, cut: Callable[[str], list[str]], offsets: bool = False):
-        self.tokenizer, self.cut, self.offsets = load(source), cut, offsets
+        self.tokenizer, self.offsets = load(source), offsets
+        self.cut, self.between, self.joint = _CUTS.get(cut) or (functools.partial(_arrow_one_by_one, cut), "", None)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.folds = _folds(json.loads(self.tokenizer.to_str())["normalizer"])
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.met = _Numbers(), _Store((), bool)
+        self.known, self.met = dict[str, int](), _Store((), bool)
         self.starts, self.lengths = _Store((), np.int64), _Store((), np.int64)
         self.ids, self.spans = _Store((), np.uint32), _Store((2,), np.int32)
 
@@ -138,72 +165,115 @@ class Encoder:
 
     def _ends_in_letter(self, word: str) -> bool:
         """Also as the tokenizer's normalizer has it, which turns some letters into a letter and a mark."""
-        if not word[-1].isalnum() or word[-1].isascii() or self.tokenizer.normalizer is None:
-            return word[-1].isalnum()
+        if not word[-1:].isalnum() or word[-1].isascii() or self.tokenizer.normalizer is None:
+            return word[-1:].isalnum()
         return self.tokenizer.normalizer.normalize_str(word)[-1:].isalnum()
 
-    def _learn(self) -> None:
-        """Encodes new chunks; a word and the marks after it are encoded apart, as both recur."""
-        new, self.known.new = self.known.new, []
-        joined, words, marks, alone = [], [], [], []
-        for chunk in new:
-            word = chunk.rstrip(MARKS) if chunk[-1:] in MARKS else chunk
-            if word and len(word) < len(chunk) and self._ends_in_letter(word):
-                joined.append(chunk)
-                words.append(word)
-                marks.append(chunk[len(word) :])
-            else:
-                alone.append(chunk)
-        parts = np.stack([self.known.of(words), self.known.of(marks)], axis=1)
-        alone, self.known.new = alone + self.known.new, []
-        self._fit()
-
-        # Offsets take the library as long again, so it is asked for them only where they are read.
+    def _apart(self, chunks: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """A word and the marks after it are encoded apart, as both recur: which chunks are cut so, words, marks of these."""
+        words = pc.utf8_rtrim(chunks, MARKS)
+        ends = pc.utf8_slice_codeunits(words, -1, None).dictionary_encode()
+        letters = np.array([self._ends_in_letter(c) for c in ends.dictionary.to_pylist()], bool)
+        cut = letters[np.asarray(ends.indices)] & np.asarray(pc.not_equal(words, chunks))
+        marks = pc.replace_substring_regex(chunks.filter(pa.array(cut)), _STEM, "")
+        return cut, pc.if_else(pa.array(cut), words, chunks), marks
+
+    def _folded(self, words: pa.Array) -> pa.Array:
+        """ASCII words in lower case, where the tokenizer does not tell them apart."""
+        if not self.folds:
+            return words
+        small = pc.ascii_lower(words)
+        same = pc.string_is_ascii(words)
+        for name in self.added:  # looked for before the normalizer
+            same = pc.and_not(same, pc.match_substring(small, name, ignore_case=True))
+        return pc.if_else(same, small, words)
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """The number of each of these distinct chunks, new ones encoded."""
+        numbers = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            numbers[missing] = np.arange(len(self.known), len(self.known) + len(missing))
+            new = [chunks[i] for i in missing]
+            self.known.update(zip(new, numbers[missing].tolist(), strict=True))
+            self._fit()
+            self._learn(new, numbers[missing])
+        return numbers
+
+    def _learn(self, new: list[str], numbers: np.ndarray) -> None:
+        """Encodes new chunks, as many as can be in one text: the library takes long to begin and end a text."""
+        alone = np.ones(len(new), bool)
+        if self.joint is not None:
+            alone[:] = [not self.joint(chunk) for chunk in new]
+        together = np.flatnonzero(~alone)
+        for begin in range(0, len(together), JOINED):
+            some = together[begin : begin + JOINED]
+            self._learn_joined([new[i] for i in some], numbers[some])
+        alone = np.flatnonzero(alone)
+        if not len(alone):
+            return
+        # Offsets take the library longer, so it is asked for them only where they are read.
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
-        found = encode(alone, add_special_tokens=False)
+        found = encode([new[i] for i in alone], add_special_tokens=False)
         ids = [e.ids for e in found]
         spans = [o for e in found for o in e.offsets] if self.offsets else []
         self._keep(
-            self.known.of(alone),
+            numbers[alone],
             np.fromiter(map(len, ids), np.int64, len(ids)),
             np.fromiter(itertools.chain.from_iterable(ids), np.uint32),
             np.array(spans, np.int32).reshape(-1, 2),
         )
+
+    def _learn_joined(self, chunks: list[str], numbers: np.ndarray) -> None:
+        """Encodes chunks as one text, which would be cut into them again; offsets tell whose an id is."""
+        found = self.tokenizer.encode(self.between.join(chunks), add_special_tokens=False)
+        begins = np.fromiter(map(len, chunks), np.int64, len(chunks)) + len(self.between)
+        begins = np.cumsum(begins) - begins
+        spans = np.array(found.offsets, np.int64).reshape(-1, 2)
+        owner = np.searchsorted(begins, spans[:, 0], "right") - 1
+        spans -= begins[owner][:, None]
+        self._keep(numbers, np.bincount(owner, minlength=len(chunks)), np.array(found.ids, np.uint32), spans)
+
+    def _encode_distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of chunks one after the other, the number of each chunk's, and (with offsets) each id's characters."""
+        cut, words, marks = self._apart(chunks)
+        pieces = pa.concat_arrays([self._folded(words), marks]).dictionary_encode()
+        numbers = self._numbers(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        self.met.cells[numbers] = True
+        at = numbers[np.asarray(pieces.indices)]
+        parts = np.zeros((len(chunks), 2), np.int64)
+        parts[:, 0], parts[cut, 1] = at[: len(chunks)], at[len(chunks) :]
         lengths = self.lengths.cells[parts]
+        lengths[~cut, 1] = 0
         where = flat_ranges(self.starts.cells[parts].ravel(), lengths.ravel())
         spans = np.zeros((0, 2), np.int32)
         if self.offsets:
-            shift = np.array([[0, len(w)] for w in words], np.int32).reshape(-1)
-            spans = self.spans.cells[where] + np.repeat(shift, lengths.ravel())[:, None]
-        self._keep(self.known.of(joined), lengths.sum(axis=1), self.ids.cells[where], spans)
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, the number of ids of each text, and (with offsets) each id's characters."""
-        chunks: list[str] = []
-        counts = []
-        for text in texts:
-            own = self.cut(text)
-            chunks += own
-            counts.append(len(own))
-        at = self.known.of(chunks)
-        if self.known.new:
-            self._learn()
-        self.met.cells[at] = True
-        lengths = self.lengths.cells[at]
-        where = flat_ranges(self.starts.cells[at], lengths)
-        ids = self.ids.cells[where]
+            shift = np.zeros_like(lengths, np.int32)
+            shift[:, 1] = pc.utf8_length(words)
+            spans = self.spans.cells[where] + np.repeat(shift.ravel(), lengths.ravel())[:, None]
+        return self.ids.cells[where], lengths.sum(axis=1), spans
+
+    def encode(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the number of ids of each text (null is empty), and (with offsets) each id's characters."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if not isinstance(texts, pa.Array) else texts.cast(pa.large_string()), "")
+        lists = self.cut(texts)
+        counts, chunks = np.asarray(pc.list_value_length(lists), np.int64), lists.flatten()
+        distinct = chunks.dictionary_encode()
+        ids, lengths, spans = self._encode_distinct(distinct.dictionary)
+        starts, at = np.cumsum(lengths) - lengths, np.asarray(distinct.indices)
+        lengths = lengths[at]
+        where = flat_ranges(starts[at], lengths)
         chunk_ends = np.concatenate([[0], np.cumsum(lengths)])
         text_ends = chunk_ends[np.cumsum(counts, dtype=np.int64)]
-        spans = np.zeros((0, 2), np.int32)
         if self.offsets:
-            chars = np.fromiter(map(len, chunks), np.int64, len(chunks))
+            chars = np.asarray(pc.utf8_length(chunks), np.int64)
             begin = np.cumsum(chars) - chars
             first = np.repeat(np.cumsum(counts) - counts, counts)
             begin = begin - begin[first] if len(begin) else begin
-            spans = self.spans.cells[where] + np.repeat(begin, lengths)[:, None].astype(np.int32)
+            spans = spans[where] + np.repeat(begin, lengths)[:, None].astype(np.int32)
         if len(self.known) > MOST_CHUNKS or self.ids.size > MOST_IDS:
             self._forget_older()
-        return ids, np.diff(text_ends, prepend=0), spans
+        return ids[where], np.diff(text_ends, prepend=0), spans
 
 
 @functools.lru_cache(maxsize=2)
@@ -212,14 +282,20 @@ def encoder(source: str, cut: Callable[[str], list[str]], offsets: bool = False)
     return Encoder(source, cut, offsets)
 
 
-def slabs(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """The texts of a batch, null as empty, some at a time: (first row, texts)."""
+def array_slabs(texts: pa.Array, size: int = ENCODED_CHARS) -> Iterator[tuple[int, pa.Array]]:
+    """The texts of a batch, about ``size`` bytes at a time: (first row, texts)."""
     if not len(texts):
         return
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
     begin = 0
     while begin < len(texts):
         base = sizes[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(sizes, base + SLAB_CHARS, "right")))
-        yield begin, [t or "" for t in texts.slice(begin, end - begin).to_pylist()]
+        end = max(begin + 1, int(np.searchsorted(sizes, base + size, "right")))
+        yield begin, texts.slice(begin, end - begin)
         begin = end
+
+
+def slabs(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a batch, null as empty, some at a time: (first row, texts)."""
+    for begin, some in array_slabs(texts, SLAB_CHARS):
+        yield begin, [t or "" for t in some.to_pylist()]

@@ -1,9 +1,11 @@
 import collections
 import random
+import unicodedata
 
 import helpers
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from evalspark.llm import byte_bpe, packing, store, token_files, tokens
@@ -44,6 +46,59 @@ def test_letters_that_become_letter_and_mark(path, cut):
     assert [t for t, e, a, b in zip(texts, known, ends - counts, ends, strict=True) if e.ids != ids[a:b].tolist()] == []
 
 
+@pytest.mark.parametrize(("path", "cut"), [(WORDS, between_spaces), (BYTES, at_spaces)])
+def test_new_words_take_few_calls(path, cut, monkeypatch):
+    """Beginning and ending a text costs the library more than a word does, so new words go to it many at a time."""
+    given = []
+
+    class Counting:
+        def __init__(self, own):
+            self.own = own
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def encode(self, text, **more):
+            given.append(text)
+            return self.own.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return self.own.encode_batch_fast(texts, **more)
+
+    tokenizer = Tokenizer.from_file(path)
+    monkeypatch.setattr(tokens, "load", lambda source: Counting(tokenizer))
+    dice = random.Random(5)
+    words = ["".join(dice.choices("abcdefghißéñ", k=9)) + dice.choice(["", ",", "."]) for _ in range(5_000)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+    ids, counts, _ = Encoder(path, cut).encode(texts)
+    known = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for own in known for i in own] and counts.tolist() == [len(own) for own in known]
+    assert len(given) < 100
+
+
+@pytest.mark.parametrize(("path", "cut"), [(WORDS, between_spaces), (BYTES, at_spaces)])
+def test_joined_and_folded_words_keep_their_ids(path, cut):
+    """Marks that compose or come first, letters that change their length, and names that are looked for before case is dropped."""
+    dice = random.Random(4)
+    composed = [unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0xFFFF) if unicodedata.decomposition(chr(c))[:1] not in ("", "<")]
+    odd = ["\u0301", "\u0344", "T\u0308", "İ", "ẞ", "ΑΣ", "각", "Ω", "<|EndOfText|>", "<|endoftext|>", "<|STARTOFTEXT|>", "'S", "I'LL", "\t", "\u2003", "\x1d", "\0", ",", "?!"]
+    texts = ["".join(dice.choice(dice.choice((composed, odd, [" "], ["A", "b", "9"]))) for _ in range(dice.randint(0, 40))) for _ in range(3_000)]
+    encoder, tokenizer = Encoder(path, cut), Tokenizer.from_file(path)
+    ids, counts, _ = encoder.encode(pa.array([*texts, None]))
+    ends = np.cumsum(counts)
+    known = tokenizer.encode_batch([*texts, ""], add_special_tokens=False)
+    assert [t for t, e, a, b in zip([*texts, ""], known, ends - counts, ends, strict=True) if e.ids != ids[a:b].tolist()] == []
+
+
+def test_arrow_cuts_like_python():
+    dice = random.Random(6)
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = ["".join(dice.choice(["a", " ", " ", "é", "\0", dice.choice(blanks)][dice.randint(0, 1) :]) for _ in range(dice.randint(0, 9))) for _ in range(20_000)]
+    for cut in (at_spaces, between_spaces):
+        assert tokens._CUTS[cut][0](pa.array(texts, pa.large_string())).to_pylist() == [cut(t) for t in texts]
+
+
 @pytest.mark.parametrize("edges", [True, False])
 def test_token_files(spark, edges):
     docs = helpers.documents(spark, extra=True) if edges else whole_table(spark)
