@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm import store
-from evalspark.llm.tokens import array_slabs, at_spaces, encoder, flat_ranges
+from evalspark.llm.tokens import SLAB_CHARS, array_slabs, at_spaces, encoder, flat_ranges
 
 
 @functools.cache
@@ -91,7 +91,7 @@ def encode(df: DataFrame, path: str, pattern: str, offsets: bool = False, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(source.value, at_spaces, offsets)
         for batch in batches:
-            for first, texts in array_slabs(batch.column(1)):
+            for first, texts in array_slabs(batch.column(1), SLAB_CHARS):  # decoding runs beside it
                 ids, counts, spans = own.encode(texts)
                 columns = [batch.column(0).slice(first, len(texts)), _lists(ids, counts)]
                 if offsets:
